@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import mixing
+from orrery.llm import mixing, packing, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary file; every operator takes such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
+    crc = F.pandas_udf(lambda ids: pd.Series([token_files.crc32(x) for x in ids], dtype="int64"), "long")
+    return token_files.read_documents(files).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources,)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1, most=4096)
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op5_mix_sources, op7_best_fit_packing)}
