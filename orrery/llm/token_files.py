@@ -29,19 +29,21 @@ from orrery.llm._tokens import encoder, with_end
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"sequence_length": str(length)})
+def sequence_schema(length: int, vocabulary: int) -> pa.Schema:
+    """Ids as 16-bit integers where the vocabulary allows it, masks as bits."""
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"sequence_length": str(length)})
 
 
 class SequenceWriter:
     """Gathers ids and writes batches of `rows` sequences of `length` ids."""
 
-    def __init__(self, sink, length: int, rows: int):
-        self.length, self.rows, self.schema = length, rows, sequence_schema(length)
+    def __init__(self, sink, length: int, rows: int, vocabulary: int):
+        self.length, self.rows, self.schema = length, rows, sequence_schema(length, vocabulary)
         self.out, self.held, self.n = pa.ipc.new_stream(sink, self.schema), [], 0
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x, f.type.value_type), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
         self.out.write_batch(pa.record_batch(arrays, schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
@@ -52,15 +54,15 @@ class SequenceWriter:
             everything = np.concatenate(self.held)
             full = len(everything) // most * most
             for i in range(0, full, most):
-                self._batch(everything[i : i + most], np.ones(most, np.uint8))
+                self._batch(everything[i : i + most], np.ones(most, bool))
             self.held, self.n = [everything[full:]], len(everything) - full
 
     def close(self) -> None:
         if self.n:
             rest = np.concatenate(self.held)
-            ids = np.zeros(-(-len(rest) // self.length) * self.length, np.uint32)
+            ids = np.zeros(-(-len(rest) // self.length) * self.length, rest.dtype)
             ids[: len(rest)] = rest
-            self._batch(ids, (np.arange(len(ids)) < len(rest)).astype(np.uint8))
+            self._batch(ids, np.arange(len(ids)) < len(rest))
         self.out.close()
 
 
@@ -79,21 +81,21 @@ class SequenceFile:
         self.batches = list(reader)
         self.rows = self.batches[0].num_rows if self.batches else 1
 
-    def _flat(self, batch: int, column: int) -> np.ndarray:
-        return self.batches[batch].column(column).flatten().to_numpy(zero_copy_only=True)
+    def _flat(self, batch: int) -> np.ndarray:
+        return self.batches[batch].column("ids").flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence."""
+    def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence, neither copied."""
         b, r = divmod(number, self.rows)
-        return tuple(self._flat(b, c)[r * self.length : (r + 1) * self.length] for c in (0, 1))
+        return self._flat(b)[r * self.length : (r + 1) * self.length], self.batches[b].column("mask")[r].values
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from a place in the file."""
         per = self.length * self.rows
         first, last = start // per, max(start, start + n - 1) // per
         if n == 0 or first == last:
-            return self._flat(first, 0)[start - first * per : start - first * per + n] if n else np.zeros(0, np.uint32)
-        parts = [self._flat(b, 0)[max(start - b * per, 0) : start + n - b * per] for b in range(first, last + 1)]
+            return self._flat(first)[start - first * per : start - first * per + n] if n else np.zeros(0, np.uint16)
+        parts = [self._flat(b)[max(start - b * per, 0) : start + n - b * per] for b in range(first, last + 1)]
         return np.concatenate(parts)
 
 
@@ -112,12 +114,13 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, row
         fs, base = pafs.FileSystem.from_uri(root)
         name, first, n, n_docs, out, index = f"part-{uuid.uuid4().hex}", None, 0, 0, None, None
         for part in T.slices(batches):
+            use = encoder(tokenizer, kind)
             if out is None:
                 fs.create_dir(base, recursive=True)
                 sinks = [fs.open_output_stream(f"{base}/{name}.{x}.arrow") for x in ("tokens", "index")]
-                out, index = SequenceWriter(sinks[0], length, rows), pa.ipc.new_stream(sinks[1], INDEX)
+                out, index = SequenceWriter(sinks[0], length, rows, use.tokenizer.get_vocab_size()), pa.ipc.new_stream(sinks[1], INDEX)
                 first = part.column("doc_id")[0].as_py()
-            ids, off = with_end(*encoder(tokenizer, kind).encode(*T.flat(part.column("text"))), end)
+            ids, off = with_end(*use.encode(*T.flat(part.column("text"))), end)
             out.add(ids)
             index.write_batch(pa.record_batch([part.column("doc_id"), pa.array(n + off[:-1]), pa.array(np.diff(off))], schema=INDEX))
             n, n_docs = n + len(ids), n_docs + part.num_rows
@@ -143,7 +146,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 for rows in pa.ipc.open_stream(_open(f"{name}.index.arrow")):
                     start, n = rows.column("start").to_numpy(), rows.column("n_tokens").to_numpy()
                     for i in range(0, len(start), 256):
-                        ids = [tokens.span(a, b).astype("<u4", copy=False).tobytes() for a, b in zip(start[i : i + 256].tolist(), n[i : i + 256].tolist(), strict=True)]
+                        ids = [tokens.span(a, b).astype("<u4").tobytes() for a, b in zip(start[i : i + 256].tolist(), n[i : i + 256].tolist(), strict=True)]
                         yield pa.record_batch({"doc_id": rows.column("doc_id")[i : i + 256], "start": pa.array(start[i : i + 256] + base), "n_tokens": pa.array(n[i : i + 256]), "ids": pa.array(ids, pa.binary())})
 
     return files.repartition(partitions(files.sparkSession), "path").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
