@@ -102,7 +102,12 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[buf]
+    return runs(~SPACE[buf], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_bounds for any set of bytes: maximal runs of inside within rows."""
+    n = len(inside)
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     first = inside.copy()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import mixing, packing, token_files, topk, weak_rules
+from orrery.llm import language_id, mixing, ordinal_quality, packing, token_files, topk, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(files).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))  # toxic, poor, good
+    return ordinal_quality.rate(docs, ordinal_quality.fit(docs, _table(spark, sf_dir, "labels"), grade))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -44,4 +50,12 @@ def op9_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op9_weak_quality_rules)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.fit(docs, ~held_out)
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op9_weak_quality_rules, op10_language_id)}
