@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, ordinal_quality, packing, token_files, topk, weak_rules
+from orrery.llm import language_id, mixing, ordinal_quality, packing, substring_dedup, token_files, topk, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(files).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(_table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))  # toxic, poor, good
@@ -58,4 +62,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op9_weak_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op9_weak_quality_rules, op10_language_id)}
