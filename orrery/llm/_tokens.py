@@ -17,7 +17,7 @@ import numpy as np
 from orrery.llm._text import SPACE, PrefixHash, U, byte_codes, mix, word_bounds
 
 #: Distinct stretches remembered per worker; the memory is emptied when it is full.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 #: A special token that splits any text, used to encode many new stretches in one call.
 BETWEEN = {"spaced": "<|endoftext|>", "words": "<|startoftext|>"}
 
@@ -43,8 +43,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, U)  # sorted
-        self.slot = np.zeros(0, np.int64)  # by key
-        self.size, self.head, self.at = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(1, np.int64)  # by slot
+        self.slot = np.zeros(0, np.int32)  # by key
+        self.size, self.head, self.at = np.zeros(0, np.int32), np.zeros(0, U), np.zeros(1, np.int64)  # by slot
         self.ids = np.zeros(1 << 16, np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -84,8 +84,8 @@ class Encoder:
         while n + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[n : n + len(ids)] = ids
-        slots = len(self.size) + np.arange(len(starts))
-        self.size, self.head = np.concatenate([self.size, ends - starts]), np.concatenate([self.head, heads])
+        slots = len(self.size) + np.arange(len(starts), dtype=np.int32)
+        self.size, self.head = np.concatenate([self.size, (ends - starts).astype(np.int32)]), np.concatenate([self.head, heads])
         self.at = np.concatenate([self.at, n + np.cumsum(counts)])
         place = np.searchsorted(self.keys, hashes)
         self.keys, self.slot = np.insert(self.keys, place, hashes), np.insert(self.slot, place, slots)

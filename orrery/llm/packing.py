@@ -22,6 +22,8 @@ from orrery.llm import _text as T
 from orrery.llm._spark import Scratch, id_text
 from orrery.llm._tokens import encoder, with_end
 
+SLICE = 1 << 20  # bytes of text tokenised at a time
+
 
 class Rooms:
     """Segment tree over capacities 0..most: counts of open sequences by remaining room."""
@@ -74,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 1, most: int = 4096, kind
     """doc_id, piece (from 0), start, length, ids_crc32 of each piece of the ids of each text and its end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE):
             ids, off = with_end(*encoder(tokenizer, kind).encode(*T.flat(part.column("text"))), end)
             count = -(-np.diff(off) // most)
             row = np.repeat(np.arange(len(count)), count)

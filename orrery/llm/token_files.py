@@ -26,6 +26,7 @@ from orrery.llm import _text as T
 from orrery.llm._spark import Scratch, id_text, new_path, partitions
 from orrery.llm._tokens import encoder, with_end
 
+SLICE = 1 << 20  # bytes of text tokenised at a time
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -113,7 +114,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, row
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
         name, first, n, n_docs, out, index = f"part-{uuid.uuid4().hex}", None, 0, 0, None, None
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE):
             use = encoder(tokenizer, kind)
             if out is None:
                 fs.create_dir(base, recursive=True)
