@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import _text as T
 
+NO_ID = (1 << 63) - 1  # stands for a null id, which is smaller than none
 MOST_BITS = 29
 SEGMENT_BITS = 17  # cells of one merge group
 PLACE = np.uint64(127)  # low bits of an anchor value hold its place, so that equal k-grams of one window differ
@@ -168,9 +169,9 @@ def table_bits(number: int, per: int = 8) -> int:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and a key of both, under which decisions find their rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"))
+    """doc_id (null: NO_ID), text (null: empty) and a key of both, under which decisions find their rows."""
+    text, number = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(number, text).alias("key"))
 
 
 def as_long(x: np.ndarray) -> pa.Array:
@@ -233,7 +234,7 @@ def elements_offsets(part: pa.RecordBatch, elements: Elements) -> np.ndarray:
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Keyed documents with their spans (null: none); one shuffle of the texts."""
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+    return rows.join(spans, "key", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
 
 
 def covered_elements(part: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
