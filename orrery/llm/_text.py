@@ -19,14 +19,14 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has at most limit bytes in column, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has at most rows rows, and at most limit bytes in column or one row."""
     for batch in batches:
         _, offsets = flat(batch.column(column))
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-            stop = min(max(stop, start + 1), batch.num_rows)
+            stop = min(max(stop, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, ordinal_quality, packing, substring_dedup, suffix_dedup, token_files, topk, weak_rules
+from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, substring_dedup, suffix_dedup, token_files, topk, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1, most=4096)
 
 
+def op8_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -66,4 +70,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op9_weak_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id)}
