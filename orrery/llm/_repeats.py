@@ -18,7 +18,7 @@ by MOST_BITS. A larger corpus fills it, which sends more candidates on but chang
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -168,10 +168,10 @@ def table_bits(number: int, per: int = 8) -> int:
     return min(MOST_BITS, max(20, int(per * max(number, 1) - 1).bit_length()))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (null: NO_ID), text (null: empty) and a key of both, under which decisions find their rows."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id (null: NO_ID), text (null: empty), a key of both, under which decisions find their rows, and carried columns as one struct."""
     text, number = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(number, text).alias("key"))
+    return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(number, text).alias("key"), *([F.struct(*carry).alias("carried")] if carry else []))
 
 
 def as_long(x: np.ndarray) -> pa.Array:
@@ -186,6 +186,7 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
     several stretches, table of those anchors): (a, s, rel), the repeated windows of stretches at their first place. inside: whether repeats within a document count.
     """
     spark: SparkSession = rows.sparkSession
+    rows = rows.select("doc_id", "text", "key")
 
     def stretches(part: pa.RecordBatch) -> Stretches:
         return Stretches(*elements(part), length, k)
@@ -234,7 +235,7 @@ def elements_offsets(part: pa.RecordBatch, elements: Elements) -> np.ndarray:
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Keyed documents with their spans (null: none); one shuffle of the texts."""
-    return rows.join(spans, "key", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
+    return rows.join(spans, "key", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", *(["carried"] if "carried" in rows.columns else []))
 
 
 def covered_elements(part: pa.RecordBatch, off: np.ndarray) -> np.ndarray:

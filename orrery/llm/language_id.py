@@ -10,7 +10,7 @@ The fit uses at most about `per_language` labelled texts of each language, chose
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,6 +112,37 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, id_col: st
     return fit_counts(np.stack([np.frombuffer(x, "<f4") for x in got.column("c").to_pylist()]), got.column("lang").to_pylist())
 
 
+SHAPE = "struct<lang_pred: string, score: double, rejected: boolean>"
+
+
+def predict(text: pa.Array, model: Model) -> pa.StructArray:
+    """SHAPE of each text; see identify."""
+    names, parts = np.array([*model.languages, UNKNOWN], dtype=object), []
+    for part in T.slices(iter([pa.record_batch({"text": text})])):
+        buf, off = T.flat(part.column("text"))
+        n, low = part.num_rows, T.lower_ascii(buf)
+        letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
+        some = letters[off[1:]] > letters[off[:-1]]
+        for k in np.flatnonzero(~some).tolist():  # few: texts without an ASCII letter
+            some[k] = any(map(str.isalpha, buf[off[k] : off[k + 1]].tobytes().decode()))
+        best, cos = np.full(n, len(model.languages)), np.zeros(n)
+        if len(model.languages):
+            best, cos = model.score(vectors(buf, off))
+            best, cos = np.where(some, best, len(model.languages)), np.where(some, cos, 0.0)
+        limit = np.append(model.limits, 2.0)[best]
+        parts.append(pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(cos.astype(float)), pa.array(cos < limit)], ["lang_pred", "score", "rejected"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
+
+
+def predictor(model: Model) -> Callable[[Column], Column]:
+    """A column function: SHAPE of a text column, in Arrow batches."""
+
+    def one(text: pa.Array) -> pa.Array:
+        return predict(text, model)
+
+    return F.arrow_udf(one, SHAPE)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected per row.
 
@@ -119,21 +150,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     has no language. Rejected texts keep their nearest language in lang_pred. Repeated rows are judged alike; an
     empty table gives no rows.
     """
+    return id_text(docs).select("doc_id", predictor(model)("text").alias("x")).select("doc_id", "x.*")
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, UNKNOWN], dtype=object)
-        for part in T.slices(batches):
-            buf, off = T.flat(part.column("text"))
-            n = part.num_rows
-            ascii_letters = np.concatenate([[0], np.cumsum((T.lower_ascii(buf) >= 97) & (T.lower_ascii(buf) <= 122))])
-            some = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
-            for k in np.flatnonzero(~some).tolist():  # few: texts without an ASCII letter
-                some[k] = any(map(str.isalpha, buf[off[k] : off[k + 1]].tobytes().decode()))
-            best, cos = np.full(n, len(model.languages)), np.zeros(n)
-            if len(model.languages):
-                best, cos = model.score(vectors(buf, off))
-                best, cos = np.where(some, best, len(model.languages)), np.where(some, cos, 0.0)
-            limit = np.append(model.limits, 2.0)[best]
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(cos.astype(float)), "rejected": pa.array(cos < limit)})
-
-    return id_text(docs).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are not rejected."""
+    return docs.filter(~predictor(model)(F.coalesce(F.col(text_col), F.lit("")))["rejected"])

@@ -85,3 +85,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     crossed = F.floor(offset + F.col("rate") * F.col("rank")) - F.floor(offset + F.col("rate") * (F.col("rank") - 1))
     copies = F.least(crossed, F.ceil(F.col("rate"))).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mixed corpus: every row of docs, all columns, as often as mix() says.
+
+    The copies of rows that share an id are dealt evenly over these rows.
+    """
+    number = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"))
+    joined = held.alias("d").join(number.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))).select("d.doc_id", "row", "copies", "rows")
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("row")))
+    own = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    dealt = joined.withColumn("own", own.cast("int")).filter("own > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")

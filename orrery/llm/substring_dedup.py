@@ -8,22 +8,23 @@ windows on anchors estimated repeated, exactly, so none is lost. _repeats.py has
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from orrery.llm import _repeats as R
 from orrery.llm import _text as T
 from orrery.llm._spark import Scratch
 
 
-def repeated_words(docs: DataFrame, window: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, spans: spans of words (start << 32 | end) inside repeated windows, null where there are none."""
+def repeated_words(docs: DataFrame, window: int = 35, k: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, spans: spans of words (start << 32 | end) inside repeated windows, null where there are none; carried columns."""
     tmp = Scratch(docs.sparkSession, "substring")
-    rows = R.keyed(docs, id_col, text_col)
+    rows = R.keyed(docs, id_col, text_col, carry)
     # words are at least two bytes with their space; a bound is enough to size the sketch
     number = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
 
@@ -45,9 +46,11 @@ def repeated_words(docs: DataFrame, window: int = 35, k: int = 8, id_col: str =
     return R.with_spans(rows, spans)
 
 
-def remove(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text per row; kept words are joined by one space.
 
+    carry: input columns to return as well, in one struct `carried`, whatever their names are.
+
     Windows are judged on the input. Null text has no words. Texts shorter than a window keep all words. Repeated
     rows are places of their own, so all their windows are repeated. An empty table gives no rows.
     """
@@ -63,7 +66,10 @@ def remove(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col:
             for r in range(part.num_rows):
                 x = np.flatnonzero(~gone[word_off[r] : word_off[r + 1]]) + word_off[r]
                 kept.append(b" ".join([data[a:b] for a, b in zip(starts[x].tolist(), ends[x].tolist(), strict=True)]))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(word_off)), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept_text": pa.array([x.decode() for x in kept], pa.string())})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(np.diff(word_off)), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept_text": pa.array([x.decode() for x in kept], pa.string())} | ({"carried": part.column("carried")} if carry else {}))
 
-    marked = repeated_words(docs, window, id_col=id_col, text_col=text_col)
-    return marked.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    marked = repeated_words(docs, window, id_col=id_col, text_col=text_col, carry=carry)
+    shape = T_.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    if carry:
+        shape.add(marked.schema["carried"])
+    return marked.mapInArrow(cut, shape)
