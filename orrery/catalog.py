@@ -1,6 +1,9 @@
-"""Registry of the catalogue queries and their DuckDB oracles, gathered from the operator modules."""
+"""Importing this module registers every catalogue query."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import orrery.operators.attributes
+import orrery.operators.listing
+import orrery.operators.prices
+import orrery.operators.resolve  # noqa: F401
+from orrery.registry import ORACLES, QUERIES  # noqa: F401
