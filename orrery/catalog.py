@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import orrery.operators.attributes
+import orrery.operators.dealers
 import orrery.operators.listing
+import orrery.operators.monitor
 import orrery.operators.prices
+import orrery.operators.quality
 import orrery.operators.resolve  # noqa: F401
 from orrery.registry import ORACLES, QUERIES  # noqa: F401
