@@ -38,7 +38,8 @@ def repeated_words(docs: DataFrame, window: int = 35, k: int = 8, id_col: str =
                 of, rel, h = x.windows()
                 yield pa.record_batch({"a": R.as_long(x.a[of]), "s": R.as_long(x.s[of]), "rel": pa.array(rel.astype(np.int32)), "h": R.as_long(h)})
 
-        every = tmp.table(rows.select("text").mapInArrow(explode, "a long, s long, rel int, h long"))
+        # equal stretches have equal windows and are repeated as a whole, so one of each is enough
+        every = tmp.table(rows.select("text").mapInArrow(explode, "a long, s long, rel int, h long").distinct())
         twice = every.groupBy("a", "h").agg(F.count("*").alias("n")).filter("n > 1").select("a", "h")
         return every.join(twice, ["a", "h"]).select("a", "s", "rel")
 
