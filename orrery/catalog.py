@@ -6,7 +6,9 @@ import orrery.operators.attributes
 import orrery.operators.dealers
 import orrery.operators.listing
 import orrery.operators.monitor
+import orrery.operators.planner
 import orrery.operators.prices
 import orrery.operators.quality
-import orrery.operators.resolve  # noqa: F401
+import orrery.operators.resolve
+import orrery.operators.search  # noqa: F401
 from orrery.registry import ORACLES, QUERIES  # noqa: F401
