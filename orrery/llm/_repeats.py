@@ -220,12 +220,14 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
     # a stretch has one row in each at most
     known = whole.unionByName(parts.select("a", "s", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("n"), "rel"))
     known = tmp.table(known.groupBy("a", "s").agg(F.max("least").alias("least"), F.max("n").alias("n"), F.max("rel").alias("rel")))
-    tmp.drop(groups, several)
+    tmp.keep(found, known)
     at, full = F.col("at"), is_full(F.col("doc_id"), F.col("least"), F.col("n"))
     span = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     spans = F.when(full, F.array(span(at, at + F.col("size")))).otherwise(F.transform("rel", lambda r: span(at + r, at + r + length)))
     places = found.join(known, ["a", "s"]).select("key", spans.alias("spans")).filter("spans IS NOT NULL")
-    return tmp.table(places.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    out = tmp.table(places.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    tmp.keep(out)
+    return out
 
 
 def elements_offsets(part: pa.RecordBatch, elements: Elements) -> np.ndarray:

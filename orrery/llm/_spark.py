@@ -23,6 +23,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Tables of one operator call in the shared folder; they cut lineage and survive lost executors."""
@@ -35,7 +37,12 @@ class Scratch:
         """df written once and read again."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # shuffle files of the write go with it, not when the driver collects garbage
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -47,6 +54,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.sweep()
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes every table but these."""
+        held = {id(t) for t in tables}
+        for key in [k for k in self.paths if k not in held]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.sweep()
+
     def sweep(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
