@@ -1,12 +1,14 @@
 """MinHash near-deduplication with HyperMinHash registers.
 
-A document's distinct word shingles fall into REGISTERS buckets by hash; a bucket keeps of its least hash the count
-of leading zeros and MANTISSA bits after the first one, 16 bits in all. Bands of ROWS registers are hashed; of
-documents that agree in a band each goes to the least one of the band. Linked by that, documents form families: any
-two documents similar enough share a band (except with a chance of about 5e-11 at 0.85) and so a family.
+A document's distinct word shingles give SIGNATURE registers: hashes fall into buckets, and a bucket keeps of its
+least hash the count of leading zeros and MANTISSA bits after the first one, 16 bits in all. Small sets are hashed
+several times into fewer buckets, so that a register stands for four shingles or more whatever the size. ROWS
+registers make a band. Documents that agree in a band and whose sizes allow the similarity go to the least one of
+the band. Linked by that, documents form families: any two documents similar enough share a band, except with a
+chance of about 1e-13 at 0.85 and 2e-9 at 0.8, and so a family.
 
 Links inside a family are found in blocks of at most BLOCK documents, each pair of blocks in one task: the Jaccard
-index estimated from the registers, corrected for chance collisions, leaves out pairs six deviations below the
+index estimated from registers, corrected for chance collisions, leaves out pairs six deviations below the
 threshold; the rest is confirmed on the full shingle sets, as products of incidence matrices. A task returns a
 spanning forest of its links, never all pairs, and connected components of all forests give the result. Documents
 with equal shingle sets are one node throughout.
@@ -30,8 +32,8 @@ BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 10
 EMPTY = 0xFFFF
-ROWS = 4
-BANDS = REGISTERS // ROWS
+SIGNATURE, ROWS = 256, 5
+BANDS = SIGNATURE // ROWS
 BLOCK = 512
 ROW_BITS = 12  # rows of a slice; shingle hashes keep the other 52 bits
 HASH_BITS = 64 - ROW_BITS
@@ -57,28 +59,50 @@ def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, n
     return packed & T.U((1 << HASH_BITS) - 1), np.searchsorted(row, np.arange(n + 1))
 
 
-def registers(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows x REGISTERS: leading zeros and mantissa of the least hash of each bucket, EMPTY without any."""
-    n = len(off) - 1
-    out = np.full((n, REGISTERS), EMPTY, np.uint16)
+def compressed(least: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa of 64-bit minima; EMPTY for the largest value, which stands for none."""
+    length = np.frexp(least.astype(float))[1].astype(np.int64)
+    zeros = np.clip(64 - length, 0, 62)
+    top = least << zeros.astype(T.U)  # the first set bit is now the highest
+    out = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | ((top >> T.U(63 - MANTISSA)) & T.U((1 << MANTISSA) - 1)).astype(np.uint16)
+    return np.where(least == np.iinfo(np.uint64).max, np.uint16(EMPTY), out)
+
+
+def registers(h: np.ndarray, off: np.ndarray, buckets: int, times: int = 1) -> np.ndarray:
+    """Rows x (times * buckets) registers; each of `times` hashings deals the shingles into the buckets anew."""
+    n, bits = len(off) - 1, buckets.bit_length() - 1
+    least = np.full((n, times, buckets), np.iinfo(np.uint64).max, T.U)
     row = np.repeat(np.arange(n), np.diff(off))
-    bucket = (h >> T.U(HASH_BITS - BUCKET_BITS)).astype(np.int64)
-    first = np.ones(len(h), bool)  # hashes ascend, so the first of a bucket is its least
-    first[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
-    rest = HASH_BITS - BUCKET_BITS
-    value = (h[first] & T.U((1 << rest) - 1)).astype(np.int64)
-    length = np.frexp(value.astype(float))[1].astype(np.int64)  # bits of value; exact below 2 ** 53
-    zeros = np.minimum(rest - length, 62)
-    shifted = np.where(length > MANTISSA + 1, value >> np.maximum(length - 1 - MANTISSA, 0), value << np.maximum(MANTISSA + 1 - length, 0))
-    out[row[first], bucket[first]] = (zeros << MANTISSA | shifted & ((1 << MANTISSA) - 1)).astype(np.uint16)
-    return out
+    for t in range(times):
+        x = T.mix(h ^ T.mix(T.U([t + 1]))[0])
+        bucket = (x >> T.U(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
+        np.minimum.at(least.reshape(-1), (row * times + t) * buckets + bucket, x << T.U(bits))
+    return compressed(least).reshape(n, times * buckets)
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every band that has a filled register."""
-    bands = np.ascontiguousarray(regs).view("<u8").reshape(len(regs), BANDS)
-    row, band = np.nonzero(bands != np.uint64(0xFFFFFFFFFFFFFFFF))
-    return row, T.mix(bands[row, band] ^ T.mix(band.astype(T.U) + T.U(11)))
+def band_keys(h: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of every band. Sizes are cut into steps of the threshold; a row has keys for its step and the one
+    below, so that any two rows whose sizes allow a link share a step. Sets too small to link with another have none.
+    """
+    size = np.diff(off)
+    step = np.floor(np.log(np.maximum(size, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    able = size * (100 - percent) >= percent  # so many common shingles that one more in the union still links
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, T.U)]
+    for level in np.unique(np.concatenate([step[able], step[able] - 1])).tolist():
+        sel = np.flatnonzero(able & ((step == level) | (step - 1 == level)))
+        lowest = (100 / percent) ** max(level, 0)
+        times = int(min(SIGNATURE, max(1, 2 ** int(np.ceil(np.log2(4 * SIGNATURE / lowest))))))
+        for i in range(0, len(sel), 1024):
+            part = sel[i : i + 1024]
+            count = size[part]
+            sub = np.concatenate([[0], np.cumsum(count)])
+            at = np.repeat(off[part] - sub[:-1], count) + np.arange(sub[-1])
+            r = registers(h[at], sub, SIGNATURE // times, times)[:, : BANDS * ROWS].reshape(len(part), BANDS, ROWS).astype(T.U)
+            k = T.mix(r[..., 0] | r[..., 1] << T.U(16) | r[..., 2] << T.U(32) | r[..., 3] << T.U(48))
+            k = T.mix(k ^ (r[..., 4] | np.arange(BANDS, dtype=T.U)[None, :] << T.U(16) | T.U(max(level + 1, 0)) << T.U(32)))
+            rows.append(np.repeat(part, BANDS))
+            keys.append(k.ravel())
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def may_link(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, percent: int) -> np.ndarray:
@@ -130,26 +154,21 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
     """u, v: links between the two blocks of one table (or inside the one block), as a spanning forest."""
     node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
-    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    sizes = table.column("n_shingles").to_numpy()
-    sides = np.unique(side)
-    x, y = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
-    possible = may_link(regs[x], regs[y], sizes[x], sizes[y], percent) & (node[x][:, None] != node[y][None, :])
-    some = np.zeros(len(node), bool)
-    some[x[possible.any(axis=1)]] = some[y[possible.any(axis=0)]] = True
-    empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    if not some.any():
-        return empty
     parts, counts = [], []
-    texts = table.select(["text"]).filter(pa.array(some)).combine_chunks()
-    for part in T.slices(iter(texts.to_batches()), rows=1 << ROW_BITS):
+    for part in T.slices(iter(table.select(["text"]).combine_chunks().to_batches()), rows=1 << ROW_BITS):
         h, o = shingles(*T.flat(part.column("text")), size)
         parts.append(h)
         counts.append(np.diff(o))
-    off = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    place = np.cumsum(some) - 1
+    h, sizes = np.concatenate(parts), np.concatenate(counts)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    regs, sides = registers(h, off, REGISTERS), np.unique(side)
+    x, y = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
+    possible = may_link(regs[x], regs[y], sizes[x], sizes[y], percent) & (node[x][:, None] != node[y][None, :])
     px, py = possible.any(axis=1), possible.any(axis=0)
-    both = overlaps(np.concatenate(parts), off, place[x[px]], place[y[py]])
+    empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    if not px.any():
+        return empty
+    both = overlaps(h, off, x[px], y[py])
     union = sizes[x[px]][:, None] + sizes[y[py]][None, :] - both
     u, v = np.nonzero((100 * both >= percent * union) & possible[np.ix_(px, py)])
     root = forest(len(node), x[px][u], y[py][v])
@@ -176,32 +195,29 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
             for seed in (1, 2):  # 128 bits that name the set
                 total = np.concatenate([[T.U(0)], np.cumsum(T.mix(h ^ T.mix(T.U([seed]))), dtype=T.U)])
                 sums.append(as_long(total[off[1:]] - total[off[:-1]]))
-            regs = registers(h, off)
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "s1": sums[0], "s2": sums[1], "regs": pa.array([r.tobytes() for r in regs], pa.binary())})
+            row, key = band_keys(h, off, percent)
+            order = np.argsort(row, kind="stable")
+            cut = np.searchsorted(row[order], np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), as_long(key[order]))
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "s1": sums[0], "s2": sums[1], "bands": lists})
 
-    signed = tmp.table(rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, regs binary"))
+    signed = tmp.table(rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
     full = signed.filter("n_shingles > 0")
-    nodes = tmp.table(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min(F.struct("n_shingles", "regs")).alias("x")).select("s1", "s2", "node", "x.n_shingles", "x.regs"))
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                row, key = band_keys(np.frombuffer(b"".join(b.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS))
-                yield pa.record_batch({"band": as_long(key), "node": b.column("node").take(pa.array(row))})
-
-    banded = tmp.table(nodes.select("node", "regs").mapInArrow(bands, "band long, node long"))
+    nodes = tmp.table(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
+    first = full.alias("d").join(nodes.alias("n"), (F.col("d.s1") == F.col("n.s1")) & (F.col("d.s2") == F.col("n.s2")) & (F.col("d.doc_id") == F.col("n.node")), "left_semi")
+    banded = tmp.table(first.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("band", "hub")
     near = banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     families = components(near, tmp)
-    tmp.drop(banded)
     families = tmp.table(families.union(families.select(F.col("root").alias("node"), "root").distinct()))
+    tmp.keep(signed, nodes, families)
     blocks = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = nodes.join(families, "node").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = families.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = member.join(rows.withColumnRenamed("doc_id", "node"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.select("node", "root", "block", "n_shingles", "regs", "text", other.alias("other"))
-    dealt = dealt.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "n_shingles", "regs", "text")
-    links = dealt.groupBy("root", "i", "j").applyInArrow(lambda t: block_links(t, size, percent), "u long, v long")
+    dealt = texts.select("node", "root", "block", "text", other.alias("other"))
+    dealt = dealt.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "text")
+    links = tmp.table(dealt.groupBy("root", "i", "j").applyInArrow(lambda t: block_links(t, size, percent), "u long, v long"))
     found = components(links, tmp)
     named = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     joined = signed.join(named, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", "doc_id"))
