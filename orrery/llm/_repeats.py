@@ -29,6 +29,7 @@ from orrery.llm import _text as T
 
 NO_ID = (1 << 63) - 1  # stands for a null id, which is smaller than none
 MOST_BITS = 29
+SLICE = 1 << 19  # bytes of text whose anchors are found at a time
 SEGMENT_BITS = 17  # cells of one merge group
 PLACE = np.uint64(127)  # low bits of an anchor value hold its place, so that equal k-grams of one window differ
 
@@ -141,7 +142,7 @@ def sketch(found: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bit
         for b in batches:
             c = cells(hashes(b), bits, seed)
             held, n = [*held, c], n + len(c)
-            if n > 4_000_000:
+            if n > 2_000_000:
                 yield from flush()
                 held, n = [], 0
         if n:
@@ -183,7 +184,7 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
 
     rows: keyed documents. number: elements in all. is_full(doc_id, least, count): whether a stretch is repeated as a
     whole at doc_id, given the least doc_id and the number of its places. windows(rows, sketch of anchors with
-    several stretches, table of those anchors): (a, s, rel), the repeated windows of stretches at their first place. inside: whether repeats within a document count.
+    several stretches, table of those anchors and their numbers of places n): (a, s, rel), the repeated windows of stretches at their first place. inside: whether repeats within a document count.
     """
     spark: SparkSession = rows.sparkSession
     rows = rows.select("doc_id", "text", "key")
@@ -194,7 +195,7 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
     # the sketch reads texts itself: anchors do not travel
     def counted(batch: pa.RecordBatch) -> np.ndarray:
         out = [np.zeros(0, T.U)]
-        for part in T.slices(iter([batch])):
+        for part in T.slices(iter([batch]), limit=SLICE):
             x = stretches(part)
             out += [x.a, x.a[x.twice()]] if inside else [x.a]
         return np.concatenate(out)
@@ -203,7 +204,7 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
     sent = spark.sparkContext.broadcast(seen)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE):
             x = stretches(part)
             off = elements_offsets(part, elements)
             x.take(sent.value.full(x.a))
@@ -211,13 +212,13 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
             yield pa.record_batch({"a": as_long(x.a), "s": as_long(x.s), "doc_id": part.column("doc_id").take(r), "key": part.column("key").take(r), "at": pa.array((x.start - off[x.row]).astype(np.int32)), "size": pa.array(x.size.astype(np.int32)), "twice": pa.array(x.twice() if inside else np.zeros(len(x.a), bool))})
 
     found = tmp.table(rows.mapInArrow(candidates, "a long, s long, doc_id long, key long, at int, size int, twice boolean"))
-    groups = tmp.table(found.groupBy("a", "s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.max("twice").alias("twice")))
-    tmp.sweep()
-    several = tmp.table(groups.groupBy("a").agg(F.count("*").alias("stretches"), F.max("twice").alias("twice")).filter("stretches > 1 OR twice"))
+    groups = found.groupBy("a", "s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    whole = tmp.table(groups.filter(is_full(F.col("most"), F.col("least"), F.col("n"))).select("a", "s", "least", "n"))
+    several = found.groupBy("a").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n"), F.max("twice").alias("twice"))
+    several = tmp.table(several.filter("low < high OR twice").select("a", "n"))
     mixed = sketch(several.select("a"), lambda b: b.column("a").to_numpy().view(T.U), table_bits(several.count(), 64), 2, least=1)
     parts = windows(rows, mixed, several).groupBy("a", "s").agg(F.sort_array(F.collect_set("rel")).alias("rel"))
-    whole = groups.filter(is_full(F.col("most"), F.col("least"), F.col("n"))).select("a", "s", "least", "n", F.lit(None).cast("array<int>").alias("rel"))
-    # a stretch has one row in each at most
+    whole = whole.withColumn("rel", F.lit(None).cast("array<int>"))
     known = whole.unionByName(parts.select("a", "s", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("n"), "rel"))
     known = tmp.table(known.groupBy("a", "s").agg(F.max("least").alias("least"), F.max("n").alias("n"), F.max("rel").alias("rel")))
     tmp.keep(found, known)

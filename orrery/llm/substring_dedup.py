@@ -32,7 +32,7 @@ def repeated_words(docs: DataFrame, window: int = 35, k: int = 8, id_col: str =
         sent = rows.sparkSession.sparkContext.broadcast(mixed)
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in T.slices(batches):
+            for part in T.slices(batches, limit=R.SLICE):
                 x = R.Stretches(*R.word_elements(part), window, k)
                 x.take(sent.value.full(x.a))
                 of, rel, h = x.windows()

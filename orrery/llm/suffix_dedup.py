@@ -134,7 +134,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = 4
         sent = rows.sparkSession.sparkContext.broadcast(mixed)
 
         def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in T.slices(batches):
+            for part in T.slices(batches, limit=R.SLICE):
                 x = R.Stretches(*R.byte_elements(part), length, k)
                 x.take(sent.value.full(x.a))
                 data = T.flat(part.column("text"))[0].tobytes()
@@ -147,7 +147,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = 4
         found = rows.select("doc_id", "text").mapInArrow(surroundings, shape)
         # equal stretches have equal bytes
         one = tmp.table(found.groupBy("a", "s").agg(F.min("doc_id").alias("least"), F.max("anchor").alias("anchor"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes")))
-        hot = several.filter(F.col("stretches") > most).select("a", (F.col("stretches") / most + 1).cast("int").alias("parts"))
+        hot = several.filter(F.col("n") > most).select("a", (F.col("n") / most + 1).cast("int").alias("parts"))
         dealt = one.join(several.select("a"), "a", "left_semi").join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("s"), F.col("parts")), F.lit(0)))
         sorted_ = dealt.withColumn("hot", F.col("parts").isNotNull()).drop("parts").repartition(partitions(rows.sparkSession), "a", "part").sortWithinPartitions("a", "part")
 
@@ -173,6 +173,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = 4
                 yield work(held.combine_chunks().to_batches()[0])
 
         every = tmp.table(sorted_.mapInArrow(share, "a long, s long, least long, rel int, h long"))
+        tmp.drop(one)
         first = every.groupBy("a", "h").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("a", "h", "first")
         return every.join(first, ["a", "h"]).filter("first < least").select("a", "s", "rel")
 
