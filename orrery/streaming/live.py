@@ -33,11 +33,11 @@ def freshest_state(observations: DataFrame) -> DataFrame:
         best = state.get if state.exists else (-1, -1.0)
         old = best
         for f in frames:
-            micros = f["ts"].astype("datetime64[us, UTC]").astype("int64")
+            micros = pd.DatetimeIndex(f["ts"]).tz_localize(None).as_unit("us").asi8
             best = max(best, max(zip(micros.tolist(), f["price"].tolist(), strict=True), default=best))
         if best != old:
             state.update(best)
-            yield pd.DataFrame({"product_id": [key[0]], "ts": pd.to_datetime([best[0]], unit="us", utc=True), "price": [best[1]]})
+            yield pd.DataFrame({"product_id": [key[0]], "ts": pd.to_datetime([best[0]], unit="us"), "price": [best[1]]})
 
     shape, held = "product_id long, ts timestamp, price double", "micros long, price double"
     return observations.groupBy("product_id").applyInPandasWithState(step, shape, held, "update", GroupStateTimeout.NoTimeout)
