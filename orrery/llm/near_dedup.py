@@ -213,7 +213,8 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     tmp.keep(signed, nodes, families)
     blocks = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = families.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = member.join(rows.withColumnRenamed("doc_id", "node"), "node")
+    # merged at every size: members have no bound, and a plan that changes with size can't be projected
+    texts = member.hint("merge").join(rows.withColumnRenamed("doc_id", "node"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = texts.select("node", "root", "block", "text", other.alias("other"))
     dealt = dealt.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "text")
