@@ -11,30 +11,30 @@ from orrery.relations import now, oracle, relation
 
 # Ordered taxonomy rules (terms; family; category; class code). Terms match as substrings, the first rule wins.
 RULES = (
-    ("plant planter gardening pots", "Decor & Greenery", "Plants & Planters", None),
-    ("monitor_arm monitor_mount vesa sit-stand riser monitor_arms", "Furniture", "Ergonomic Accessories", "23-40 20 00"),
-    ("sanitaryware bath+fitting bathware faucet washbasin water_closet wc", "Bath & Sanitary", "Sanitaryware & Fittings", "23-45 05 14"),
-    ("plumbing pipe", "Bath & Sanitary", "Plumbing", "23-45 00 00"),
-    ("wallpaper mural wall+decor wall_covering wallcovering", "Surfaces", "Wallpaper & Wall Coverings", "23-35 10 00"),
-    ("laminate", "Surfaces", "Laminates", "23-35 10 00"),
-    ("cladding louver veneer hpl panel acrylic", "Surfaces", "Panels & Cladding", "23-35 10 00"),
-    ("tile", "Surfaces", "Tiles", "23-35 50 14"),
-    ("quartz marble granite engineered_stone countertop solid_surface", "Surfaces", "Stone & Engineered Surfaces", None),
-    ("paint coating primer texture", "Paint & Coatings", "Paint", "23-35 00 00"),
-    ("rug carpet", "Flooring", "Rugs & Carpets", "23-35 50 00"),
-    ("wood+flooring wood_flooring vinyl lvt flooring decking laminate+flooring", "Flooring", "Hard Flooring", "23-35 50 00"),
-    ("mattress", "Furniture", "Mattresses", "23-40 20 00"),
-    ("sofa recliner lounge couch", "Furniture", "Sofas & Lounge", "23-40 20 14"),
-    ("phone_booth booth acoustic_pod acoustic", "Partitions & Acoustic", "Booths & Pods", None),
-    ("seating chair stool workspace", "Furniture", "Seating", "23-40 20 14"),
-    ("workstation desk table worktable", "Furniture", "Desks & Tables", "23-40 20 00"),
-    ("storage wardrobe cabinet shelv casework", "Furniture", "Storage", "23-40 20 24"),
-    ("partition door", "Partitions & Acoustic", "Partitions & Doors", None),
-    ("fan", "Lighting & Electrical", "Fans", None),
-    ("lighting lamp luminaire light chandelier pendant", "Lighting & Electrical", "Lighting", None),
-    ("soft+furnishing bed+bath curtain fabric drapery cushion upholstery", "Soft Furnishings", "Soft Furnishings", "23-40 00 00"),
-    ("furniture", "Furniture", "General Furniture", "23-40 20 00"),
-    ("decor", "Decor & Greenery", "Decor & Accessories", None),
+    (("plant", "planter", "gardening", "pots"), "Decor & Greenery", "Plants & Planters", None),
+    (("monitor arm", "monitor mount", "vesa", "sit-stand", "riser", "monitor arms"), "Furniture", "Ergonomic Accessories", "23-40 20 00"),
+    (("sanitaryware", "bath_fitting", "bathware", "faucet", "washbasin", "water closet", "wc"), "Bath & Sanitary", "Sanitaryware & Fittings", "23-45 05 14"),
+    (("plumbing", "pipe"), "Bath & Sanitary", "Plumbing", "23-45 00 00"),
+    (("wallpaper", "mural", "wall_decor", "wall covering", "wallcovering"), "Surfaces", "Wallpaper & Wall Coverings", "23-35 10 00"),
+    (("laminate",), "Surfaces", "Laminates", "23-35 10 00"),
+    (("cladding", "louver", "veneer", "hpl", "panel", "acrylic"), "Surfaces", "Panels & Cladding", "23-35 10 00"),
+    (("tile",), "Surfaces", "Tiles", "23-35 50 14"),
+    (("quartz", "marble", "granite", "engineered stone", "countertop", "solid surface"), "Surfaces", "Stone & Engineered Surfaces", None),
+    (("paint", "coating", "primer", "texture"), "Paint & Coatings", "Paint", "23-35 00 00"),
+    (("rug", "carpet"), "Flooring", "Rugs & Carpets", "23-35 50 00"),
+    (("wood_flooring", "wood flooring", "vinyl", "lvt", "flooring", "decking", "laminate_flooring"), "Flooring", "Hard Flooring", "23-35 50 00"),
+    (("mattress",), "Furniture", "Mattresses", "23-40 20 00"),
+    (("sofa", "recliner", "lounge", "couch"), "Furniture", "Sofas & Lounge", "23-40 20 14"),
+    (("phone booth", "booth", "acoustic pod", "acoustic"), "Partitions & Acoustic", "Booths & Pods", None),
+    (("seating", "chair", "stool", "workspace"), "Furniture", "Seating", "23-40 20 14"),
+    (("workstation", "desk", "table", "worktable"), "Furniture", "Desks & Tables", "23-40 20 00"),
+    (("storage", "wardrobe", "cabinet", "shelv", "casework"), "Furniture", "Storage", "23-40 20 24"),
+    (("partition", "door"), "Partitions & Acoustic", "Partitions & Doors", None),
+    (("fan",), "Lighting & Electrical", "Fans", None),
+    (("lighting", "lamp", "luminaire", "light", "chandelier", "pendant"), "Lighting & Electrical", "Lighting", None),
+    (("soft_furnishing", "bed_bath", "curtain", "fabric", "drapery", "cushion", "upholstery"), "Soft Furnishings", "Soft Furnishings", "23-40 00 00"),
+    (("furniture",), "Furniture", "General Furniture", "23-40 20 00"),
+    (("decor",), "Decor & Greenery", "Decor & Accessories", None),
 )
 # Points of present fields; surfaces count both sets
 CORE = {"title": 10, "brand": 5, "image_url": 20, "category": 5, "fresh_price": 25, "source_url": 5}
@@ -43,11 +43,6 @@ GATE = {"surface": 70, "default": 60}
 STALE_DAYS = 90
 
 
-def terms(rule: tuple) -> list[str]:
-    """In the table, _ stands for a space and + for an underscore inside a term."""
-    return [t.replace("_", " ").replace("+", "_") for t in rule[0].split()]
-
-
 def classify(category: Column, title: Column) -> Column:
     """Struct of family, category_std and omniclass: all rules on the category come before any rule on the title."""
     out = None
@@ -55,7 +50,7 @@ def classify(category: Column, title: Column) -> Column:
         low = F.lower(F.coalesce(text, F.lit("")))
         for rule in RULES:
             hit = None
-            for t in terms(rule):
+            for t in rule[0]:
                 one = F.contains(low, F.lit(t))
                 hit = one if hit is None else hit | one
             node = F.struct(F.lit(rule[1]).alias("family"), F.lit(rule[2]).alias("category_std"), F.lit(rule[3]).cast("string").alias("omniclass"))
@@ -67,7 +62,7 @@ def _rules_sql(field: str, pick: int) -> str:
     cases = []
     for column in ("category", "title"):
         for rule in RULES:
-            test = " OR ".join(f"contains(lower({column}), '{t}')" for t in terms(rule))
+            test = " OR ".join(f"contains(lower({column}), '{t}')" for t in rule[0])
             cases.append(f"WHEN {test} THEN " + ("NULL" if rule[pick] is None else "'" + rule[pick] + "'"))
     other = {1: "'Other'", 2: "'Unclassified'", 3: "NULL"}[pick]
     return f"CASE {' '.join(cases)} ELSE {other} END AS {field}"
