@@ -225,7 +225,16 @@ def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, numb
     at, full = F.col("at"), is_full(F.col("doc_id"), F.col("least"), F.col("n"))
     span = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     spans = F.when(full, F.array(span(at, at + F.col("size")))).otherwise(F.transform("rel", lambda r: span(at + r, at + r + length)))
-    places = found.join(known, ["a", "s"]).select("key", spans.alias("spans")).filter("spans IS NOT NULL")
+    # places of other stretches stay out of the shuffle
+    name = lambda b: T.mix(b.column("a").to_numpy().view(T.U) ^ T.mix(b.column("s").to_numpy().view(T.U)))
+    wanted = spark.sparkContext.broadcast(sketch(known.select("a", "s"), name, table_bits(known.count(), 8), 3, least=1))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.full(name(b))))
+
+    placed = found.drop("twice")
+    places = placed.mapInArrow(likely, placed.schema).join(known, ["a", "s"]).select("key", spans.alias("spans")).filter("spans IS NOT NULL")
     out = tmp.table(places.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     tmp.keep(out)
     return out

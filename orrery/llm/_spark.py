@@ -31,7 +31,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, new_path(spark, name), 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # by the table's identity, which the reference keeps
 
     def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         """df written once and read again."""
@@ -44,25 +44,23 @@ class Scratch:
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later step reads, and lets Spark's cleaner drop the shuffle files of ended jobs."""
+        """Deletes tables that no later step reads."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.sweep()
 
     def keep(self, *tables: DataFrame) -> None:
         """Deletes every table but these."""
         held = {id(t) for t in tables}
-        for key in [k for k in self.paths if k not in held]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.sweep()
+        self.drop(*[t for t, _ in self.paths.values() if id(t) not in held])
 
     def sweep(self) -> None:
+        """Lets Spark's cleaner drop what ended jobs have left."""
         gc.collect()
         self.spark._jvm.System.gc()
 
