@@ -3,7 +3,7 @@
 A text is a normalised vector of hashed byte trigrams of its letters (lower case, other characters as one kind of
 gap), weighed by inverse document frequency. Each language has several centroids, found by spherical k-means among
 its training texts; a text gets the language of the centroid with the largest cosine. A text whose cosine is below
-its centroid's limit, a part of the lowest training cosines, is rejected.
+its language's limit, a part of the lowest training cosines, is rejected.
 
 The fit uses at most about `per_language` labelled texts of each language, chosen by a hash of the id.
 """
@@ -76,21 +76,23 @@ def fit_counts(counts: np.ndarray, languages: list[str], per: int = 3, rounds: i
     centroids, limits, of = [], [], []
     for name in sorted(set(languages)):
         own = x[names == name]
-        far, chosen = np.full(len(own), np.inf), [0]
-        for _ in range(1, min(per, len(own))):  # starts: each the text farthest from the ones before
-            far = np.minimum(far, 1 - own @ own[chosen[-1]])
-            chosen.append(int(far.argmax()))
-        c = own[chosen]
+        # starts: means of equal parts along the direction of most variance, found by power iteration
+        apart = own - own.mean(axis=0)
+        along = apart[int((apart**2).sum(axis=1).argmax())]
+        for _ in range(rounds):
+            along = apart.T @ (apart @ along)
+            along /= max(np.linalg.norm(along), 1e-12)
+        parts = np.array_split(np.argsort(apart @ along, kind="stable"), min(per, len(own)))
+        c = _unit(np.stack([own[p].mean(axis=0) for p in parts]))
         for _ in range(rounds):
             at = (own @ c.T).argmax(axis=1)
             c = _unit(np.stack([own[at == j].sum(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
-        cos = own @ c.T
-        at = cos.argmax(axis=1)
-        for j in range(len(c)):
-            if (at == j).any():
-                centroids.append(c[j])
-                limits.append(strict * float(np.quantile(cos[at == j, j], 0.01)))
-                of.append(name)
+        members = np.bincount((own @ c.T).argmax(axis=1), minlength=len(c))
+        c = c[members >= min(0.01 * len(own), members.max())]  # a few odd texts make no centroid
+        limit = strict * float(np.quantile((own @ c.T).max(axis=1), 0.01))
+        centroids.extend(c)
+        limits += [limit] * len(c)
+        of += [name] * len(c)
     return Model(of, np.array(centroids, np.float32).reshape(-1, counts.shape[1]), np.array(limits), idf)
 
 
