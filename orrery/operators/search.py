@@ -21,10 +21,6 @@ def prefix_terms(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[a-z0-9]+", text.lower())))
 
 
-def _starting(words, prefix: str) -> F.Column:
-    return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(prefix))))
-
-
 def bm25(docs: DataFrame, text: str, k: int = 20) -> DataFrame:
     """id, score: Okapi BM25 over (id, body), words matched by prefix, ties to the smaller id.
 
@@ -33,8 +29,8 @@ def bm25(docs: DataFrame, text: str, k: int = 20) -> DataFrame:
     terms = prefix_terms(text)
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    words = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    counted = docs.select("id", F.size(words).alias("len"), *[_starting(words, t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    low = F.lower(F.coalesce("body", F.lit("")))
+    counted = docs.select("id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("len"), *[F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}")).alias(f"tf{i}") for i, t in enumerate(terms)])
     sums = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(sums))  # one row
     score = F.lit(0.0)
