@@ -96,7 +96,7 @@ def fit_counts(counts: np.ndarray, languages: list[str], per: int = 3, rounds: i
     return Model(of, np.array(centroids, np.float32).reshape(-1, counts.shape[1]), np.array(limits), idf)
 
 
-def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, may_learn: Column, per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on rows that may_learn allows and that have a language and a text."""
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     number = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
