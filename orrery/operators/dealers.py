@@ -16,10 +16,27 @@ PAN = 18  # states served that count as the whole country
 
 @query(oracle("dealer", "SELECT supplier_domain, city, pincode, min(id) AS id FROM dealer GROUP BY supplier_domain, city, pincode"))
 def dealer_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First dealer of each place; nulls are equal in grouping, as the reference's null-safe comparison wants."""
+    """First dealer of each place, whatever the name; store_dealers keeps dealers apart by name. Nulls are equal in grouping."""
     return relation(spark, sf_dir, "dealer").groupBy("supplier_domain", "city", "pincode").agg(F.min("id").alias("id"))
 
 
+_CLEAN = "nullif(trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '') AS {0}"
+
+
+@query(oracle("dealer", f"""WITH c AS (SELECT id, supplier_domain, {_CLEAN.format('name')}, {_CLEAN.format('city')}, {_CLEAN.format('pincode')} FROM dealer)
+SELECT supplier_domain, name, city, pincode, min(id) AS id FROM c WHERE name IS NOT NULL AND (city IS NOT NULL OR pincode IS NOT NULL) GROUP BY ALL"""))
+def store_dealers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row of each dealer as the reference stores them: the name counts besides the place, an empty part is a
+    null one, and rows without a name or without any place are left out. Tags and spare spaces go before."""
+    return distinct_dealers(relation(spark, sf_dir, "dealer"))
+
+
+def distinct_dealers(dealers: DataFrame) -> DataFrame:
+    clean = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " ")), F.lit("")).alias(c)
+    d = dealers.select("id", "supplier_domain", clean("name"), clean("city"), clean("pincode"))
+    return d.filter("name IS NOT NULL AND (city IS NOT NULL OR pincode IS NOT NULL)").groupBy("supplier_domain", "name", "city", "pincode").agg(F.min("id").alias("id"))
+
+
 @query(oracle("dealer", "SELECT supplier_domain, string_agg(DISTINCT state, '|' ORDER BY state) AS states, string_agg(DISTINCT city, '|' ORDER BY city) AS cities, count(*) AS n, count(DISTINCT state) >= 18 AS pan FROM dealer GROUP BY supplier_domain"))
 def dealer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = relation(spark, sf_dir, "dealer").groupBy("supplier_domain").agg(F.array_sort(F.collect_set("state")).alias("s"), F.array_sort(F.collect_set("city")).alias("c"), F.count("*").alias("n"))

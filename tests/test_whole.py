@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from orrery.catalog import QUERIES
+from orrery.operators.dealers import distinct_dealers
 from orrery.relations import relation
 
 BASE = Path("/root/testdata")
@@ -21,3 +22,11 @@ def test_every_supplier_is_there(spark):
     assert QUERIES["supplier_detail"](spark, SF).count() == n
     assert QUERIES["catalog_stats"](spark, SF).first().active == s.filter("status = 'active'").count() == sum(k % 7 != 0 for k in range(n))
     assert {r.n for r in QUERIES["coverage_report"](spark, SF).groupBy("facet").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {n}
+
+
+def test_dealers_differ_by_name(spark):
+    n = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert QUERIES["store_dealers"](spark, SF).count() == n  # no two customers have one name
+    rows = [(1, "d", "A", "x", None), (2, "d", "B", "x", None), (3, "d", " <b>A</b> ", "x", ""), (4, "d", "A", "x", "1"), (5, "d", "A", None, None), (6, "d", None, "x", "1"), (7, "e", "A", "x", None)]
+    got = distinct_dealers(spark.createDataFrame(rows, "id long, supplier_domain string, name string, city string, pincode string"))
+    assert sorted(r.id for r in got.collect()) == [1, 2, 4, 7]
