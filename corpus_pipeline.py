@@ -23,9 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8; the document with the least id of each group stays."""
-    kept = near_dedup.group(docs, size=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Shingles of five words, similarity 0.8; the document with the least id of each group stays, or one without an id if all are."""
+    return near_dedup.keep_first(docs, size=5, percent=80).select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as T
 from orrery.llm._components import components
 from orrery.llm._repeats import NO_ID, as_long
 from orrery.llm._spark import Scratch
+from orrery.llm.mixing import WORD
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
@@ -176,17 +177,44 @@ def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(node[moved]), "v": pa.array(node[root[moved]])}) if len(moved) else empty
 
 
+def last_id(docs: DataFrame, id_col: str) -> int:
+    """The largest id; 0 if there is none above it."""
+    return min(max(docs.agg(F.max(F.col(id_col).cast("long"))).first()[0] or 0, 0), NO_ID - 1)
+
+
+def row_key(id: Column, text: Column, last: int) -> Column:
+    """A long that names a document: its id, or above the last id one of its text."""
+    return F.coalesce(id.cast("long"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NO_ID - last)) + F.lit(last + 1))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose documents group() keeps. Of rows without an id, one of each text with words stays."""
+    last = last_id(docs, id_col)
+    kept = _grouped(docs, size, percent, id_col, text_col, last).filter("kept").select(F.col("key").alias("near_key")).distinct()
+    keyed = docs.select(*docs.columns, row_key(F.col(id_col), F.col(text_col), last).alias("near_key"))
+    copies = F.col(id_col).isNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    return keyed.filter(~copies).union(keyed.filter(copies).dropDuplicates(["near_key", text_col])).join(kept, "near_key", "left_semi").select(*docs.columns)
+
+
 def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row.
 
     Documents link if 100 * intersection >= percent * union of their sets of shingles of `size` words. component_id
     is the least doc_id reachable, kept whether it is the document's own. Documents without words have no shingles
-    and link with nothing. Rows that share an id are one document; a null id counts as larger than all others, and
-    a component of null ids alone has component_id null and is kept. An empty table gives no rows.
+    and link with nothing. Rows that share an id are one document, and so are rows without an id that share a text. A
+    null id counts as larger than all others; a component of null ids alone has component_id null, and the document
+    whose text has the least hash is kept. An empty table gives no rows.
     """
+    last = last_id(docs, id_col)
+    real = lambda c: F.when(F.col(c) <= last, F.col(c)).alias(c)
+    return _grouped(docs, size, percent, id_col, text_col, last).withColumnRenamed("key", "doc_id").select(real("doc_id"), "n_shingles", real("component_id"), "kept")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, last: int) -> DataFrame:
+    """key, n_shingles, component_id, kept per row, by row_key."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "near")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(row_key(F.col(id_col), F.col(text_col), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, rows=1 << ROW_BITS):
@@ -222,4 +250,4 @@ def group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_
     found = components(links, tmp)
     named = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     joined = signed.join(named, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", "doc_id"))
-    return joined.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(NO_ID)).alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return joined.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))

@@ -34,3 +34,13 @@ def test_stages_on_awkward_rows(spark):
         docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
         for _, stage in P.STAGES:
             assert stage(spark, docs, "").count() >= 0
+
+
+def test_documents_without_an_id_stay(spark):
+    text = lambda n, size=60: " ".join(f"w{n}x{j}" for j in range(size))
+    rows = [(1, text(1)), (2, text(2)), (None, text(1) + " end"), (None, text(3)), (None, text(3)), (None, text(3).upper()), (None, text(4)), (None, text(5)), (None, text(5) + " end"), (None, ""), (None, None), (None, " "), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = P.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == [1, 2, 3]
+    own = sorted((r.text or "").lower().split()[:1] for r in left if r.doc_id is None)
+    assert own == [[], [], [], ["w3x0"], ["w4x0"], ["w5x0"]]
