@@ -30,3 +30,9 @@ def test_dealers_differ_by_name(spark):
     rows = [(1, "d", "A", "x", None), (2, "d", "B", "x", None), (3, "d", " <b>A</b> ", "x", ""), (4, "d", "A", "x", "1"), (5, "d", "A", None, None), (6, "d", None, "x", "1"), (7, "e", "A", "x", None)]
     got = distinct_dealers(spark.createDataFrame(rows, "id long, supplier_domain string, name string, city string, pincode string"))
     assert sorted(r.id for r in got.collect()) == [1, 2, 4, 7]
+
+
+def test_similar_items_grow_with_the_table(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = QUERIES["similar_items_by_hundred"](spark, SF).groupBy("id").count().collect()
+    assert {r.id for r in got} == {r.vec_id for r in e.filter("vec_id % 100 = 0").select("vec_id").collect()} and {r["count"] for r in got} == {6}
