@@ -10,7 +10,7 @@ The fit uses at most about `per_language` labelled texts of each language, chose
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,11 +71,31 @@ class Model:
 
 def fit_counts(counts: np.ndarray, languages: list[str], per: int = 3, rounds: int = 20, strict: float = 0.5) -> Model:
     """The model of rows of trigram counts and their languages."""
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, names = _unit(np.log1p(counts) * idf), np.array(languages)
+    names = np.array(languages)
+    return _fit_parts(len(counts), (counts > 0).sum(axis=0), ((name, counts[names == name]) for name in sorted(set(languages))), per, rounds, strict)
+
+
+def fit_sparse(features: pa.Array, numbers: pa.Array, languages: list[str], **options) -> Model:
+    """fit_counts of rows of features and their numbers, both as bytes; one language at a time is made dense."""
+    names, rows = np.array(languages), [(np.frombuffer(f.as_py(), "<u2"), np.frombuffer(n.as_py(), "<u4")) for f, n in zip(features, numbers, strict=True)]
+
+    def dense(name: str) -> np.ndarray:
+        own = np.flatnonzero(names == name)
+        out = np.zeros((len(own), DIM), np.float32)
+        for i, k in enumerate(own):
+            out[i, rows[k][0]] = rows[k][1]
+        return out
+
+    having = np.bincount(np.concatenate([np.zeros(0, "<u2"), *[f for f, _ in rows]]), minlength=DIM)
+    return _fit_parts(len(rows), having, ((name, dense(name)) for name in sorted(set(languages))), **options)
+
+
+def _fit_parts(n: int, having: np.ndarray, parts_of: Iterable[tuple[str, np.ndarray]], per: int = 3, rounds: int = 20, strict: float = 0.5) -> Model:
+    """The model of n rows, having[j] of them with feature j, given as counts by language."""
+    idf = (np.log((1 + n) / (1 + having)) + 1).astype(np.float32)
     centroids, limits, of = [], [], []
-    for name in sorted(set(languages)):
-        own = x[names == name]
+    for name, counts in parts_of:
+        own = _unit(np.log1p(counts) * idf)
         # starts: means of equal parts along the direction of most variance, found by power iteration
         apart = own - own.mean(axis=0)
         along = apart[int((apart**2).sum(axis=1).argmax())]
@@ -93,10 +113,10 @@ def fit_counts(counts: np.ndarray, languages: list[str], per: int = 3, rounds: i
         centroids.extend(c)
         limits += [limit] * len(c)
         of += [name] * len(c)
-    return Model(of, np.array(centroids, np.float32).reshape(-1, counts.shape[1]), np.array(limits), idf)
+    return Model(of, np.array(centroids, np.float32).reshape(-1, len(idf)), np.array(limits), idf)
 
 
-def fit(docs: DataFrame, may_learn: Column, per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on rows that may_learn allows and that have a language and a text."""
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     number = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
@@ -108,10 +128,13 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = 300, id_col: str
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches):
             c = vectors(*T.flat(part.column("text")))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "c": pa.array([x.astype("<f4").tobytes() for x in c], pa.binary())})
+            some = [np.flatnonzero(x) for x in c]
+            f = [k.astype("<u2").tobytes() for k in some]
+            n = [x[k].astype("<u4").tobytes() for x, k in zip(c, some, strict=True)]
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "f": pa.array(f, pa.binary()), "n": pa.array(n, pa.binary())})
 
-    got = rows.filter(chosen).mapInArrow(counted, "doc_id long, lang string, c binary").orderBy("doc_id", "lang", "c").toArrow()
-    return fit_counts(np.stack([np.frombuffer(x, "<f4") for x in got.column("c").to_pylist()]), got.column("lang").to_pylist())
+    got = rows.filter(chosen).mapInArrow(counted, "doc_id long, lang string, f binary, n binary").orderBy("doc_id", "lang", "f", "n").toArrow()
+    return fit_sparse(got.column("f"), got.column("n"), got.column("lang").to_pylist())
 
 
 SHAPE = "struct<lang_pred: string, score: double, rejected: boolean>"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import inspect
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +298,17 @@ def test_language_id(spark, docs, rows, empty):
     assert language_id.keep_identified(docs, model).columns == docs.columns
 
 
+def test_language_fit_is_sparse_and_of_a_thousand_texts():
+    assert inspect.signature(language_id.fit).parameters["per_language"].default >= 1000
+    rng = np.random.default_rng(4)
+    counts = (rng.poisson(0.02, (60, language_id.DIM)) * rng.integers(1, 70_000, (60, 1))).astype(np.float32)
+    names = ["x", "y", "y"] * 20
+    some = [np.flatnonzero(c) for c in counts]
+    a = language_id.fit_counts(counts, names)
+    b = language_id.fit_sparse(pa.array([k.astype("<u2").tobytes() for k in some]), pa.array([c[k].astype("<u4").tobytes() for c, k in zip(counts, some, strict=True)]), names)
+    assert a.languages == b.languages and (a.centroids == b.centroids).all() and (a.limits == b.limits).all() and (a.idf == b.idf).all()
+
+
 def test_ordinal_quality(spark, docs, rows, empty):
     rng = random.Random(9)
     vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
