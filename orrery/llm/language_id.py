@@ -22,6 +22,7 @@ from orrery.llm import _text as T
 from orrery.llm._spark import id_text
 
 DIM = 1 << 12
+ROWS = 1024  # of texts whose dense counts are held at a time
 UNKNOWN = "und"
 
 
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, id_col: st
     chosen = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * F.lit(float(1 << 30))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, rows=ROWS):
             c = vectors(*T.flat(part.column("text")))
             some = [np.flatnonzero(x) for x in c]
             f = [k.astype("<u2").tobytes() for k in some]
@@ -143,7 +144,7 @@ SHAPE = "struct<lang_pred: string, score: double, rejected: boolean>"
 def predict(text: pa.Array, model: Model) -> pa.StructArray:
     """SHAPE of each text; see identify."""
     names, parts = np.array([*model.languages, UNKNOWN], dtype=object), []
-    for part in T.slices(iter([pa.record_batch({"text": text})])):
+    for part in T.slices(iter([pa.record_batch({"text": text})]), rows=ROWS):
         buf, off = T.flat(part.column("text"))
         n, low = part.num_rows, T.lower_ascii(buf)
         letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
