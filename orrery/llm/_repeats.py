@@ -1,19 +1,20 @@
 """Exact search for windows of L elements (bytes or words) that occur in several places of a corpus.
 
-All windows would be too many to shuffle. Every window has an anchor, the k-gram with the least hash in it; equal
-windows have equal anchors. Consecutive windows with the same anchor place form a stretch of at most 2 L - k
-elements, about one per (L - k) / 2 elements of text. So:
-
-1. sketch: each task counts anchors in cells of a fixed-width table, saturating at 2; merged sketches never
-   underestimate. Only anchors whose cell is full go on; none that repeats is lost.
-   A stretch that holds its anchor twice counts twice.
-2. candidates: stretches with such anchors, by (anchor hash a, stretch hash s), 121 bits together.
-3. groups: equal stretches are repeats of all their windows. Anchors with several different stretches, mostly edges
-   of copied passages, are looked at window by window, grouped by (a, window hash).
-
-Groups are built by aggregations that combine before the shuffle, and decisions go back to the places by joins on
-which Spark splits skewed keys, so no key needs its rows in one task. The sketch is broadcast; its size is bounded
-by MOST_BITS. A larger corpus fills it, which sends more candidates on but changes no result.
+All windows would be too many to shuffle. Every window has an anchor, the k-gram with the least hash in it (of equal
+ones the leftmost), so equal windows have equal anchors at equal places. Consecutive windows with the same anchor
+place form a stretch of at most 2 L - k elements, about one per (L - k) / 2 elements of text. So:
+
+1. sketch: each partition counts anchors in a count-min sketch of its own, of two rows that saturate at 2. The first
+   two places of an anchor, by that count, go to the segment that owns the anchor's hash; later ones are repeated for
+   sure and go to any segment, as they are. So a segment gets at most two places of an anchor from each partition,
+   however common it is.
+2. prefilter: a segment merges what partitions counted, in a count-min sketch of two rows, and passes the places on
+   whose anchor it estimates at two or more. Sketches never underestimate, and a window occurs at most as often as
+   its anchor, so no repeated window is lost. The number of segments grows with the corpus; their size does not.
+3. exact part: by the caller, over the distinct stretches of anchors that passed (`Places.one`), whose texts it fetches.
+
+Nothing is broadcast. Texts are long or many; a text of over LONG elements is looked at in overlapping pieces.
+Hashes of stretches are pairs of 64 bits (anchor a, stretch s). Rows are named by id and two 64-bit hashes of the text.
 """
 
 from __future__ import annotations
@@ -22,243 +23,220 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as T
+from orrery.llm._spark import Scratch
 
 NO_ID = (1 << 63) - 1  # stands for a null id, which is smaller than none
-MOST_BITS = 29
 SLICE = 1 << 19  # bytes of text whose anchors are found at a time
-SEGMENT_BITS = 17  # cells of one merge group
-PLACE = np.uint64(127)  # low bits of an anchor value hold its place, so that equal k-grams of one window differ
+LONG = 1 << 19  # elements of one piece of a text
+OWN_BITS = 23  # cells of each row of a partition's sketch
+SEGMENT = 1 << 16  # anchors of a segment, about
+CELLS_BITS = 18  # cells of each row of a segment's sketch
+KEY = ["doc_id", "k1", "k2"]
+PLACE = np.uint64(127)  # low bits of a gram's value, for its place
 
-Elements = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+Grams = Callable[[np.ndarray, np.ndarray, int, int], Iterator[tuple[np.ndarray, np.ndarray, int]]]
 
 
-def byte_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    buf, off = T.flat(part.column("text"))
-    return T.byte_codes(1)[buf], off
+def _pieces(n: int, rows: int, length: int) -> list[int]:
+    return list(range(0, max(n - length + 1, 1), LONG)) if rows == 1 and n > LONG else [0]
 
 
-def word_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    buf, off = T.flat(part.column("text"))
-    starts, ends, word_off = T.word_bounds(buf, off)
-    return T.word_hashes(buf, starts, ends), word_off
+def byte_grams(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes of k bytes from each place, row offsets, and the first place of the piece; k is a multiple of 8."""
+    starts = _pieces(len(buf), len(off) - 1, length)
+    for p in starts:
+        piece = buf[p : p + LONG + length - 1] if len(starts) > 1 else buf
+        n = len(piece) - k + 1
+        grams = np.zeros(0, T.U)
+        if n > 0:
+            at8 = T.eights(piece)
+            grams = T.mix(at8[:n])
+            for j in range(8, k, 8):
+                grams = T.combine(grams, at8[j : j + n])
+        yield grams, np.array([0, len(piece)]) if len(starts) > 1 else off, p
+
+
+def word_grams(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The same over words."""
+    first, last, word_off = T.word_bounds(buf, off)
+    starts = _pieces(len(first), len(off) - 1, length)
+    for p in starts:
+        cut = slice(p, p + LONG + length - 1) if len(starts) > 1 else slice(None)
+        grams = T.gram_hashes(T.word_hashes(buf, first[cut], last[cut]), k)
+        yield grams, np.array([0, len(first[cut])]) if len(starts) > 1 else word_off, p
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    span = 1
+    while span * 2 <= width:
+        h, span = np.minimum(h[:-span], h[span:]), span * 2
+    return h if span == width else np.minimum(h[: len(h) - (width - span)], h[width - span :])
 
 
 class Stretches:
-    """The stretches of a flat sequence of rows: a, s, row, start (in the flat sequence), size, place of the anchor."""
+    """The stretches of a flat sequence of rows: a, s, row, start (in the flat sequence), size, anchor (its place)."""
 
-    def __init__(self, values: np.ndarray, off: np.ndarray, length: int, k: int):
-        self.length, self.k, self.hashes = length, k, T.PrefixHash(values, 1)
+    def __init__(self, grams: np.ndarray, off: np.ndarray, length: int, k: int):
+        first, row = T.windows(off, length)
         empty = np.zeros(0, np.int64)
         self.row = self.start = self.size = self.anchor = empty
         self.a = self.s = np.zeros(0, T.U)
-        if len(values) < length:
-            return
-        at = np.arange(len(values) - k + 1)
-        h = T.mix(self.hashes.sums[k:] * self.hashes.down[at] - self.hashes.sums[: len(at)] * self.hashes.down[at])
-        h &= ~PLACE
-        h |= at.astype(T.U) & PLACE
-        self.grams = h
-        w, span, least = length - k + 1, 1, h
-        while span * 2 <= w:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < w:
-            least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
-        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        first = np.flatnonzero(row[: len(least)] == row[length - 1 :])
         if not len(first):
             return
-        v = least[first]
-        new = np.ones(len(first), bool)
-        new[1:] = (v[1:] != v[:-1]) | (first[1:] != first[:-1] + 1)
-        begins = np.flatnonzero(new)
-        self.start = first[begins]
+        # the value's low bits tell places apart, in ascending order inside a window: of equal grams the leftmost wins
+        width, half = length - k + 1, T.U(64)
+        at = np.arange(len(grams), dtype=T.U)
+        clear = grams & ~PLACE
+        plain, moved = _least(clear | (at & PLACE), width), _least(clear | ((at + half) & PLACE), width)
+        turn = (first & 127) + width > 128
+        v = np.where(turn, moved[first], plain[first])
+        base = np.where(turn, first + 64, first).astype(T.U)
+        anchor = first + ((v - base) & PLACE).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        self.start, self.row, self.anchor = first[begins], row[begins], anchor[begins]
         self.size = first[np.append(begins[1:], len(first)) - 1] + length - self.start
-        self.row, v = row[self.start], v[begins]
-        self.anchor = self.start + ((v - self.start.astype(T.U)) & PLACE).astype(np.int64)
-        self.a = T.mix(v >> T.U(7))
-        self.s = T.mix(self.hashes.spans(self.start, self.start + self.size) ^ T.mix(self.size.astype(T.U)))
+        self.a = T.mix(v[begins] >> T.U(7))
+        self.s = T.run_hashes(grams, k, self.start, self.start + self.size, 2 * length - k)
 
-    def take(self, keep: np.ndarray) -> None:
-        for name in ("row", "start", "size", "anchor", "a", "s"):
-            setattr(self, name, getattr(self, name)[keep])
-
-    def twice(self) -> np.ndarray:
-        """Stretches that hold their anchor's k-gram more than once, so that a window may repeat inside the stretch."""
-        if not len(self.a):
-            return np.zeros(0, bool)
-        at = self.start[:, None] + np.arange(2 * (self.length - self.k) + 1)
-        inside = at <= (self.start + self.size - self.k)[:, None]
-        same = self.grams[np.minimum(at, len(self.grams) - 1)] >> T.U(7) == (self.grams[self.anchor] >> T.U(7))[:, None]
-        return (same & inside).sum(axis=1) > 1
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every window of the stretches: number of its stretch, place in the stretch, hash."""
-        count = self.size - self.length + 1
-        of = np.repeat(np.arange(len(count)), count)
-        rel = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        at = self.start[of] + rel
-        return of, rel, T.mix(self.hashes.spans(at, at + self.length))
 
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def cells(a: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    return (T.mix(a ^ T.U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> T.U(64 - bits)).astype(np.int64)
 
+class CountMin:
+    """Two rows of counts that saturate at 2; estimates are never too low."""
 
-class Sketch:
-    """One bit per cell: set if the merged count of the cell is at least two."""
+    def __init__(self, bits: int):
+        self.bits, self.rows = bits, np.zeros((2, 1 << bits), np.uint8)
 
-    def __init__(self, bits: int, seed: int, data: np.ndarray):
-        self.bits, self.seed, self.data = bits, seed, data
+    def cells(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = T.mix(a * T.U(0xA24BAED4963EE407) + T.U(1))
+        low = T.U((1 << self.bits) - 1)
+        return (h & low).astype(np.int64), (h >> T.U(64 - self.bits)).astype(np.int64)
 
-    def full(self, a: np.ndarray) -> np.ndarray:
-        c = cells(a, self.bits, self.seed)
-        return (self.data[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+    def estimate(self, a: np.ndarray) -> np.ndarray:
+        x, y = self.cells(a)
+        return np.minimum(self.rows[0, x], self.rows[1, y])
 
+    def add(self, a: np.ndarray) -> None:
+        for row, c in zip(self.rows, self.cells(a), strict=True):
+            c, n = np.unique(c, return_counts=True)
+            row[c] = np.minimum(row[c] + np.minimum(n, 2).astype(np.uint8), 2)
 
-def sketch(found: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, seed: int, least: int = 2) -> Sketch:
-    """Counts hashes of all batches of found and keeps the cells that reach least (1 or 2).
 
-    Tasks send the cells they have seen, once each with a mark for twice or more; cells are merged by segment.
-    """
-    seg = min(SEGMENT_BITS, bits)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            c, times = np.unique(np.concatenate(held), return_counts=True)
-            packed = ((c & ((1 << seg) - 1)) * 2 + (times > 1)).astype("<u4")
-            segment = c >> seg
-            cut = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-            data, edges = packed.tobytes(), np.append(cut, len(c)) * 4
-            blobs = [data[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            yield pa.record_batch({"segment": pa.array(segment[cut].astype(np.int32)), "cells": pa.array(blobs, pa.binary())})
-
-        for b in batches:
-            c = cells(hashes(b), bits, seed)
-            held, n = [*held, c], n + len(c)
-            if n > 2_000_000:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        count = np.zeros(1 << seg, np.uint8)
-        for blob in table.column("cells").to_pylist():
-            x = np.frombuffer(blob, "<u4")
-            c = x >> 1
-            count[c] = np.minimum(count[c] + 1 + (x & 1).astype(np.uint8), 2)
-        return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([np.packbits(count >= least, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    width = 1 << (seg - 3)
-    parts = found.mapInArrow(partial, "segment int, cells binary").groupBy("segment").applyInArrow(merge, "segment int, bits binary")
-    for r in parts.toLocalIterator():  # at most 2 ** (bits - 3) bytes in all, one partition at a time
-        out[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return Sketch(bits, seed, out)
-
-
-def table_bits(number: int, per: int = 8) -> int:
-    """Cells for `number` hashes: a power of two of at least per times as many, within the bound."""
-    return min(MOST_BITS, max(20, int(per * max(number, 1) - 1).bit_length()))
+def nth(a: np.ndarray) -> np.ndarray:
+    """How many equal values come before each one."""
+    order = np.argsort(a, kind="stable")
+    new = np.concatenate([[True], a[order[1:]] != a[order[:-1]]]) if len(a) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    out = np.empty(len(a), np.int64)
+    out[order] = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    return out
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id (null: NO_ID), text (null: empty), a key of both, under which decisions find their rows, and carried columns as one struct."""
+    """doc_id (null: NO_ID), text (null: empty), k1 and k2, two hashes of the text, and carried columns as one struct.
+
+    Decisions find their rows by KEY. Rows of equal KEY have equal texts and equal ids, and so equal results.
+    """
     text, number = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(number, text).alias("key"), *([F.struct(*carry).alias("carried")] if carry else []))
+    return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), *([F.struct(*carry).alias("carried")] if carry else []))
 
 
-def as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+PLACED = "a long, s long, doc_id long, k1 long, k2 long, w long"
 
 
-def repeated(rows: DataFrame, tmp, elements: Elements, length: int, k: int, number: int, is_full: Callable[[Column, Column, Column], Column], windows: Callable[[DataFrame, Sketch, DataFrame], DataFrame], inside: bool) -> DataFrame:
-    """key, spans: element spans start << 32 | end of each row that lie in repeated windows.
+def packed(at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return at << 16 | size << 8 | anchor
 
-    rows: keyed documents. number: elements in all. is_full(doc_id, least, count): whether a stretch is repeated as a
-    whole at doc_id, given the least doc_id and the number of its places. windows(rows, sketch of anchors with
-    several stretches, table of those anchors and their numbers of places n): (a, s, rel), the repeated windows of stretches at their first place. inside: whether repeats within a document count.
-    """
-    spark: SparkSession = rows.sparkSession
-    rows = rows.select("doc_id", "text", "key")
 
-    def stretches(part: pa.RecordBatch) -> Stretches:
-        return Stretches(*elements(part), length, k)
+def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First element in the row, number of elements, and place of the anchor in the stretch."""
+    return w >> 16, w >> 8 & 255, w & 255
 
-    # the sketch reads texts itself: anchors do not travel
-    def counted(batch: pa.RecordBatch) -> np.ndarray:
-        out = [np.zeros(0, T.U)]
-        for part in T.slices(iter([batch]), limit=SLICE):
-            x = stretches(part)
-            out += [x.a, x.a[x.twice()]] if inside else [x.a]
-        return np.concatenate(out)
 
-    seen = sketch(rows.select("text"), counted, table_bits(2 * number // (length - k + 2)), 1)
-    sent = spark.sparkContext.broadcast(seen)
+def places(rows: DataFrame, grams: Grams, length: int, k: int, number: int) -> DataFrame:
+    """PLACED: the stretches whose anchors are estimated at two places or more. number: elements in all, about."""
+    segments = max(1, -(-2 * number // (length - k + 2) // SEGMENT))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = CountMin(OWN_BITS)
         for part in T.slices(batches, limit=SLICE):
-            x = stretches(part)
-            off = elements_offsets(part, elements)
-            x.take(sent.value.full(x.a))
-            r = pa.array(x.row)
-            yield pa.record_batch({"a": as_long(x.a), "s": as_long(x.s), "doc_id": part.column("doc_id").take(r), "key": part.column("key").take(r), "at": pa.array((x.start - off[x.row]).astype(np.int32)), "size": pa.array(x.size.astype(np.int32)), "twice": pa.array(x.twice() if inside else np.zeros(len(x.a), bool))})
-
-    found = tmp.table(rows.mapInArrow(candidates, "a long, s long, doc_id long, key long, at int, size int, twice boolean"))
-    groups = found.groupBy("a", "s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    whole = tmp.table(groups.filter(is_full(F.col("most"), F.col("least"), F.col("n"))).select("a", "s", "least", "n"))
-    several = found.groupBy("a").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("n"), F.max("twice").alias("twice"))
-    several = tmp.table(several.filter("low < high OR twice").select("a", "n"))
-    mixed = sketch(several.select("a"), lambda b: b.column("a").to_numpy().view(T.U), table_bits(several.count(), 64), 2, least=1)
-    parts = windows(rows, mixed, several).groupBy("a", "s").agg(F.sort_array(F.collect_set("rel")).alias("rel"))
-    whole = whole.withColumn("rel", F.lit(None).cast("array<int>"))
-    known = whole.unionByName(parts.select("a", "s", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("n"), "rel"))
-    known = tmp.table(known.groupBy("a", "s").agg(F.max("least").alias("least"), F.max("n").alias("n"), F.max("rel").alias("rel")))
-    tmp.keep(found, known)
-    at, full = F.col("at"), is_full(F.col("doc_id"), F.col("least"), F.col("n"))
-    span = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-    spans = F.when(full, F.array(span(at, at + F.col("size")))).otherwise(F.transform("rel", lambda r: span(at + r, at + r + length)))
-    # places of other stretches stay out of the shuffle
-    name = lambda b: T.mix(b.column("a").to_numpy().view(T.U) ^ T.mix(b.column("s").to_numpy().view(T.U)))
-    wanted = spark.sparkContext.broadcast(sketch(known.select("a", "s"), name, table_bits(known.count(), 8), 3, least=1))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(wanted.value.full(name(b))))
-
-    placed = found.drop("twice")
-    places = placed.mapInArrow(likely, placed.schema).join(known, ["a", "s"]).select("key", spans.alias("spans")).filter("spans IS NOT NULL")
-    out = tmp.table(places.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    tmp.keep(out)
-    return out
-
-
-def elements_offsets(part: pa.RecordBatch, elements: Elements) -> np.ndarray:
-    buf, off = T.flat(part.column("text"))
-    return off if elements is byte_elements else T.word_bounds(buf, off)[2]
+            for g, off, base in grams(*T.flat(part.column("text")), length, k):
+                x = Stretches(g, off, length, k)
+                known = own.estimate(x.a) + nth(x.a) >= 2
+                own.add(x.a[~known])
+                owner = ((np.where(known, T.mix(x.s + x.start.astype(T.U)), x.a) >> T.U(32)) * T.U(segments)) >> T.U(32)
+                r = pa.array(x.row)
+                w = packed(x.start - off[x.row] + base, x.size, x.anchor - x.start)
+                yield pa.record_batch({"p": pa.array(owner.astype(np.int32)), "known": pa.array(known), "a": as_long(x.a), "s": as_long(x.s), **{c: part.column(c).take(r) for c in KEY}, "w": pa.array(w)})
+
+    def merged(table: pa.Table) -> pa.Table:
+        a, known = table.column("a").to_numpy().view(T.U), table.column("known").to_numpy()
+        sketch = CountMin(CELLS_BITS)
+        sketch.add(a[~known])
+        return table.filter(pa.array(known | (sketch.estimate(a) >= 2))).select(["a", "s", *KEY, "w"])
+
+    found = rows.select(*KEY, "text").mapInArrow(sketched, f"p int, known boolean, {PLACED}")
+    return found.groupBy("p").applyInArrow(merged, PLACED)
+
+
+class Places:
+    """Places of stretches that may repeat, as a table, and their distinct stretches (a, s, least, most, n and one place)."""
+
+    def __init__(self, rows: DataFrame, tmp: Scratch, grams: Grams, length: int, k: int, number: int):
+        self.rows, self.tmp, self.length = rows, tmp, length
+        self.found = tmp.table(places(rows, grams, length, k, number))
+        first = F.min(F.struct("doc_id", "k1", "k2", "w")).alias("place")
+        self.one = tmp.table(self.found.groupBy("a", "s").agg(first, F.max("doc_id").alias("most"), F.count("*").alias("n")).select("a", "s", "place.*", "most", "n"))
+
+    def texts(self, stretches: DataFrame) -> DataFrame:
+        """Texts of the rows that hold the given stretches of `one`, each with the list of them."""
+        per = stretches.groupBy(*KEY).agg(F.collect_list(F.struct(*[c for c in stretches.columns if c not in KEY])).alias("held"))
+        return self.rows.select(*KEY, "text").filter("text <> ''").dropDuplicates(KEY).join(per, KEY)
+
+    def spans(self, known: DataFrame) -> DataFrame:
+        """KEY, spans (start << 32 | end, in elements): known (a, s, from, to, first) says that windows from .. to of
+        the stretch are repeated at documents after first."""
+        lists = known.groupBy("a", "s").agg(F.collect_list(F.struct("from", "to", "first")).alias("known"))
+        at = F.shiftright("w", 16)
+        span = lambda x: F.shiftleft(at + x["from"], 32).bitwiseOR(at + x["to"] + F.lit(self.length))
+        own = F.transform(F.filter("known", lambda x: x["first"] < F.col("doc_id")), span)
+        hit = self.found.join(lists, ["a", "s"]).select(*KEY, own.alias("spans")).filter(F.size("spans") > 0)
+        out = self.tmp.table(hit.groupBy(*KEY).agg(F.flatten(F.collect_set("spans")).alias("spans")))
+        self.tmp.keep(out)
+        return out
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Keyed documents with their spans (null: none); one shuffle of the texts."""
-    return rows.join(spans, "key", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", *(["carried"] if "carried" in rows.columns else []))
+    return rows.join(spans, KEY, "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", *(["carried"] if "carried" in rows.columns else []))
 
 
-def covered_elements(part: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
-    """Which elements of the flat sequence with row offsets off lie in spans."""
+def removed(part: pa.RecordBatch, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end (in the flat sequence with row offsets off) of the maximal runs that spans cover."""
     lists = part.column("spans")
     size = np.diff(lists.offsets.to_numpy())
     if lists.null_count:
         size = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, size)
-    packed = lists.flatten().to_numpy()
-    base = np.repeat(off[:-1], size)
-    change = np.zeros(off[-1] + 1, np.int32)
-    np.add.at(change, base + (packed >> 32), 1)
-    np.add.at(change, base + (packed & 0xFFFFFFFF), -1)
-    return np.cumsum(change[:-1]) > 0
+    span = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    start, end = off[row] + (span >> 32), off[row] + (span & 0xFFFFFFFF)
+    order = np.argsort(start, kind="stable")
+    row, start, reach = row[order], start[order], np.maximum.accumulate(end[order]) if len(order) else end
+    new = np.ones(len(row), bool)
+    new[1:] = (start[1:] > reach[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    return row[first], start[first], reach[np.append(first[1:], len(row)) - 1] if len(first) else reach
+
+
+def inside(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in the given runs, none of which overlap."""
+    change = np.zeros(n + 1, np.int8)
+    np.add.at(change, start, 1)
+    np.add.at(change, end, -1)
+    return np.cumsum(change[:-1], dtype=np.int8) > 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a fresh local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local master gets a fresh one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,18 +54,12 @@ class Scratch:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.sweep()
 
     def keep(self, *tables: DataFrame) -> None:
         """Deletes every table but these."""
         held = {id(t) for t in tables}
         self.drop(*[t for t, _ in self.paths.values() if id(t) not in held])
 
-    def sweep(self) -> None:
-        """Lets Spark's cleaner drop what ended jobs have left."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, read again: cuts lineage, survives lost executors, is computed once."""

@@ -1,4 +1,4 @@
-"""Vectorised helpers over Arrow text batches: byte views, words, polynomial hashes.
+"""Vectorised helpers over Arrow text batches: byte views, words, hashes.
 
 Everything works on a flat UTF-8 buffer of a bounded slice of a batch, so a task's memory does not depend on
 the length of the batch. A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 equals
@@ -7,8 +7,9 @@ the same run over code points.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,47 +54,101 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
-def _base(seed: int) -> tuple[int, int]:
-    base = int(np.random.default_rng(seed).integers(1 << 40, 1 << 62)) * 2 + 1
-    return base, pow(base, -1, 1 << 64)
+_K1, _K2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+LONG_SPAN = 256  # bytes above which a span is hashed by the library
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One hash of two, in order; nested, a hash of sequences without the algebra of polynomials modulo 2**64."""
+    return mix(x * _K1 + y * _K2)
 
 
-def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    have = _POWERS.get(seed)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1) if n <= 4 * SLICE_BYTES else n
-        made = []
-        for b in _base(seed):
-            p = np.full(size, b, dtype=U)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        have = (made[0], made[1])
-        if size <= 4 * SLICE_BYTES:
-            _POWERS[seed] = have
-    return have[0][:n], have[1][:n]
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one integer, zeros beyond the end; one more place than bytes."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
 
 
-@lru_cache(maxsize=4)
-def byte_codes(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed + 1000).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)  # masks of the first k bytes
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of buf[start:end] for each pair: eight bytes at a time, all spans at once."""
+    size = ends - starts
+    h = mix(size.astype(U) * _K2 + U(seed))
+    if not len(h):
+        return h
+    at8 = eights(buf)
+    live, k = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        block = at8[starts[live] + k] & FIRST[np.minimum(size[live] - k, 8)]
+        h[live] = combine(h[live], block)
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
+
+
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values, in log k steps; none if there are fewer."""
+    if len(values) < k:
+        return np.zeros(0, U)
+    h, span = values, 1
+    while span * 2 <= k:
+        h, span = combine(h[:-span], h[span:]), span * 2
+    return h if span == k else combine(h[: len(h) - (k - span)], h[k - span :])
+
+
+def run_hashes(grams: np.ndarray, k: int, starts: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
+    """Hashes of spans of k to longest values from the hashes of their k-grams."""
+    h = mix((ends - starts).astype(U) + _K1)
+    for j in range(-(-longest // k)):
+        h = combine(h, grams[np.minimum(starts + j * k, ends - k)])
+    return h
+
+
+P61 = U((1 << 61) - 1)
+_LOW31, _LOW30, _LOW32 = U((1 << 31) - 1), U((1 << 30) - 1), U((1 << 32) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & P61) + (x >> U(61))
+    return np.where(x >= P61, x - P61, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo 2**61 - 1, both below it."""
+    x1, x0, y1, y0 = x >> U(31), x & _LOW31, y >> U(31), y & _LOW31
+    middle = x1 * y0 + x0 * y1
+    return _reduced(U(2) * (x1 * y1) + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + x0 * y0)
+
+
+_BASE = secrets.randbelow((1 << 61) - (1 << 33)) + (1 << 32)
+_POWERS = [np.ones(1, U), np.ones(1, U)]  # of the base and its inverse, kept and doubled as needed
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    for k, b in enumerate((_BASE, pow(_BASE, -1, int(P61)))):
+        while len(_POWERS[k]) < n:
+            have = _POWERS[k]
+            _POWERS[k] = np.concatenate([have, times(have, U([pow(b, len(have), int(P61))]))])
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 class PrefixHash:
-    """Polynomial hashes of any span of a sequence of 64-bit values from one array of prefix sums."""
+    """Polynomial hashes modulo 2**61 - 1, to a base drawn at random in each process, of any span of bytes."""
 
-    def __init__(self, values: np.ndarray, seed: int = 1):
-        up, self.down = powers(len(values) + 1, seed)
-        self.sums = np.zeros(len(values) + 1, dtype=U)
-        np.cumsum(values * up[:-1], out=self.sums[1:])
+    def __init__(self, buf: np.ndarray):
+        up, self.down = powers(len(buf) + 1)
+        term = times(buf.astype(U) + U(1), up[:-1])
+        low, high = np.cumsum(term & _LOW32, dtype=U), np.cumsum(term >> U(32), dtype=U)
+        self.sums = np.zeros(len(buf) + 1, U)
+        self.sums[1:] = _reduced(times(_reduced(high), U([1 << 32])) + _reduced(low))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[start:end] for each pair; equal spans anywhere have equal hashes."""
-        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        """Hash of buf[start:end] for each pair; equal spans anywhere have equal hashes."""
+        return times(_reduced(self.sums[ends] + (P61 - self.sums[starts])), self.down[starts])
 
 
 def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +175,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A mixed 64-bit hash of each word's bytes."""
-    return mix(PrefixHash(byte_codes(seed)[buf], seed).spans(starts, ends) + (ends - starts).astype(U))
+    return span_hashes(buf, starts, ends, seed)
 
 
 def windows(word_offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

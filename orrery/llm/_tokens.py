@@ -5,7 +5,8 @@ order. "spaced" (byte-level BPE): a stretch is a run of other characters with th
 white-space byte; a text with two white-space characters in a row, or with white space outside ASCII, goes to the
 library whole. "words" (white space dropped): a stretch is a run without ASCII white space.
 
-Stretches are found by a 64-bit hash; a hit must also agree in length and first eight bytes.
+Stretches of at most 32 bytes are remembered. They are found by a 64-bit hash, and a hit must agree in length and every
+byte. Longer ones go to the library each time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import os
 
 import numpy as np
 
-from orrery.llm._text import SPACE, PrefixHash, U, byte_codes, mix, word_bounds
+from orrery.llm._text import FIRST, SPACE, U, combine, eights, word_bounds
 
 #: Distinct stretches remembered per worker; the memory is emptied when it is full.
 REMEMBER = 1_000_000
@@ -22,12 +23,13 @@ REMEMBER = 1_000_000
 BETWEEN = {"spaced": "<|endoftext|>", "words": "<|startoftext|>"}
 
 
-def _first_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each stretch, zeros beyond its end, as one integer."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded.data, strides=(1,))[starts]
-    keep = np.minimum(ends - starts, 8).astype(U)
-    return eight & np.where(keep == 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (keep * U(8))) - U(1))
+def _blocks(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches x 4: the first 32 bytes of each, eight to an integer, zeros beyond its end."""
+    at8, out = eights(buf), np.zeros((len(starts), 4), U)
+    for j in range(4):
+        live = np.flatnonzero(size > 8 * j)
+        out[live, j] = at8[starts[live] + 8 * j] & FIRST[np.minimum(size[live] - 8 * j, 8)]
+    return out
 
 
 class Encoder:
@@ -44,7 +46,7 @@ class Encoder:
     def _clear(self) -> None:
         self.keys = np.zeros(0, U)  # sorted
         self.slot = np.zeros(0, np.int32)  # by key
-        self.size, self.head, self.at = np.zeros(0, np.int32), np.zeros(0, U), np.zeros(1, np.int64)  # by slot
+        self.size, self.blocks, self.at = np.zeros(0, np.int32), np.zeros((0, 4), U), np.zeros(1, np.int64)  # by slot
         self.ids = np.zeros(1 << 16, np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -77,7 +79,7 @@ class Encoder:
             ids.append(joined[edges[-1] :])
         return np.concatenate(ids), counts
 
-    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, heads: np.ndarray) -> None:
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, blocks: np.ndarray) -> None:
         data = buf.tobytes()
         ids, counts = self._stretches([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         n = self.at[-1]
@@ -85,7 +87,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[n : n + len(ids)] = ids
         slots = len(self.size) + np.arange(len(starts), dtype=np.int32)
-        self.size, self.head = np.concatenate([self.size, (ends - starts).astype(np.int32)]), np.concatenate([self.head, heads])
+        self.size, self.blocks = np.concatenate([self.size, (ends - starts).astype(np.int32)]), np.concatenate([self.blocks, blocks])
         self.at = np.concatenate([self.at, n + np.cumsum(counts)])
         place = np.searchsorted(self.keys, hashes)
         self.keys, self.slot = np.insert(self.keys, place, hashes), np.insert(self.slot, place, slots)
@@ -127,8 +129,12 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         if len(self.keys) > self.remember:
             self._clear()
-        h = mix(PrefixHash(byte_codes(3)[buf], 3).spans(starts, ends) + (ends - starts).astype(U))
-        head = _first_bytes(buf, starts, ends)
+        size = ends - starts
+        whole |= size > 32
+        blocks = _blocks(buf, starts, size)
+        h = size.astype(U)
+        for j in range(4):
+            h = combine(h, blocks[:, j])
         slot = np.full(len(h), -1, np.int64)
         if len(self.keys):
             p = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -138,9 +144,10 @@ class Encoder:
             _, first, same = np.unique(h[new], return_index=True, return_inverse=True)
             k = new[first]
             slot[new] = len(self.size) + same  # slots are given in this order
-            self._learn(buf, starts[k], ends[k], h[k], head[k])
+            self._learn(buf, starts[k], ends[k], h[k], blocks[k])
         bad = whole.copy()
-        bad[~whole] = (self.size[slot[~whole]] != (ends - starts)[~whole]) | (self.head[slot[~whole]] != head[~whole])
+        known = np.flatnonzero(~whole)
+        bad[known] = (self.size[slot[known]] != size[known]) | (self.blocks[slot[known]] != blocks[known]).any(axis=1)
         begin, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         good = ~bad
         begin[good], count[good] = self.at[slot[good]], self.at[slot[good] + 1] - self.at[slot[good]]

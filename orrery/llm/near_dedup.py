@@ -36,28 +36,32 @@ EMPTY = 0xFFFF
 SIGNATURE, ROWS = 256, 5
 BANDS = SIGNATURE // ROWS
 BLOCK = 512
-ROW_BITS = 12  # rows of a slice; shingle hashes keep the other 52 bits
-HASH_BITS = 64 - ROW_BITS
+ROWS_MOST = 1 << 12  # rows of a slice
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes (HASH_BITS) of each of at most 2 ** ROW_BITS rows, ascending, and row offsets.
+    """Distinct 64-bit shingle hashes of each of at most ROWS_MOST rows, ascending, and row offsets.
 
     Words are lower-cased in A-Z. A row with fewer words than size has one shingle of all of them; without words, none.
     """
     low = T.lower_ascii(buf)
     starts, ends, word_off = T.word_bounds(low, off)
     n = len(off) - 1
-    words = np.diff(word_off)
-    prefix = T.PrefixHash(T.word_hashes(low, starts, ends), 2)
+    word = T.word_hashes(low, starts, ends)
     at, row = T.windows(word_off, size)
+    words = np.diff(word_off)
     few = np.flatnonzero((words > 0) & (words < size))
-    first, row = np.concatenate([at, word_off[few]]), np.concatenate([row, few])
-    last = np.concatenate([at + size, word_off[few + 1]])
-    h = T.mix(prefix.spans(first, last) + (last - first).astype(T.U))
-    packed = np.unique((row.astype(T.U) << T.U(HASH_BITS)) | (h >> T.U(ROW_BITS)))
-    row = (packed >> T.U(HASH_BITS)).astype(np.int64)
-    return packed & T.U((1 << HASH_BITS) - 1), np.searchsorted(row, np.arange(n + 1))
+    short = T.mix(words[few].astype(T.U))
+    for j in range(size - 1):
+        more = words[few] > j
+        short[more] = T.combine(short[more], word[word_off[few[more]] + j])
+    h, row = np.concatenate([T.gram_hashes(word, size)[at], short]), np.concatenate([row, few])
+    order = np.argsort(h)
+    order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(n + 1))
 
 
 def compressed(least: np.ndarray) -> np.ndarray:
@@ -156,7 +160,7 @@ def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
     """u, v: links between the two blocks of one table (or inside the one block), as a spanning forest."""
     node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
     parts, counts = [], []
-    for part in T.slices(iter(table.select(["text"]).combine_chunks().to_batches()), rows=1 << ROW_BITS):
+    for part in T.slices(iter(table.select(["text"]).combine_chunks().to_batches()), rows=ROWS_MOST):
         h, o = shingles(*T.flat(part.column("text")), size)
         parts.append(h)
         counts.append(np.diff(o))
@@ -217,7 +221,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     rows = docs.select(row_key(F.col(id_col), F.col(text_col), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches, rows=1 << ROW_BITS):
+        for part in T.slices(batches, rows=ROWS_MOST):
             h, off = shingles(*T.flat(part.column("text")), size)
             sums = []
             for seed in (1, 2):  # 128 bits that name the set

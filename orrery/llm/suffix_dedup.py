@@ -1,14 +1,16 @@
 """Suffix-array deduplication of byte strings.
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller id is removed. _repeats.py
-finds anchors that occur in several documents; this module sorts what lies around anchors with different
-surroundings as suffixes: a mergesort whose comparisons find the common extension of two suffixes by binary search
-over prefix polynomial hashes, so that a comparison takes logarithmically many steps. Common extensions of
-neighbours in the sorted order, right of the anchor and, on reversed text, left of it, tell which windows can be
-shared at all; they are verified byte by byte against hash collisions. The windows left over, few, are grouped by
-their hash, in which the least document id of each is found.
-
-An anchor with very many surroundings is dealt over several tasks by a hash; there all its windows are grouped.
+finds the stretches of text around anchors that may be in several places. For each anchor its distinct stretches are
+sorted as suffixes, from the anchor to the right and, reversed, from the anchor to the left: a mergesort whose
+comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, so that a
+comparison takes logarithmically many steps. Common extensions of neighbours in the sorted orders are verified byte
+by byte against hash collisions. Two stretches share a window with l bytes left of the anchor if they lie in one run
+of common extensions of length - l to the right and in one of l to the left; the least document id of all that do
+is the window's first document, and documents after it lose these bytes.
+
+An anchor with more than `most` distinct stretches does not fit one task. Its windows, as bytes, are dealt by their
+content instead and grouped by it exactly.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ from orrery.llm import _repeats as R
 from orrery.llm import _text as T
 from orrery.llm._spark import Scratch, partitions
 
+GROUP = 4096  # distinct stretches sorted at a time, about
+
 
 class Suffixes:
     """Suffixes of one flat buffer, compared by hashes: buf[start:end] for each start and end."""
 
     def __init__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray):
         self.buf, self.start, self.size = np.append(buf, np.uint8(0)), start, end - start
-        self.hashes = T.PrefixHash(T.byte_codes(1)[buf], 1)
+        self.hashes = T.PrefixHash(buf)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common start of suffixes x and y, by binary search over prefix hashes."""
@@ -93,105 +97,121 @@ def merge_sort(s: Suffixes, groups: np.ndarray) -> np.ndarray:
     return order
 
 
-def extensions(s: Suffixes, groups: np.ndarray) -> np.ndarray:
-    """For each suffix the longest common start with any other of its group."""
+def neighbours(s: Suffixes, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and how much each has in common with the one before; -1 for the first of a group."""
     order = merge_sort(s, groups)
-    out = np.zeros(len(order), np.int64)
-    inner = np.ones(max(len(order) - 1, 0), bool)
-    inner[groups[1:-1] - 1] = False
+    common = np.full(len(order), -1)
+    inner = np.ones(len(order), bool)
+    inner[groups[:-1]] = False
     k = np.flatnonzero(inner)
-    n = s.verified(order[k], order[k + 1])
-    np.maximum.at(out, order[k], n)
-    np.maximum.at(out, order[k + 1], n)
-    return out
+    common[k] = s.verified(order[k - 1], order[k])
+    return order, common
 
 
-def shared_windows(buf: np.ndarray, off: np.ndarray, anchor: np.ndarray, groups: np.ndarray, every: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of strings around anchors that another string of the group may share: string, place, hash.
+def first_documents(buf: np.ndarray, off: np.ndarray, anchor: np.ndarray, groups: np.ndarray, least: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Strings x places left of the anchor: the least id of all strings of the group that hold the window which
+    begins so many bytes before the anchor; NO_ID where the string has no such window.
 
-    buf, off: the strings; anchor: place of the anchor in each; every: strings of which all windows are given.
+    buf, off: the strings; anchor: place of the anchor in each, of k bytes; groups: first strings of groups, and the end.
     """
-    size, at = np.diff(off), off[:-1] + anchor
-    right = extensions(Suffixes(buf, at, off[1:]), groups)
-    n = len(buf)
-    left = extensions(Suffixes(buf[::-1], n - at, n - off[:-1]), groups)
-    low = np.where(every, 0, np.maximum(anchor - left, 0))
-    high = np.where(every, size - length, np.minimum(anchor + right - length, size - length))
-    count = np.maximum(high - low + 1, 0)
-    of = np.repeat(np.arange(len(count)), count)
-    rel = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    start = off[:-1][of] + rel
-    return of, rel, T.mix(T.PrefixHash(T.byte_codes(1)[buf], 1).spans(start, start + length))
-
-
-def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    n, size, at = len(anchor), np.diff(off), off[:-1] + anchor
+    out = np.full((n, length - k + 1), R.NO_ID)
+    right, after = neighbours(Suffixes(buf, at, off[1:]), groups)
+    left, before = neighbours(Suffixes(buf[::-1], len(buf) - at, len(buf) - off[:-1]), groups)
+    run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for l in range(length - k + 1):
+        sel = np.flatnonzero((anchor >= l) & (size - anchor >= length - l))
+        if not len(sel):
+            continue
+        run_right[right], run_left[left] = np.cumsum(after < length - l), np.cumsum(before < l)
+        run = run_right[sel] * (n + 1) + run_left[sel]
+        order = np.argsort(run, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(run[order]) != 0]))
+        out[sel[order], l] = np.repeat(np.minimum.reduceat(least[sel[order]], first), np.diff(np.append(first, len(sel))))
+    return out
+
+
+KNOWN = 'a long, s long, from int, to int, first long'
+
+
+def _windows_after_first(anchor: np.ndarray, first: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """String, first and last window (places in the string) and first document, for windows that are also in a later one."""
+    n, width = first.shape
+    flat = first[:, ::-1].ravel()  # windows in ascending place
+    some = flat < np.repeat(most, width)
+    begins = np.ones(n * width, bool)
+    begins[1:] = ~some[:-1] | (flat[1:] != flat[:-1])
+    begins[::width] = True
+    ends = np.append(begins[1:], True) | ~np.append(some[1:], False)
+    a, b = np.flatnonzero(some & begins), np.flatnonzero(some & ends)
+    of = a // width
+    place = lambda x: anchor[of] - (width - 1 - x % width)
+    return of, place(a), place(b), flat[a]
+
+
+def _shared(batch: pa.RecordBatch, length: int, k: int) -> pa.RecordBatch:
+    """KNOWN windows of the stretches of whole anchor groups, sorted by anchor."""
+    a, least, most = (batch.column(c).to_numpy() for c in ("a", "least", "most"))
+    anchor = batch.column("anchor").to_numpy().astype(np.int64)
+    buf, off = T.flat(batch.column("bytes"))
+    groups = np.append(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])), len(a))
+    of, low, high, first = _windows_after_first(anchor, first_documents(buf, off, anchor, groups, least, length, k), most)
+    o = pa.array(of)
+    return pa.record_batch({"a": batch.column("a").take(o), "s": batch.column("s").take(o), "from": pa.array(low, pa.int32()), "to": pa.array(high, pa.int32()), "first": pa.array(first)})
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows again, cut between values of by into batches of about size rows."""
+    held = None
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            part = pa.Table.from_batches([b.slice(i, size)])
+            held = part if held is None else pa.concat_tables([held, part])
+            x = held.column(by).to_numpy()
+            edges = np.flatnonzero(x[1:] != x[:-1]) + 1
+            if len(x) >= size and len(edges):  # the last group may go on in the next batch
+                yield held.slice(0, int(edges[-1])).combine_chunks().to_batches()[0]
+                held = held.slice(int(edges[-1]))
+    if held is not None and held.num_rows:
+        yield held.combine_chunks().to_batches()[0]
+
+
+def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, spans: byte spans (start << 32 | end) that also start in a document with a smaller id, null where there are none."""
-    tmp = Scratch(docs.sparkSession, "suffix")
+    spark = docs.sparkSession
+    tmp = Scratch(spark, "suffix")
     rows = R.keyed(docs, id_col, text_col)
     number = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = R.Places(rows, tmp, R.byte_grams, length, k, number)
+    # an anchor in one document only has nothing to remove
+    anchors = tmp.table(found.one.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("most").alias("high"), F.count("*").alias("n")).filter("low < high").select("a", (F.col("n") > most).alias("hot")))
+    stretches = found.texts(found.one.join(anchors, "a").select(*R.KEY, "a", "s", "w", "most", "hot"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches):
+            buf, off = T.flat(part.column("text"))
+            data, lists = buf.tobytes(), part.column("held")
+            row, held = lists.value_parent_indices().to_numpy(), lists.flatten()
+            at, size, anchor = R.unpacked(held.field("w").to_numpy())
+            start = off[row] + at
+            strings = [data[x:y] for x, y in zip(start.tolist(), (start + size).tolist(), strict=True)]
+            yield pa.record_batch({"a": held.field("a"), "s": held.field("s"), "least": part.column("doc_id").take(pa.array(row)), "most": held.field("most"), "hot": held.field("hot"), "anchor": pa.array(anchor, pa.int32()), "bytes": pa.array(strings, pa.binary())})
+
+    strings = tmp.table(stretches.mapInArrow(cut, "a long, s long, least long, most long, hot boolean, anchor int, bytes binary"))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches, "a", GROUP):
+            yield _shared(b, length, k)
+
+    known = strings.filter("NOT hot").drop("hot").repartition(partitions(spark), "a").sortWithinPartitions("a").mapInArrow(share, KNOWN)
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length))
+    windows = strings.filter("hot").select("a", "s", "least", "most", "bytes", at.alias("from")).withColumn("bytes", F.substring("bytes", F.col("from") + 1, F.lit(length)))
+    first = windows.groupBy("a", "bytes").agg(F.min("least").alias("first"))
+    dealt = windows.join(first, ["a", "bytes"]).filter("first < most").select("a", "s", "from", F.col("from").alias("to"), "first")
+    return R.with_spans(rows, found.spans(tmp.table(known.unionByName(dealt))))
+
 
-    def windows(rows: DataFrame, mixed: R.Sketch, several: DataFrame) -> DataFrame:
-        sent = rows.sparkSession.sparkContext.broadcast(mixed)
-
-        def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in T.slices(batches, limit=R.SLICE):
-                x = R.Stretches(*R.byte_elements(part), length, k)
-                x.take(sent.value.full(x.a))
-                data = T.flat(part.column("text"))[0].tobytes()
-                own = np.lexsort((part.column("doc_id").to_numpy()[x.row], x.s, x.a))  # once each, at the least id
-                x.take(own[np.concatenate([[True], (np.diff(x.s[own].view(np.int64)) != 0) | (np.diff(x.a[own].view(np.int64)) != 0)])] if len(own) else own)
-                strings = [data[a:b] for a, b in zip(x.start.tolist(), (x.start + x.size).tolist(), strict=True)]
-                yield pa.record_batch({"a": R.as_long(x.a), "s": R.as_long(x.s), "doc_id": part.column("doc_id").take(pa.array(x.row)), "anchor": pa.array((x.anchor - x.start).astype(np.int32)), "twice": pa.array(x.twice()), "bytes": pa.array(strings, pa.binary())})
-
-        shape = "a long, s long, doc_id long, anchor int, twice boolean, bytes binary"
-        found = rows.select("doc_id", "text").mapInArrow(surroundings, shape)
-        # equal stretches have equal bytes
-        one = tmp.table(found.groupBy("a", "s").agg(F.min("doc_id").alias("least"), F.max("anchor").alias("anchor"), F.max("twice").alias("twice"), F.first("bytes").alias("bytes")))
-        hot = several.filter(F.col("n") > most).select("a", (F.col("n") / most + 1).cast("int").alias("parts"))
-        dealt = one.join(several.select("a"), "a", "left_semi").join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("s"), F.col("parts")), F.lit(0)))
-        sorted_ = dealt.withColumn("hot", F.col("parts").isNotNull()).drop("parts").repartition(partitions(rows.sparkSession), "a", "part").sortWithinPartitions("a", "part")
-
-        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def work(b: pa.RecordBatch) -> pa.RecordBatch:
-                a, p = b.column("a").to_numpy(), b.column("part").to_numpy()
-                groups = np.append(np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1])])), len(a))
-                every = b.column("twice").to_numpy(zero_copy_only=False) | b.column("hot").to_numpy(zero_copy_only=False)
-                of, rel, h = shared_windows(*T.flat(b.column("bytes")), b.column("anchor").to_numpy().astype(np.int64), groups, every, length)
-                o = pa.array(of)
-                return pa.record_batch({"a": b.column("a").take(o), "s": b.column("s").take(o), "least": b.column("least").take(o), "rel": pa.array(rel.astype(np.int32)), "h": R.as_long(h)})
-
-            held = None
-            for b in batches:
-                b = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-                a, p = b.column("a").to_numpy(), b.column("part").to_numpy()
-                edges = np.flatnonzero((a[1:] != a[:-1]) | (p[1:] != p[:-1])) + 1
-                cut = int(edges[-1]) if len(edges) else 0  # the last group may go on in the next batch
-                for i, j in chunks(edges, cut):
-                    yield work(b.slice(i, j - i).combine_chunks().to_batches()[0])
-                held = b.slice(cut)
-            if held is not None and held.num_rows:
-                yield work(held.combine_chunks().to_batches()[0])
-
-        every = tmp.table(sorted_.mapInArrow(share, "a long, s long, least long, rel int, h long"))
-        tmp.drop(one)
-        first = every.groupBy("a", "h").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("a", "h", "first")
-        return every.join(first, ["a", "h"]).filter("first < least").select("a", "s", "rel")
-
-    spans = R.repeated(rows, tmp, R.byte_elements, length, k, number, lambda doc, least, n: doc > least, windows, inside=False)
-    return R.with_spans(rows, spans)
-
-
-def chunks(edges: np.ndarray, cut: int, size: int = 20_000) -> Iterator[tuple[int, int]]:
-    """Spans of whole groups of about size rows each, up to cut."""
-    start = 0
-    while start < cut:
-        k = np.searchsorted(edges, start + size)
-        stop = min(int(edges[min(k, len(edges) - 1)]), cut)
-        yield start, stop
-        start = stop
-
-
-def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", most: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) per row.
 
     Strings are judged on the input and never cross documents. Null text is empty. Rows with the same id remove
@@ -202,16 +222,13 @@ def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches):
             buf, off = T.flat(part.column("text"))
-            gone = R.covered_elements(part, off)
-            count = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            opens[off[:-1][off[:-1] < len(gone)]] = gone[off[:-1][off[:-1] < len(gone)]]
-            runs = np.concatenate([[0], np.cumsum(opens, dtype=np.int64)])
-            left = buf[~gone].tobytes()
-            place = off - count[off]
+            n = part.num_rows
+            row, start, end = R.removed(part, off)
+            gone = np.bincount(row, weights=end - start, minlength=n).astype(np.int64)
+            left = buf[~R.inside(len(buf), start, end)].tobytes()
+            place = np.concatenate([[0], np.cumsum(np.diff(off) - gone)])
             kept = [left[a:b] for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(count[off])), "n_spans": pa.array(np.diff(runs[off])), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept": pa.array(kept, pa.binary())})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(gone), "n_spans": pa.array(np.bincount(row, minlength=n)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept": pa.array(kept, pa.binary())})
 
-    marked = repeated_bytes(docs, length, id_col=id_col, text_col=text_col)
+    marked = repeated_bytes(docs, length, most=most, id_col=id_col, text_col=text_col)
     return marked.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

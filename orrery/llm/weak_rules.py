@@ -52,17 +52,17 @@ def counts(buf: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str, np.nd
     full = last > first
     line_start, line_end, last = line_start[full], line_end[full], last[full]
     row = np.searchsorted(off, line_start, side="right") - 1
-    h = T.mix(T.PrefixHash(T.byte_codes(5)[buf], 5).spans(line_start, line_end) + (line_end - line_start).astype(T.U))
+    h = T.span_hashes(buf, line_start, line_end, 5)
     out["n_lines"] = np.bincount(row, minlength=n)
-    key = h ^ T.mix(row.astype(T.U) + T.U(1))
+    key = T.combine(h, row.astype(T.U))
     _, distinct = np.unique(key, return_index=True)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(row[distinct], minlength=n)
     tail = buf[ends[last - 1] - 1] if len(last) else np.zeros(0, np.uint8)
     out["n_closed_lines"] = np.bincount(row[np.isin(tail, list(b'.!?"'))], minlength=n)
     # words in windows that a row holds twice or more
     at, row = T.windows(word_off, window)
-    wh = T.PrefixHash(T.word_hashes(buf, starts, ends), 2).spans(at, at + window) if len(at) else np.zeros(0, T.U)
-    _, inverse, times = np.unique(T.mix(wh) ^ T.mix(row.astype(T.U) + T.U(1)), return_inverse=True, return_counts=True)
+    wh = T.gram_hashes(T.word_hashes(buf, starts, ends), window)[at]
+    _, inverse, times = np.unique(T.combine(wh, row.astype(T.U)), return_inverse=True, return_counts=True)
     out["n_repeat_words"] = _per_row(T.covered(len(starts), at[times[inverse] > 1], window), word_off)
     return out
 

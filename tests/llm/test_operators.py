@@ -87,8 +87,13 @@ def test_suffix_sort():
         assert sorted(order[a:b]) == list(range(a, b))
         assert [text[k] for k in order[a:b]] == sorted(text[a:b])
     lcp = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-    want = [max((lcp(text[k], text[m]) for m in range(a, b) if m != k), default=0) for a, b in zip(groups, groups[1:], strict=False) for k in range(a, b)]
-    assert suffix_dedup.extensions(s, groups).tolist() == want
+    order, common = suffix_dedup.neighbours(s, groups)
+    assert common.tolist() == [-1 if k in groups else lcp(text[order[k - 1]], text[order[k]]) for k in range(120)]
+
+
+def test_hot_anchors_give_the_same_spans(docs):
+    want = collections.Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(docs).collect())
+    assert collections.Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(docs, most=1).collect()) == want
 
 
 def test_substring_dedup(docs, rows, empty):
