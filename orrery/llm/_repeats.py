@@ -11,10 +11,12 @@ place form a stretch of at most 2 L - k elements, about one per (L - k) / 2 elem
 2. prefilter: a segment merges what partitions counted, in a count-min sketch of two rows, and passes the places on
    whose anchor it estimates at two or more. Sketches never underestimate, and a window occurs at most as often as
    its anchor, so no repeated window is lost. The number of segments grows with the corpus; their size does not.
-3. exact part: by the caller, over the distinct stretches of anchors that passed (`Places.one`), whose texts it fetches.
+3. exact part: places go back to their texts, which name each stretch by two hashes (a, s) of what stands there. The
+   caller decides over the distinct stretches, `Places.one`.
 
 Nothing is broadcast. Texts are long or many; a text of over LONG elements is looked at in overlapping pieces.
-Hashes of stretches are pairs of 64 bits (anchor a, stretch s). Rows are named by id and two 64-bit hashes of the text.
+Steps 1 and 2 name a row by one 64-bit hash k; if two rows share it, places of one are looked up in the other too, and
+what really stands there counts, so that does no harm. Decisions find rows by id and two 64-bit hashes of the text.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ NO_ID = (1 << 63) - 1  # stands for a null id, which is smaller than none
 SLICE = 1 << 19  # bytes of text whose anchors are found at a time
 LONG = 1 << 19  # elements of one piece of a text
 OWN_BITS = 23  # cells of each row of a partition's sketch
-SEGMENT = 1 << 16  # anchors of a segment, about
-CELLS_BITS = 18  # cells of each row of a segment's sketch
+SEGMENT = 1 << 17  # anchors of a segment, about
+FLUSH = 1 << 19  # places that a task holds before it sends them
+CELLS_BITS = 20  # cells of each row of a segment's sketch
 KEY = ["doc_id", "k1", "k2"]
 PLACE = np.uint64(127)  # low bits of a gram's value, for its place
 
@@ -124,8 +127,11 @@ class CountMin:
 
     def add(self, a: np.ndarray) -> None:
         for row, c in zip(self.rows, self.cells(a), strict=True):
-            c, n = np.unique(c, return_counts=True)
-            row[c] = np.minimum(row[c] + np.minimum(n, 2).astype(np.uint8), 2)
+            row[c[row[c] == 1]] = 2
+            c = np.sort(c)
+            new = c[row[c] == 0]
+            row[new] = 1
+            row[new[1:][new[1:] == new[:-1]]] = 2
 
 
 def nth(a: np.ndarray) -> np.ndarray:
@@ -147,11 +153,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), *([F.struct(*carry).alias("carried")] if carry else []))
 
 
-PLACED = "a long, s long, doc_id long, k1 long, k2 long, w long"
+#: A place on its way to its segment. size and anchor: elements of the stretch, and of it before the anchor.
+RECORD = np.dtype([("a", "<u8"), ("k", "<i8"), ("at", "<u4"), ("size", "u1"), ("anchor", "u1"), ("known", "?")])
 
 
 def packed(at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    return at << 16 | size << 8 | anchor
+    return at.astype(np.int64) << 16 | size.astype(np.int64) << 8 | anchor
 
 
 def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,29 +167,47 @@ def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def places(rows: DataFrame, grams: Grams, length: int, k: int, number: int) -> DataFrame:
-    """PLACED: the stretches whose anchors are estimated at two places or more. number: elements in all, about."""
+    """k, w: the stretches whose anchors are estimated at two places or more. number: elements in all, about."""
     segments = max(1, -(-2 * number // (length - k + 2) // SEGMENT))
 
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """One row for each segment, with its places as bytes."""
+        owner, records = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        off = (np.append(first, len(owner)) * RECORD.itemsize).astype(np.int32)
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(records[order].tobytes())])
+        return pa.record_batch({"p": pa.array(owner[first].astype(np.int32)), "places": blobs})
+
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CountMin(OWN_BITS)
+        own, held, n = CountMin(OWN_BITS), [], 0
         for part in T.slices(batches, limit=SLICE):
+            key = part.column("k").to_numpy()
             for g, off, base in grams(*T.flat(part.column("text")), length, k):
                 x = Stretches(g, off, length, k)
                 known = own.estimate(x.a) + nth(x.a) >= 2
                 own.add(x.a[~known])
-                owner = ((np.where(known, T.mix(x.s + x.start.astype(T.U)), x.a) >> T.U(32)) * T.U(segments)) >> T.U(32)
-                r = pa.array(x.row)
-                w = packed(x.start - off[x.row] + base, x.size, x.anchor - x.start)
-                yield pa.record_batch({"p": pa.array(owner.astype(np.int32)), "known": pa.array(known), "a": as_long(x.a), "s": as_long(x.s), **{c: part.column(c).take(r) for c in KEY}, "w": pa.array(w)})
+                to = np.where(known, T.mix(x.s + x.start.astype(T.U)), x.a)
+                records = np.empty(len(x.a), RECORD)
+                records["a"], records["k"], records["known"] = x.a, key[x.row], known
+                records["at"], records["size"], records["anchor"] = x.start - off[x.row] + base, x.size, x.anchor - x.start
+                held, n = [*held, (((to >> T.U(32)) * T.U(segments)) >> T.U(32), records)], n + len(records)
+                if n >= FLUSH:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
 
     def merged(table: pa.Table) -> pa.Table:
-        a, known = table.column("a").to_numpy().view(T.U), table.column("known").to_numpy()
+        x = T.flat(table.column("places").combine_chunks())[0].view(RECORD)
         sketch = CountMin(CELLS_BITS)
-        sketch.add(a[~known])
-        return table.filter(pa.array(known | (sketch.estimate(a) >= 2))).select(["a", "s", *KEY, "w"])
+        sketch.add(x["a"][~x["known"]])
+        x = x[x["known"] | (sketch.estimate(x["a"]) >= 2)]
+        return pa.table({"k": pa.array(x["k"]), "w": pa.array(packed(x["at"], x["size"], x["anchor"]))})
 
-    found = rows.select(*KEY, "text").mapInArrow(sketched, f"p int, known boolean, {PLACED}")
-    return found.groupBy("p").applyInArrow(merged, PLACED)
+    found = rows.select(F.xxhash64("doc_id", "k1").alias("k"), "text").mapInArrow(sketched, "p int, places binary")
+    return found.groupBy("p").applyInArrow(merged, "k long, w long")
 
 
 class Places:
@@ -190,7 +215,25 @@ class Places:
 
     def __init__(self, rows: DataFrame, tmp: Scratch, grams: Grams, length: int, k: int, number: int):
         self.rows, self.tmp, self.length = rows, tmp, length
-        self.found = tmp.table(places(rows, grams, length, k, number))
+        near = tmp.table(places(rows, grams, length, k, number))
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in T.slices(batches, limit=SLICE):
+                lists = part.column("held")
+                row, held = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()
+                at, size, anchor = unpacked(held)
+                for g, off, base in grams(*T.flat(part.column("text")), length, k):
+                    sel = np.flatnonzero((at >= base) & (at < base + LONG) | (len(off) > 2))
+                    sel = sel[at[sel] - base + size[sel] <= off[row[sel] + 1] - off[row[sel]]]
+                    start, r = off[row[sel]] + at[sel] - base, pa.array(row[sel])
+                    a = T.mix(g[start + anchor[sel]] >> T.U(7)) if len(sel) else np.zeros(0, T.U)
+                    s = T.run_hashes(g, k, start, start + size[sel], 2 * length - k) if len(sel) else a
+                    yield pa.record_batch({"a": as_long(a), "s": as_long(s), **{c: part.column(c).take(r) for c in KEY}, "w": pa.array(held[sel])})
+
+        lists = near.groupBy("k").agg(F.collect_set("w").alias("held"))
+        texts = rows.select(*KEY, "text", F.xxhash64("doc_id", "k1").alias("k")).filter("text <> ''").join(lists, "k").select(*KEY, "text", "held")
+        self.found = tmp.table(texts.mapInArrow(named, "a long, s long, doc_id long, k1 long, k2 long, w long"))
+        tmp.drop(near)
         first = F.min(F.struct("doc_id", "k1", "k2", "w")).alias("place")
         self.one = tmp.table(self.found.groupBy("a", "s").agg(first, F.max("doc_id").alias("most"), F.count("*").alias("n")).select("a", "s", "place.*", "most", "n"))
 
