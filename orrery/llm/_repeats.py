@@ -245,7 +245,9 @@ class Places:
     def spans(self, known: DataFrame) -> DataFrame:
         """KEY, spans (start << 32 | end, in elements): known (a, s, from, to, first) says that windows from .. to of
         the stretch are repeated at documents after first."""
-        lists = known.groupBy("a", "s").agg(F.collect_list(F.struct("from", "to", "first")).alias("known"))
+        # a table on either side, so that Spark can split the places of a common stretch
+        lists = self.tmp.table(known.groupBy("a", "s").agg(F.collect_list(F.struct("from", "to", "first")).alias("known")))
+        self.tmp.keep(self.found, lists)
         at = F.shiftright("w", 16)
         span = lambda x: F.shiftleft(at + x["from"], 32).bitwiseOR(at + x["to"] + F.lit(self.length))
         own = F.transform(F.filter("known", lambda x: x["first"] < F.col("doc_id")), span)

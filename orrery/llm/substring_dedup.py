@@ -51,10 +51,10 @@ def repeated_words(docs: DataFrame, window: int = 35, k: int = 8, id_col: str =
             yield pa.record_batch({"a": held.field("a").take(o), "s": held.field("s").take(o), "rel": pa.array(rel, pa.int32()), "h": R.as_long(T.run_hashes(grams, k, start, start + window, window))})
 
     every = tmp.table(mixed.mapInArrow(explode, "a long, s long, rel int, h long"))
-    twice = every.groupBy("a", "h").agg(F.count("*").alias("n")).filter("n > 1").select("a", "h")
+    twice = tmp.table(every.groupBy("a", "h").agg(F.count("*").alias("n")).filter("n > 1").select("a", "h"))
     whole = found.one.filter("n > 1").select("a", "s", F.lit(0).alias("from"), (F.shiftright("w", 8).bitwiseAND(F.lit(255)) - window).cast("int").alias("to"))
     single = every.join(twice, ["a", "h"]).select("a", "s", F.col("rel").alias("from"), F.col("rel").alias("to"))
-    known = tmp.table(whole.unionByName(single).withColumn("first", F.lit(-(1 << 63)).cast("long")))
+    known = whole.unionByName(single).withColumn("first", F.lit(-(1 << 63)).cast("long"))
     return R.with_spans(rows, found.spans(known))
 
 

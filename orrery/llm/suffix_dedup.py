@@ -1,8 +1,8 @@
 """Suffix-array deduplication of byte strings.
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller id is removed. _repeats.py
-finds the stretches of text around anchors that may be in several places. For each anchor its distinct stretches are
-sorted as suffixes, from the anchor to the right and, reversed, from the anchor to the left: a mergesort whose
+finds the stretches of text around anchors that may be in several places, equal ones counted together. For each anchor
+its distinct stretches are sorted as suffixes, from the anchor to the right and, reversed, from the anchor to the left: a mergesort whose
 comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, so that a
 comparison takes logarithmically many steps. Common extensions of neighbours in the sorted orders are verified byte
 by byte against hash collisions. Two stretches share a window with l bytes left of the anchor if they lie in one run
@@ -183,9 +183,13 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = G
     rows = R.keyed(docs, id_col, text_col)
     number = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = R.Places(rows, tmp, R.byte_grams, length, k, number)
-    # an anchor in one document only has nothing to remove
-    anchors = tmp.table(found.one.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("most").alias("high"), F.count("*").alias("n")).filter("low < high").select("a", (F.col("n") > most).alias("hot")))
-    stretches = found.texts(found.one.join(anchors, "a").select(*R.KEY, "a", "s", "w", "most", "hot"))
+    # an anchor in one document only has nothing to remove, and one with a single stretch nothing to sort
+    per = found.one.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("most").alias("high"), F.count("*").alias("n"), F.min("s").alias("s"), F.min("w").alias("w"))
+    anchors = tmp.table(per.filter("low < high"))
+    last = (F.shiftright("w", 8).bitwiseAND(F.lit(255)) - length).cast("int")
+    single = anchors.filter("n = 1").select("a", "s", F.lit(0).alias("from"), last.alias("to"), F.col("low").alias("first"))
+    several = anchors.filter("n > 1").select("a", (F.col("n") > most).alias("hot"))
+    stretches = found.texts(found.one.join(several, "a").select(*R.KEY, "a", "s", "w", "most", "hot"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches):
@@ -198,6 +202,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = G
             yield pa.record_batch({"a": held.field("a"), "s": held.field("s"), "least": part.column("doc_id").take(pa.array(row)), "most": held.field("most"), "hot": held.field("hot"), "anchor": pa.array(anchor, pa.int32()), "bytes": pa.array(strings, pa.binary())})
 
     strings = tmp.table(stretches.mapInArrow(cut, "a long, s long, least long, most long, hot boolean, anchor int, bytes binary"))
+    tmp.drop(found.one)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches, "a", GROUP):
@@ -206,9 +211,9 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = G
     known = strings.filter("NOT hot").drop("hot").repartition(partitions(spark), "a").sortWithinPartitions("a").mapInArrow(share, KNOWN)
     at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length))
     windows = strings.filter("hot").select("a", "s", "least", "most", "bytes", at.alias("from")).withColumn("bytes", F.substring("bytes", F.col("from") + 1, F.lit(length)))
-    first = windows.groupBy("a", "bytes").agg(F.min("least").alias("first"))
+    first = tmp.table(windows.groupBy("a", "bytes").agg(F.min("least").alias("first")))
     dealt = windows.join(first, ["a", "bytes"]).filter("first < most").select("a", "s", "from", F.col("from").alias("to"), "first")
-    return R.with_spans(rows, found.spans(tmp.table(known.unionByName(dealt))))
+    return R.with_spans(rows, found.spans(known.unionByName(dealt).unionByName(single)))
 
 
 def remove(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", most: int = GROUP) -> DataFrame:
