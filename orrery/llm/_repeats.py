@@ -39,7 +39,8 @@ SEGMENT = 1 << 17  # anchors of a segment, about
 FLUSH = 1 << 19  # places that a task holds before it sends them
 CELLS_BITS = 20  # cells of each row of a segment's sketch
 KEY = ["doc_id", "k1", "k2"]
-PLACE = np.uint64(127)  # low bits of a gram's value, for its place
+PLACE_BITS = 10  # low bits of a gram's value, for its place
+PLACE = np.uint64((1 << PLACE_BITS) - 1)
 
 Grams = Callable[[np.ndarray, np.ndarray, int, int], Iterator[tuple[np.ndarray, np.ndarray, int]]]
 
@@ -91,18 +92,20 @@ class Stretches:
         if not len(first):
             return
         # the value's low bits tell places apart, in ascending order inside a window: of equal grams the leftmost wins
-        width, half = length - k + 1, T.U(64)
-        at = np.arange(len(grams), dtype=T.U)
+        width, turn = length - k + 1, 1 << PLACE_BITS
         clear = grams & ~PLACE
-        plain, moved = _least(clear | (at & PLACE), width), _least(clear | ((at + half) & PLACE), width)
-        turn = (first & 127) + width > 128
-        v = np.where(turn, moved[first], plain[first])
-        base = np.where(turn, first + 64, first).astype(T.U)
+        v = _least(clear | (np.arange(len(grams), dtype=T.U) & PLACE), width)[first]
+        base = first.astype(T.U)
+        late = np.flatnonzero((first & (turn - 1)) + width > turn)  # windows in which the low bits start anew
+        if len(late):
+            base[late] += T.U(turn // 2)
+            at = first[late][:, None] + np.arange(width)
+            v[late] = (clear[at] | ((at.astype(T.U) + T.U(turn // 2)) & PLACE)).min(axis=1)
         anchor = first + ((v - base) & PLACE).astype(np.int64)
         begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         self.start, self.row, self.anchor = first[begins], row[begins], anchor[begins]
         self.size = first[np.append(begins[1:], len(first)) - 1] + length - self.start
-        self.a = T.mix(v[begins] >> T.U(7))
+        self.a = T.mix(v[begins] >> T.U(PLACE_BITS))
         self.s = T.run_hashes(grams, k, self.start, self.start + self.size, 2 * length - k)
 
 
@@ -226,7 +229,7 @@ class Places:
                     sel = np.flatnonzero((at >= base) & (at < base + LONG) | (len(off) > 2))
                     sel = sel[at[sel] - base + size[sel] <= off[row[sel] + 1] - off[row[sel]]]
                     start, r = off[row[sel]] + at[sel] - base, pa.array(row[sel])
-                    a = T.mix(g[start + anchor[sel]] >> T.U(7)) if len(sel) else np.zeros(0, T.U)
+                    a = T.mix(g[start + anchor[sel]] >> T.U(PLACE_BITS)) if len(sel) else np.zeros(0, T.U)
                     s = T.run_hashes(g, k, start, start + size[sel], 2 * length - k) if len(sel) else a
                     yield pa.record_batch({"a": as_long(a), "s": as_long(s), **{c: part.column(c).take(r) for c in KEY}, "w": pa.array(held[sel])})
 
@@ -246,13 +249,12 @@ class Places:
         """KEY, spans (start << 32 | end, in elements): known (a, s, from, to, first) says that windows from .. to of
         the stretch are repeated at documents after first."""
         # a table on either side, so that Spark can split the places of a common stretch
-        lists = self.tmp.table(known.groupBy("a", "s").agg(F.collect_list(F.struct("from", "to", "first")).alias("known")))
-        self.tmp.keep(self.found, lists)
+        known = self.tmp.table(known)
+        self.tmp.keep(self.found, known)
         at = F.shiftright("w", 16)
-        span = lambda x: F.shiftleft(at + x["from"], 32).bitwiseOR(at + x["to"] + F.lit(self.length))
-        own = F.transform(F.filter("known", lambda x: x["first"] < F.col("doc_id")), span)
-        hit = self.found.join(lists, ["a", "s"]).select(*KEY, own.alias("spans")).filter(F.size("spans") > 0)
-        out = self.tmp.table(hit.groupBy(*KEY).agg(F.flatten(F.collect_set("spans")).alias("spans")))
+        span = F.shiftleft(at + F.col("from"), 32).bitwiseOR(at + F.col("to") + F.lit(self.length)).alias("span")
+        hit = self.found.join(known, ["a", "s"]).filter("first < doc_id").select(*KEY, span)
+        out = self.tmp.table(hit.groupBy(*KEY).agg(F.collect_set("span").alias("spans")))
         self.tmp.keep(out)
         return out
 

@@ -6,7 +6,7 @@ only windows on anchors estimated repeated, exactly, so none is lost. _repeats.p
 
 Equal stretches of windows at several places are repeated as a whole. Where an anchor has several distinct stretches,
 mostly at edges of copied passages, one of each is looked at window by window. Windows are equal if their words' hashes
-are, 64 bits of the window and 57 of its anchor.
+are, 64 bits of the window and 54 of its anchor.
 """
 
 from __future__ import annotations

@@ -116,8 +116,11 @@ def first_documents(buf: np.ndarray, off: np.ndarray, anchor: np.ndarray, groups
     """
     n, size, at = len(anchor), np.diff(off), off[:-1] + anchor
     out = np.full((n, length - k + 1), R.NO_ID)
-    right, after = neighbours(Suffixes(buf, at, off[1:]), groups)
-    left, before = neighbours(Suffixes(buf[::-1], len(buf) - at, len(buf) - off[:-1]), groups)
+    to_right = np.arange(len(buf)) >= np.repeat(at, size)
+    end = np.cumsum(size - anchor)
+    right, after = neighbours(Suffixes(buf[to_right], end - (size - anchor), end), groups)
+    end = np.cumsum(anchor)
+    left, before = neighbours(Suffixes(buf[~to_right][::-1], end[-1] - end, end[-1] - end + anchor), groups)
     run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for l in range(length - k + 1):
         sel = np.flatnonzero((anchor >= l) & (size - anchor >= length - l))
