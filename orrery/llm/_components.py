@@ -22,12 +22,13 @@ def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     while (found := state(now)) != last:
         last = found
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # tables on both sides of a join, so that Spark can split the neighbours of a star's centre
+        least = tmp.table(both.groupBy("u").agg(F.min("v").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = tmp.table(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        small_least = tmp.table(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(small_least, "u").select("u", "v", "m")
         after = tmp.table(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        tmp.drop(now, large)
+        tmp.drop(now, large, least, small_least)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,9 +7,10 @@ registers make a band. Documents that agree in a band and whose sizes allow the
 the band. Linked by that, documents form families: any two documents similar enough share a band, except with a
 chance of about 1e-13 at 0.85 and 2e-9 at 0.8, and so a family.
 
-Links inside a family are found in blocks of at most BLOCK documents, each pair of blocks in one task: the Jaccard
-index estimated from registers, corrected for chance collisions, leaves out pairs six deviations below the
-threshold; the rest is confirmed on the full shingle sets, as products of incidence matrices. A task returns a
+Links inside a family are found in blocks of about BLOCK documents or SHINGLES shingles, each pair of blocks in one
+task. First registers alone are compared: the Jaccard index estimated from them, corrected for chance collisions,
+leaves out pairs six deviations below the threshold. Texts go only to pairs of blocks in which they have a possible
+partner; there links are confirmed on the full shingle sets, as products of incidence matrices. A task returns a
 spanning forest of its links, never all pairs, and connected components of all forests give the result. Documents
 with equal shingle sets are one node throughout.
 """
@@ -36,6 +37,7 @@ EMPTY = 0xFFFF
 SIGNATURE, ROWS = 256, 5
 BANDS = SIGNATURE // ROWS
 BLOCK = 512
+SHINGLES = 1 << 19
 ROWS_MOST = 1 << 12  # rows of a slice
 
 
@@ -156,6 +158,17 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
+def block_candidates(table: pa.Table) -> pa.Table:
+    """The rows of one pair of blocks that have a possible partner in the other block (or in the one block)."""
+    node, side, sizes = (table.column(c).to_numpy() for c in ("node", "side", "n_shingles"))
+    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    sides, percent = np.unique(side), table.column("percent")[0].as_py()
+    x, y = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
+    possible = may_link(regs[x], regs[y], sizes[x], sizes[y], percent) & (node[x][:, None] != node[y][None, :])
+    keep = np.unique(np.concatenate([x[possible.any(axis=1)], y[possible.any(axis=0)]]))
+    return table.select(["root", "i", "j", "node", "side"]).take(pa.array(keep))
+
+
 def block_links(table: pa.Table, size: int, percent: int) -> pa.Table:
     """u, v: links between the two blocks of one table (or inside the one block), as a spanning forest."""
     node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
@@ -231,26 +244,30 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
             order = np.argsort(row, kind="stable")
             cut = np.searchsorted(row[order], np.arange(part.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), as_long(key[order]))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "s1": sums[0], "s2": sums[1], "bands": lists})
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "s1": sums[0], "s2": sums[1], "bands": lists, "registers": pa.array([x.tobytes() for x in registers(h, off, REGISTERS)], pa.binary())})
 
-    signed = tmp.table(rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    signed = tmp.table(rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, registers binary"))
     full = signed.filter("n_shingles > 0")
     nodes = tmp.table(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     first = full.alias("d").join(nodes.alias("n"), (F.col("d.s1") == F.col("n.s1")) & (F.col("d.s2") == F.col("n.s2")) & (F.col("d.doc_id") == F.col("n.node")), "left_semi")
     banded = tmp.table(first.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("band", "hub")
+    hubs = tmp.table(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("band", "hub"))
     near = banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     families = components(near, tmp)
     families = tmp.table(families.union(families.select(F.col("root").alias("node"), "root").distinct()))
     tmp.keep(signed, nodes, families)
-    blocks = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = families.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # merged at every size: members have no bound, and a plan that changes with size can't be projected
-    texts = member.hint("merge").join(rows.withColumnRenamed("doc_id", "node"), "node")
+    member = tmp.table(signed.select(F.col("doc_id").alias("node"), "n_shingles", "registers").join(families, "node"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int")
+    sized = tmp.table(member.groupBy("root").agg(blocks.alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.select("node", "root", "block", "text", other.alias("other"))
-    dealt = dealt.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "text")
-    links = tmp.table(dealt.groupBy("root", "i", "j").applyInArrow(lambda t: block_links(t, size, percent), "u long, v long"))
+    dealt = member.join(sized, "root").select("*", block.alias("side"), other.alias("other"), F.lit(percent).alias("percent"))
+    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other", "blocks")
+    pairs = tmp.table(dealt.groupBy("root", "i", "j").applyInArrow(block_candidates, "root long, i int, j int, node long, side int"))
+    # merged at every size: pairs have no bound, and a plan that changes with size can't be projected
+    texts = pairs.hint("merge").join(rows.withColumnRenamed("doc_id", "node"), "node")
+    links = tmp.table(texts.groupBy("root", "i", "j").applyInArrow(lambda t: block_links(t, size, percent), "u long, v long"))
+    tmp.drop(member, sized, pairs)
     found = components(links, tmp)
     named = nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     joined = signed.join(named, ["s1", "s2"], "left").withColumn("component", F.coalesce("component", "doc_id"))

@@ -4,7 +4,8 @@ P(grade > t) = sigmoid(w . x - threshold_t): one weight vector for all grades, t
 has a text's distinct words (letters only, lower case, hashed), and steps of the shares of its word shapes. The
 expected grade and the tail probability P(grade = highest) rank documents for selection.
 
-The fit uses at most `sample` rated rows, chosen by a hash of the id.
+The fit uses at most `sample` rated rows, chosen by a hash of the id. Spark counts their features by grade, and only
+features that the counts single out go to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as T
-from orrery.llm._spark import id_text
+from orrery.llm._spark import id_text, written
 
 BITS = 18
 STEPS = np.array([0.02, 0.1, 0.3, 0.6])  # of shares of words
@@ -63,22 +64,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds, -700, 700)))
 
 
-def fit_pairs(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, l2: float = 0.5, rounds: int = 300, least: int = 3, z: float = 5.0) -> Model:
+def telling(times: np.ndarray, rows: np.ndarray, least: int = 3, z: float = 5.0) -> np.ndarray:
+    """Which features are in at least `least` rows with a share above some grade that is `z` standard deviations off
+    the share of all rows; this keeps chance words out of a wide model. times: features x grades; rows: by grade."""
+    n, number = times.sum(axis=1), max(rows.sum(), 1)
+    strong = np.zeros(len(times), bool)
+    for t in range(1, len(rows)):
+        p = rows[t:].sum() / number
+        strong |= np.abs(times[:, t:].sum(axis=1) - n * p) >= z * np.sqrt(n * p * (1 - p) + 1e-9)
+    return strong & (n >= least)
+
+
+def fit_pairs(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, l2: float = 0.5, rounds: int = 300) -> Model:
     """Full-batch fit by Adam of the cumulative-link likelihood.
 
-    A feature gets a weight if it is in at least `least` rows and their share above some grade is `z` standard
-    deviations off the share of all rows; this keeps chance words out of a wide model. Thresholds are a first value and positive gaps, so that they stay ordered; rare grades weigh up to a tenth of all.
+    Thresholds are a first value and positive gaps, so that they stay ordered; rare grades weigh up to a tenth of all.
     """
-    width, n, top = (1 << BITS) + len(SHAPES) * len(STEPS), len(grade), int(grade.max(initial=1))
-    used, inverse, times = np.unique(feature, return_inverse=True, return_counts=True)
-    above = grade[:, None] > np.arange(top)
-    strong = np.zeros(len(used), bool)
-    for t in range(top):
-        p = above[:, t].mean() if n else 0.5
-        off = np.bincount(inverse, weights=above[row, t], minlength=len(used)) - times * p
-        strong |= np.abs(off) >= z * np.sqrt(times * p * (1 - p) + 1e-9)
-    keep = (strong & (times >= least))[inverse]
-    row, inverse = row[keep], inverse[keep]
+    width, n, top = (1 << BITS) + len(SHAPES) * len(STEPS), len(grade), max(int(grade.max(initial=1)), 1)
+    used, inverse = np.unique(feature, return_inverse=True)
     w, free = np.zeros(len(used)), np.concatenate([[-1.0], np.zeros(top - 1)])
     share = np.bincount(grade, minlength=top + 1) / max(n, 1)
     weigh = np.maximum(0.1 / np.maximum(share, 1e-9), 1.0)[grade]
@@ -118,12 +121,29 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, sample: int = 20_000
             yield pa.record_batch({"doc_id": part.column("doc_id"), "grade": part.column("grade"), "features": lists})
 
     texts = id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
-    got = texts.select("doc_id", "text", "grade").mapInArrow(pairs, "doc_id long, grade int, features array<int>").orderBy("doc_id", "grade", "features").toArrow().combine_chunks()
-    if not got.num_rows:
-        return Model(np.zeros((1 << BITS) + len(SHAPES) * len(STEPS)), np.zeros(1))
+    rated = written(texts.select("doc_id", "text", "grade").mapInArrow(pairs, "doc_id long, grade int, features array<int>"), "ordinal")
+    width = (1 << BITS) + len(SHAPES) * len(STEPS)
+    rows = {r.grade: r.n for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if not rows:
+        return Model(np.zeros(width), np.zeros(1))
+    number = np.array([rows.get(g, 0) for g in range(max(max(rows), 1) + 1)], dtype=float)
+    seen = rated.select("grade", F.explode("features").alias("feature")).groupBy("feature", "grade").agg(F.count("*").alias("n")).toArrow()  # at most width rows a grade
+    times = np.zeros((width, len(number)))
+    times[seen.column("feature").to_numpy(), seen.column("grade").to_numpy()] = seen.column("n").to_numpy()
+    strong = telling(times, number)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("features")
+            flat = lists.flatten().to_numpy()
+            keep = strong[flat]
+            row = lists.value_parent_indices().to_numpy()[keep]
+            cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "grade": b.column("grade"), "features": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[keep]))})
+
+    got = rated.mapInArrow(told, rated.schema).orderBy("doc_id", "grade", "features").toArrow().combine_chunks()
     lists = got.column("features").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    return fit_pairs(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy().astype(np.int64), got.column("grade").to_numpy().astype(np.int64))
+    return fit_pairs(lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy().astype(np.int64), got.column("grade").to_numpy().astype(np.int64))
 
 
 def rate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -6,8 +6,9 @@ A query's k-th best score so far is its threshold; a block of vectors is skipped
 reach it, and a single vector if the partial sum over the leading coordinates plus the product of the residual
 norms (Cauchy-Schwarz) cannot. Bounds are floating point with a margin; scores are exact integers.
 
-Queries are broadcast in chunks of at most `chunk` vectors, so what is broadcast has a fixed bound at any size. A
-first pass over the `head` longest vectors, again a fixed number, gives thresholds for all partitions.
+Queries are broadcast in chunks of at most `chunk` vectors and CHUNK_BYTES, so what is broadcast has a fixed bound at any
+size; they are compared in tiles of TILE queries with ROWS vectors. A first pass over the `head` longest vectors, again a
+fixed number, gives thresholds for all partitions.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from orrery.llm._spark import Scratch, partitions
 
 ROWS = 4096  # of vectors compared at a time
+TILE = 512  # of queries compared at a time
+CHUNK_BYTES = 16 << 20
 
 
 def integer_vectors(table: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -61,7 +64,7 @@ class Searcher:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, rotation: np.ndarray, k: int, lead: int, floor: np.ndarray):
         self.ids, self.q, self.rotation, self.k, self.lead = ids, queries, rotation, k, lead
         r = queries @ rotation
-        self.head, self.norm, self.rest = r[:, :lead], np.linalg.norm(r, axis=1), np.linalg.norm(r[:, lead:], axis=1)
+        self.rotated, self.norm, self.rest = r, np.linalg.norm(r, axis=1), np.linalg.norm(r[:, lead:], axis=1)
         self.floor = floor.astype(float)  # no result below this
         n = len(ids)
         self.best = np.full((n, k), -np.inf)  # scores as float, for thresholds only
@@ -72,14 +75,21 @@ class Searcher:
         rest, norm = np.linalg.norm(r[:, self.lead :], axis=1), np.linalg.norm(r, axis=1)
         least = np.maximum(self.best[:, -1], self.floor)
         live = np.flatnonzero(self.norm * norm.max(initial=0.0) * (1 + 1e-9) + 1 >= least)
-        if not len(live) or not len(ids):
-            return
-        bound = self.head[live] @ r[:, : self.lead].T
-        bound += self.rest[live, None] * rest[None, :]
-        bound += 1 + 1e-9 * self.norm[live, None] * norm[None, :]
-        row, col = np.nonzero(bound >= least[live, None])
-        keep = self.ids[live[row]] != ids[col]
-        row, col = live[row[keep]], col[keep]
+        for i in range(0, len(live) if len(ids) else 0, TILE):
+            tile = live[i : i + TILE]
+            margin = 1 + 1e-9 * self.norm[tile, None] * norm[None, :]
+            bound = self.rotated[tile, : self.lead] @ r[:, : self.lead].T + self.rest[tile, None] * rest[None, :] + margin
+            possible = (bound >= least[tile, None]) & (self.ids[tile, None] != ids[None, :])
+            if possible.sum() > 4 * self.k * len(tile):  # the bound says little: whole sums, less than the k best of which are out
+                score = np.where(possible, self.rotated[tile] @ r.T, -np.inf)
+                if len(ids) > self.k:
+                    kth = np.partition(score, -self.k, axis=1)[:, -self.k]
+                    possible &= score + margin >= np.maximum(least[tile], kth - margin.max(axis=1))[:, None]
+            row, col = np.nonzero(possible)
+            self._keep(tile[row], col, ids, v)
+
+    def _keep(self, row: np.ndarray, col: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Adds pairs of queries and vectors by their exact scores."""
         if not len(row):
             return
         scores = np.concatenate([_exact(self.q[row[i : i + 100_000]], v[col[i : i + 100_000]]) for i in range(0, len(row), 100_000)])
@@ -104,6 +114,7 @@ class Searcher:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, chunk: int = 100_000, head: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest scores over all other rows, ties to smaller vec_id.
+    An empty vector has score 0 with every other. The driver holds dim * dim sums, `head` vectors and one chunk of queries.
 
     vectors: (vec_id long, v array<long>); is_query: a condition on vec_id. A row is never compared with rows of
     its own id; a repeated id counts once per row as a candidate and once, with its smallest vector, as a query. Vectors of different lengths
@@ -135,6 +146,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, chunk: int = 100_00
 
     longest = table.orderBy(F.col("norm").desc(), "vec_id").limit(head).select("vec_id", "v").toArrow().combine_chunks()
     longest_ids, longest_v = longest.column("vec_id").to_numpy(), _matrix(longest.column("v").combine_chunks(), dim)
+    chunk = max(1, min(chunk, CHUNK_BYTES // (8 * dim)))
     queries = table.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     chunks = -(-queries.count() // chunk)
     parts = []
