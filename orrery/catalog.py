@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import orrery.operators.attributes
 import orrery.operators.dealers
+import orrery.operators.enrichment
 import orrery.operators.intake
 import orrery.operators.listing
 import orrery.operators.monitor

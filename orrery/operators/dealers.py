@@ -46,17 +46,23 @@ def dealer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH x AS (SELECT regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '[/?#].*$', ''), '^www\\.', '') AS domain, page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')), '') AS name FROM pages)
 SELECT domain, count(*) AS n_pages, first(name ORDER BY page_id) FILTER (name IS NOT NULL) AS name FROM x GROUP BY domain""")
 def merge_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per domain: the first page's name, channels of all pages together."""
+    """One record per domain: number of pages and the first page's name; intake.merged_company merges all fields and channels."""
     p = read_table(spark, sf_dir, "pages").select(web.domain(F.col("url")).alias("domain"), "page_id", web.tag_text(F.col("html"), "title").alias("name"))
     return p.groupBy("domain").agg(F.count("*").alias("n_pages"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("page_id"))).alias("name"))
 
 
 def company_record(pages: DataFrame) -> DataFrame:
-    """domain, emails, mobiles, gstin, cin of pages (url, html): tax ids are taken out before numbers are read as phones."""
+    """domain, emails, mobiles, gstin, cin of pages (url, html): tax ids are taken out before numbers are read as phones.
+
+    Channels become rows, each once per domain before the shuffle, so that no page's lists travel whole.
+    """
     html = F.col("html")
     bare = web.strip_tags(F.regexp_replace(F.regexp_replace(html, T.GSTIN, " "), T.CIN, " "))
     one = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    x = pages.select(web.domain(F.col("url")).alias("domain"), "url", T.emails(bare).alias("e"), T.mobiles(bare).alias("m"), one(T.GSTIN).alias("g"), one(T.CIN).alias("c"))
-    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("url")))
-    return x.groupBy("domain").agg(every("e").alias("emails"), every("m").alias("mobiles"), first("g").alias("gstin"), first("c").alias("cin"))
+    x = pages.select(web.domain(F.col("url")).alias("domain"), "url", T.emails(bare).alias("emails"), T.mobiles(bare).alias("mobiles"), one(T.GSTIN).alias("gstin"), one(T.CIN).alias("cin"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("url"))).alias(c)
+    out = x.groupBy("domain").agg(first("gstin"), first("cin"))
+    for c in ("emails", "mobiles"):
+        found = x.select("domain", F.explode(c).alias("x")).distinct().groupBy("domain").agg(F.array_sort(F.collect_set("x")).alias(c))
+        out = out.join(found, "domain", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out.select("domain", "emails", "mobiles", "gstin", "cin")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators.prefix import running_sum
 from orrery.operators.prices import LATEST, freshest
 from orrery.operators.resolve import GROUP_SQL, with_group
 from orrery.registry import query
@@ -13,22 +14,42 @@ from orrery.relations import oracle, relation
 MOST = 200
 
 
-def filters(*, supplier: str | None = None, brand: str | None = None, category: str | None = None, q: str | None = None, has_image: bool | None = None) -> Column:
-    """Equality and case-insensitive containment; % and _ in q are live wildcards, as in the reference."""
+def filters(
+    *, supplier: str | None = None, brand: str | None = None, category: str | None = None, family: str | None = None, category_std: str | None = None, q: str | None = None,
+    has_image: bool | None = None, priced: bool | None = None, min_price: float | None = None, max_price: float | None = None, publish_ready: bool | None = None,
+) -> Column:
+    """Equality, case-insensitive containment, presence and price bounds; None filters nothing. % and _ in q are live wildcards, as in the reference.
+
+    Price filters need a column price_inr (priced()), family, category_std and publish_ready those of classification and scoring.
+    """
     out = F.lit(True)
-    if supplier is not None:
-        out &= F.col("supplier_domain") == supplier
-    if brand is not None:
-        out &= F.col("brand") == brand
-    if category is not None:
-        out &= F.col("category").ilike(f"%{category}%")
-    if q is not None:
-        out &= F.col("title").ilike(f"%{q}%")
-    if has_image is not None:
-        out &= F.col("image_url").isNotNull() if has_image else F.col("image_url").isNull()
+    for name, value in {"supplier_domain": supplier, "brand": brand, "family": family, "category_std": category_std, "publish_ready": publish_ready}.items():
+        if value is not None:
+            out &= F.col(name) == value
+    for name, value in {"category": category, "title": q}.items():
+        if value is not None:
+            out &= F.col(name).ilike(f"%{value}%")
+    for name, value in {"image_url": has_image, "price_inr": priced}.items():
+        if value is not None:
+            out &= F.col(name).isNotNull() if value else F.col(name).isNull()
+    if min_price is not None:
+        out &= F.col("price_inr") >= min_price
+    if max_price is not None:
+        out &= F.col("price_inr") <= max_price
     return out
 
 
+def priced(products: DataFrame, prices: DataFrame) -> DataFrame:
+    """Products with their freshest price as price_inr."""
+    return products.join(freshest(prices).select(F.col("product_id").alias("id"), "price_inr"), "id", "left")
+
+
+@query(oracle("product price", f"WITH {LATEST} SELECT p.id, l.price_inr FROM product p JOIN latest l ON l.product_id = p.id WHERE l.price_inr BETWEEN 500 AND 900 AND p.image_url IS NULL AND p.category ILIKE '%a%'"))
+def list_products_in_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = priced(relation(spark, sf_dir, "product"), relation(spark, sf_dir, "price"))
+    return p.filter(filters(priced=True, min_price=500, max_price=900, has_image=False, category="A")).select("id", "price_inr")
+
+
 @query(oracle("product", "SELECT id, brand, title, category FROM product WHERE category ILIKE '%TILE%' AND title ILIKE '%bolt%' AND image_url IS NOT NULL"))
 def list_products_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "product").filter(filters(category="TILE", q="bolt", has_image=True)).select("id", "brand", "title", "category")
@@ -130,15 +151,10 @@ def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = relation(spark, sf_dir, "price")
     o = prices.agg(F.count("*").alias("observations"), F.countDistinct("product_id").alias("priced"))
     s = relation(spark, sf_dir, "supplier").agg(F.count_if(F.col("status") == "active").alias("active"))
-    # equal prices are counted together; the place is found on the counts
-    from pyspark.sql import Window as W
-
-    counted = prices.groupBy("price_inr").agg(F.count("*").alias("n")).repartitionByRange("price_inr").withColumn("part", F.spark_partition_id())
-    inside = F.sum("n").over(W.partitionBy("part").orderBy("price_inr"))
-    parts = counted.groupBy("part").agg(F.sum("n").alias("size")).withColumn("before", F.sum("size").over(W.orderBy("part")) - F.col("size"))
-    total = parts.agg(F.sum("size").alias("total"))
-    upto = counted.withColumn("inside", inside).join(F.broadcast(parts.select("part", "before")), "part").withColumn("upto", F.col("inside") + F.col("before")).crossJoin(F.broadcast(total))
-    m = upto.filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("price_inr").alias("median_price"))
+    # equal prices are counted together; the place is found on the running sum of their counts
+    upto = running_sum(prices.filter("price_inr IS NOT NULL").groupBy("price_inr").agg(F.count("*").alias("n")), [], ["price_inr"], "n", "upto")
+    total = upto.agg(F.max("upto").alias("total"))
+    m = upto.crossJoin(F.broadcast(total)).filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("price_inr").alias("median_price"))
     return p.crossJoin(o).crossJoin(m).crossJoin(s).select("products", "suppliers", "brands", "with_image", "observations", "priced", "median_price", "active")  # one row each
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.prefix import running_sum
 from orrery.registry import query
 from orrery.relations import now, oracle, relation
+from orrery.session import read_table
 
 LEAST, DROP, SPIKE, LEASE = 20, 0.30, 0.5, 1800  # fixed values: least yield, drop, quarantined share, lease in seconds
 
@@ -30,22 +32,35 @@ def yield_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drifted(latest_two(relation(spark, sf_dir, "harvest")))
 
 
-@query(oracle("harvest", "WITH r AS (SELECT domain, CAST(observed_at AS DATE) AS month, products, quarantined FROM harvest) SELECT domain, strftime(month, '%Y-%m') AS month, products, quarantined FROM r WHERE products + quarantined >= 20 AND quarantined > (products + quarantined) * 0.345"))
+# Harvests by year and accepted and quarantined rows: a stand-in with shares on both sides of SPIKE
+HARVESTS = """SELECT concat('d', CAST(o_custkey % 10 AS STRING)) AS domain, date_trunc('year', o_orderdate) AS observed_at,
+  count(*) FILTER (WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderkey % 2 = 0)) AS products,
+  count(*) FILTER (WHERE o_orderstatus = 'F' OR (o_orderstatus = 'P' AND o_orderkey % 2 = 1)) AS quarantined FROM {0} GROUP BY 1, 2"""
+_LATEST = f"h AS ({HARVESTS.format('orders')}), last AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY observed_at DESC) AS k, lead(products) OVER (PARTITION BY domain ORDER BY observed_at DESC) AS prev FROM h)"
+
+
+def harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(HARVESTS.format("{orders}"), orders=read_table(spark, sf_dir, "orders"))
+
+
+def spiked(last: DataFrame) -> DataFrame:
+    """Latest harvests of at least LEAST rows with more than the share SPIKE quarantined."""
+    total = F.coalesce("products", F.lit(0)) + F.coalesce("quarantined", F.lit(0))
+    return last.filter((total >= LEAST) & (F.coalesce("quarantined", F.lit(0)) > total * SPIKE)).select("domain", "products", "quarantined")
+
+
+@query(f"WITH {_LATEST} SELECT domain, products, quarantined FROM last WHERE k = 1 AND products + quarantined >= 20 AND quarantined > (products + quarantined) * 0.5")
 def quarantine_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Harvests whose quarantined share is above a ratio; the stand-in counts quarantined rows among products, hence 0.345."""
-    total = F.col("products") + F.col("quarantined")
-    return relation(spark, sf_dir, "harvest").filter((total >= LEAST) & (F.col("quarantined") > total * 0.345)).select("domain", F.date_format("observed_at", "yyyy-MM").alias("month"), "products", "quarantined")
+    return spiked(latest_two(harvests(spark, sf_dir)))
 
 
-@query(oracle("harvest", f"""WITH {LAST}, d AS (SELECT domain, 'yield_drop' AS reason FROM last WHERE k = 1 AND prev >= 20 AND products < prev * 0.7), s AS (SELECT domain, 'quarantine_spike' AS reason FROM last WHERE k = 1 AND products + quarantined >= 20 AND quarantined > (products + quarantined) * 0.3)
-SELECT domain, reason FROM d UNION ALL SELECT domain, reason FROM s WHERE domain NOT IN (SELECT domain FROM d)"""))
+@query(f"""WITH {_LATEST}, d AS (SELECT domain, 'yield_drop' AS reason FROM last WHERE k = 1 AND prev >= 20 AND products < prev * 0.7), s AS (SELECT domain, 'quarantine_spike' AS reason FROM last WHERE k = 1 AND products + quarantined >= 20 AND quarantined > (products + quarantined) * 0.5)
+SELECT domain, reason FROM d UNION ALL SELECT domain, reason FROM s WHERE domain NOT IN (SELECT domain FROM d)""")
 def drift_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repair list; a yield drop wins over a spike of the same domain."""
-    last = latest_two(relation(spark, sf_dir, "harvest"))
+    last = latest_two(harvests(spark, sf_dir))
     drop = drifted(last).select("domain", F.lit("yield_drop").alias("reason"))
-    total = F.col("products") + F.col("quarantined")
-    spike = last.filter((total >= LEAST) & (F.col("quarantined") > total * 0.3)).select("domain", F.lit("quarantine_spike").alias("reason"))
-    return drop.unionByName(spike.join(drop, "domain", "left_anti"))
+    return drop.unionByName(spiked(last).select("domain", F.lit("quarantine_spike").alias("reason")).join(drop, "domain", "left_anti"))
 
 
 @query(oracle("job", "SELECT s.status, count(j.id) AS n FROM (VALUES ('pending'), ('running'), ('done'), ('failed')) s(status) LEFT JOIN job j ON j.status = s.status GROUP BY s.status"))
@@ -77,18 +92,82 @@ def queue_fail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after_failure(relation(spark, sf_dir, "job").filter("status = 'running'")).select("id", "attempts", "status", "wait_s")
 
 
+def enqueue(jobs: DataFrame, new: DataFrame, reset: bool = False) -> DataFrame:
+    """The queue after adding (stage, target, priority, max_attempts): one job per stage and target. A job that is there stays as it is, or starts anew with reset."""
+    key = ["stage", "target"]
+    asked = new.dropDuplicates(key).select(*key, F.col("priority").alias("p"), F.col("max_attempts").alias("m"), F.lit(True).alias("asked"))
+    q = jobs.join(asked, key, "full_outer")
+    fresh = F.col("status").isNull() | (F.lit(reset) & F.col("asked").isNotNull())
+    pick = lambda name, value: F.when(fresh, value).otherwise(F.col(name)).alias(name)
+    return q.select("id", *key, pick("status", F.lit("pending")), pick("attempts", F.lit(0)), pick("max_attempts", F.col("m")), pick("priority", F.col("p")))
+
+
+def claimed(jobs: DataFrame, at: Column, most: int) -> DataFrame:
+    """The queue after a claim of up to `most` eligible jobs, by priority and id, which are then running since `at`."""
+    mine = claimable(jobs, at).orderBy(F.desc("priority"), "id").limit(most).select("id", F.lit(True).alias("mine"))
+    q = jobs.join(mine, "id", "left")
+    return q.select(*[F.when(F.col("mine"), x).otherwise(F.col(c)).alias(c) if (x := {"status": F.lit("running"), "updated_at": at}.get(c)) is not None else F.col(c) for c in jobs.columns])
+
+
+def completed(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The queue after the jobs of ids (id, result) are done; their last error goes."""
+    return jobs.join(ids.select("id", F.coalesce("result", F.lit("{}")).alias("result")), "id", "left").withColumn("status", F.when(F.col("result").isNotNull(), "done").otherwise(F.col("status")))
+
+
+def requeued(jobs: DataFrame, at: Column) -> DataFrame:
+    """The queue with running jobs whose lease has run out pending again."""
+    stale = (F.col("status") == "running") & (F.unix_seconds(at.cast("timestamp")) - F.unix_seconds(F.col("updated_at").cast("timestamp")) > LEASE)
+    return jobs.withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
+
+
+def revived(jobs: DataFrame, stage: str | None = None) -> DataFrame:
+    """The queue with failed jobs (of a stage) pending, without attempts."""
+    dead = (F.col("status") == "failed") & (F.lit(True) if stage is None else F.col("stage") == stage)
+    return jobs.withColumn("attempts", F.when(dead, 0).otherwise(F.col("attempts"))).withColumn("status", F.when(dead, "pending").otherwise(F.col("status")))
+
+
+@query(oracle("job supplier", """WITH q AS (SELECT min(id) AS id, stage, target, min(status) AS status, CAST(max(attempts) AS INTEGER) AS attempts FROM job GROUP BY stage, target), n AS (SELECT 'harvest' AS stage, domain AS target FROM supplier_rel WHERE supplier_id % 2 = 0 UNION SELECT 'repair', domain FROM supplier_rel WHERE supplier_id % 3 = 0)
+SELECT q.id, COALESCE(q.stage, n.stage) AS stage, COALESCE(q.target, n.target) AS target, CASE WHEN n.stage IS NOT NULL THEN 'pending' ELSE status END AS status, CASE WHEN n.stage IS NOT NULL THEN 0 ELSE attempts END AS attempts FROM q FULL OUTER JOIN n ON n.stage = q.stage AND n.target = q.target"""))
+def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old jobs of even suppliers start anew, repairs of every third are added."""
+    old = relation(spark, sf_dir, "job").groupBy("stage", "target").agg(F.min("id").alias("id"), F.min("status").alias("status"), F.max("attempts").alias("attempts"), F.max("max_attempts").alias("max_attempts"), F.max("priority").alias("priority"))
+    s = relation(spark, sf_dir, "supplier")
+    new = s.filter("supplier_id % 2 = 0").select(F.lit("harvest").alias("stage"), F.col("domain").alias("target")).unionByName(s.filter("supplier_id % 3 = 0").select(F.lit("repair").alias("stage"), F.col("domain").alias("target")))
+    return enqueue(old, new.withColumns({"priority": F.lit(1), "max_attempts": F.lit(4)}), reset=True).select("id", "stage", "target", "status", F.col("attempts").cast("int").alias("attempts"))
+
+
+@query(oracle("job", """WITH c AS (SELECT id FROM job WHERE status = 'pending' OR (status = 'running' AND epoch($NOW) - epoch(updated_at) > 1800) ORDER BY priority DESC, id LIMIT 50), q AS (SELECT j.id, CASE WHEN c.id IS NOT NULL THEN 'running' ELSE status END AS status, CASE WHEN c.id IS NOT NULL THEN $NOW ELSE updated_at END AS updated_at FROM job j LEFT JOIN c ON c.id = j.id)
+SELECT CASE WHEN id % 10 = 0 AND status = 'running' THEN 'done' WHEN status = 'running' AND epoch($NOW) + 60 - epoch(updated_at) > 1800 THEN 'pending' ELSE status END AS status, count(*) AS n FROM q GROUP BY 1"""))
+def queue_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States after a claim, completion of every tenth running job and, a minute later, return of stale ones."""
+    q = claimed(relation(spark, sf_dir, "job"), now(), 50)
+    q = completed(q, q.filter("id % 10 = 0 AND status = 'running'").select("id", F.lit("{}").alias("result")))
+    return requeued(q, now() + F.expr("INTERVAL 60 SECOND")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(oracle("job", "SELECT id, CASE WHEN dead AND stage = 'harvest' THEN 'pending' WHEN dead THEN 'failed' ELSE status END AS status, CASE WHEN dead AND stage = 'harvest' THEN 0 ELSE attempts END AS attempts FROM (SELECT *, status <> 'done' AND attempts >= max_attempts AS dead FROM job)"))
+def queue_retry_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of one stage are revived, the others stay dead."""
+    dead = (F.col("status") != "done") & (F.col("attempts") >= F.col("max_attempts"))
+    jobs = relation(spark, sf_dir, "job").withColumn("status", F.when(dead, "failed").otherwise(F.col("status")))
+    return revived(jobs, "harvest").select("id", "status", "attempts")
+
+
 @query(oracle("job", "SELECT id, stage, target, attempts FROM job WHERE attempts >= max_attempts AND status <> 'done'"))
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "job").filter("attempts >= max_attempts AND status <> 'done'").select("id", "stage", "target", "attempts")
 
 
+DUE_AT = "2001-08-05"
+
+
 @query(oracle("job supplier", """WITH j AS (SELECT target, max(updated_at) AS last FROM job WHERE stage = 'harvest' AND status = 'done' GROUP BY target)
-SELECT j.target, s.scrape_tier FROM j JOIN supplier_rel s ON s.domain = j.target WHERE j.last < $NOW - CASE WHEN s.scrape_tier IN ('shopify', 'woocommerce') THEN INTERVAL 1 DAY WHEN s.scrape_tier = 'jsonld' AND s.price_published = 'yes' THEN INTERVAL 7 DAY ELSE INTERVAL 1200 DAY END"""))
+SELECT j.target, s.scrape_tier FROM j JOIN supplier_rel s ON s.domain = j.target WHERE j.last < $NOW - CASE WHEN s.scrape_tier IN ('shopify', 'woocommerce') THEN INTERVAL 1 DAY WHEN s.scrape_tier = 'jsonld' AND s.price_published = 'yes' THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END""", DUE_AT))
 def due_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Done harvests older than their tier's cadence (slow tiers: 1200 days on the stand-in's scale)."""
+    """Done harvests older than their tier's cadence: a day, a week, thirty days."""
     j = relation(spark, sf_dir, "job").filter("stage = 'harvest' AND status = 'done'").groupBy(F.col("target").alias("domain")).agg(F.max("updated_at").alias("last"))
-    days = F.when(F.col("scrape_tier").isin("shopify", "woocommerce"), 1).when((F.col("scrape_tier") == "jsonld") & (F.col("price_published") == "yes"), 7).otherwise(1200)
-    due = j.join(relation(spark, sf_dir, "supplier"), "domain").filter(F.col("last") < now() - F.make_dt_interval(days))
+    days = F.when(F.col("scrape_tier").isin("shopify", "woocommerce"), 1).when((F.col("scrape_tier") == "jsonld") & (F.col("price_published") == "yes"), 7).otherwise(30)
+    due = j.join(relation(spark, sf_dir, "supplier"), "domain").filter(F.col("last") < now(DUE_AT) - F.make_dt_interval(days))
     return due.select(F.col("domain").alias("target"), "scrape_tier")
 
 
@@ -148,11 +227,20 @@ def ledger_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cost(relation(spark, sf_dir, "call")).groupBy("day").agg(F.count("*").alias("calls"), F.sum("cost").cast("double").alias("cost")).orderBy(F.desc("day")).limit(14)
 
 
-@query(oracle("call", f"WITH {COSTED}, s AS (SELECT CAST(sum(cost) AS DOUBLE) AS ours FROM costed) SELECT round(ours, 4) AS ours, round(ours * 1.14, 4) AS billed, abs(ours * 1.14 - ours) / nullif(ours, 0) > 0.1 AS halt FROM s"))
+def reconciled(calls: DataFrame, bills: DataFrame, tolerance: float = 0.10) -> DataFrame:
+    """ours, billed, divergence, halt of each bill (billed) against the whole ledger; the difference is relative to the bill, and halts beyond the tolerance."""
+    ours = with_cost(calls).agg(F.round(F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)), 4).alias("ours"))
+    off = F.when(F.col("billed") != 0, F.abs(F.col("ours") - F.col("billed")) / F.col("billed")).otherwise(F.when(F.col("ours") != 0, 1.0).otherwise(0.0))
+    return bills.crossJoin(ours).select("ours", F.round("billed", 2).alias("billed"), F.round(off, 3).alias("divergence"), (off > tolerance).alias("halt"))  # one row of ours
+
+
+BILLS = (0.0, 30.0, 60.0, 90.0, 120.0, 150.0)
+
+
+@query(oracle("call", f"WITH {COSTED}, s AS (SELECT round(CAST(sum(cost) AS DOUBLE), 4) AS ours FROM costed), b AS (SELECT unnest([0.0, 30.0, 60.0, 90.0, 120.0, 150.0])::DOUBLE AS billed), d AS (SELECT ours, billed, CASE WHEN billed <> 0 THEN abs(ours - billed) / billed WHEN ours <> 0 THEN 1.0 ELSE 0.0 END AS off FROM b, s) SELECT ours, round(billed, 2) AS billed, round(off, 3) AS divergence, off > 0.1 AS halt FROM d"))
 def ledger_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Halts when the bill is more than a tenth off the ledger."""
-    s = with_cost(relation(spark, sf_dir, "call")).agg(F.sum("cost").cast("double").alias("x"))
-    return s.select(F.round("x", 4).alias("ours"), F.round(F.col("x") * 1.14, 4).alias("billed"), (F.abs(F.col("x") * 1.14 - F.col("x")) / F.nullif("x", F.lit(0.0)) > 0.1).alias("halt"))
+    """The ledger against several bills, one of them nothing."""
+    return reconciled(relation(spark, sf_dir, "call"), spark.createDataFrame([(x,) for x in BILLS], "billed double"))
 
 
 @query(oracle("call product", "SELECT c.id, c.model, c.status, p.title FROM call c LEFT JOIN product p ON p.id = c.product_id ORDER BY c.id DESC LIMIT 40 OFFSET 10"))
@@ -171,8 +259,7 @@ def last_failure_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("call", f"WITH {COSTED} SELECT id FROM (SELECT id, model, sum(cost) OVER (PARTITION BY model, day ORDER BY id ROWS UNBOUNDED PRECEDING) AS spent FROM costed) WHERE spent <= 1.5"))
 def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each model and day until the day's budget is spent."""
-    w = W.partitionBy("model", "day").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
-    return with_cost(relation(spark, sf_dir, "call")).withColumn("spent", F.sum("cost").over(w)).filter("spent <= 1.5").select("id")
+    return running_sum(with_cost(relation(spark, sf_dir, "call")).select("id", "model", "day", "cost"), ["model", "day"], ["id"], "cost", "spent").filter("spent <= 1.5").select("id")
 
 
 def metrics_by_arm(calls: DataFrame) -> DataFrame:
@@ -181,7 +268,7 @@ def metrics_by_arm(calls: DataFrame) -> DataFrame:
 
 
 def decide(flash: DataFrame, lite: DataFrame) -> DataFrame:
-    """The fixed rule: more than 2% malformed loses, else the pass rate may be at most two points lower."""
+    """The rule for arms without colour and keyword rates: more than 2% malformed loses, else the pass rate may be at most two points lower. enrichment.decide_arms has all of it."""
     f, x = flash.select(F.col("pass_rate").alias("fp")), lite.select(F.col("pass_rate").alias("lp"), F.col("malformed_rate").alias("lm"))
     return f.crossJoin(x).select(F.when(F.col("lm") > 0.02, "flash").when(F.col("lp") >= F.col("fp") - 0.02, "lite").otherwise("flash").alias("winner"))  # one row each
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,13 @@ def get_session(app: str = "orrery", **conf: str) -> SparkSession:
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One input table; Catalyst prunes columns and pushes filters into this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """An unused folder that driver and executors share, below spark.checkpoint.dir; only a local master may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="orrery-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_events(spark: SparkSession, directory: str, schema, glob: str = "events.parquet") -> DataFrame:
@@ -26,18 +26,72 @@ def first_seen(observations: DataFrame, key: list[str], late: str = "1 day") ->
     return observations.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def freshest_state(observations: DataFrame) -> DataFrame:
-    """product_id, ts, price whenever a product's freshest observation changes; one small state per product."""
+KEEP_DAYS = 90
+
+
+class Freshest(StatefulProcessor):
+    """Keeps the newest (time, price) of a product; the state ends when no newer one came for KEEP_DAYS."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "micros long, price double", ttlDurationMs=KEEP_DAYS * 86_400_000)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else (-1, -1.0)
-        old = best
-        for f in frames:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        old = tuple(self.best.get()) if self.best.exists() else None
+        new = old
+        for f in rows:
             micros = pd.DatetimeIndex(f["ts"]).tz_localize(None).as_unit("us").asi8
-            best = max(best, max(zip(micros.tolist(), f["price"].tolist(), strict=True), default=best))
-        if best != old:
-            state.update(best)
-            yield pd.DataFrame({"product_id": [key[0]], "ts": pd.to_datetime([best[0]], unit="us"), "price": [best[1]]})
+            new = max([*([new] if new else []), *zip(micros.tolist(), f["price"].tolist(), strict=True)], default=None)
+        if new is not None and new != old:
+            self.best.update(new)
+            yield pd.DataFrame({"product_id": [key[0]], "ts": pd.to_datetime([new[0]], unit="us"), "price": [new[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def freshest_state(observations: DataFrame) -> DataFrame:
+    """product_id, ts, price whenever a product's freshest observation changes; one small state per product, with an end. Needs the RocksDB state store."""
+    return observations.groupBy("product_id").transformWithStateInPandas(Freshest(), "product_id long, ts timestamp, price double", "Update", "ProcessingTime")
+
+
+class JobState(StatefulProcessor):
+    """A queue job as a state machine: enqueue, claim, complete, fail and retry move it; other moves are ignored."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.job = handle.getValueState("job", "status string, attempts int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        status, attempts = self.job.get() if self.job.exists() else (None, 0)
+        out = []
+        events = pd.concat(list(rows)).sort_values("at", kind="stable")
+        for at, event, most in zip(events["at"], events["event"], events["max_attempts"], strict=True):
+            after = moved(status, attempts, event, int(most))
+            if after != (status, attempts):
+                status, attempts = after
+                out.append((key[0], at, status, attempts))
+        if out:
+            self.job.update((status, attempts))
+            yield pd.DataFrame(out, columns=["id", "at", "status", "attempts"])
+
+    def close(self) -> None:
+        pass
+
+
+def moved(status: str | None, attempts: int, event: str, most: int) -> tuple[str | None, int]:
+    """State and attempts of a job after an event."""
+    if event == "enqueue" and status is None:
+        return "pending", 0
+    if event == "claim" and status == "pending":
+        return "running", attempts
+    if event == "complete" and status == "running":
+        return "done", attempts
+    if event == "fail" and status == "running":
+        return ("failed" if attempts + 1 >= most else "pending"), attempts + 1
+    if event == "retry" and status == "failed":
+        return "pending", 0
+    return status, attempts
+
 
-    shape, held = "product_id long, ts timestamp, price double", "micros long, price double"
-    return observations.groupBy("product_id").applyInPandasWithState(step, shape, held, "update", GroupStateTimeout.NoTimeout)
+def job_states(events: DataFrame) -> DataFrame:
+    """id, at, status, attempts after every move of jobs, from a stream of events (id, at, event, max_attempts). Needs the RocksDB state store."""
+    return events.groupBy("id").transformWithStateInPandas(JobState(), "id long, at timestamp, status string, attempts int", "Update", "None")

@@ -39,6 +39,25 @@ def test_first_seen(spark, tmp_path):
     assert out.count() == 4
 
 
-def test_freshest_state(spark, tmp_path):
+@pytest.fixture()
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # a state with an end would keep the query awake
+    yield
+    spark.conf.unset(name)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_job_states(spark, tmp_path, rocks):
+    moves = [(1, 1, "enqueue"), (1, 2, "claim"), (1, 3, "fail"), (1, 4, "complete"), (1, 5, "claim"), (1, 6, "fail"), (1, 7, "retry"), (2, 1, "enqueue"), (2, 2, "enqueue"), (2, 3, "claim"), (2, 4, "complete")]
+    df = spark.createDataFrame(moves, "id long, n int, event string").select("id", F.timestamp_seconds("n").alias("at"), "event", F.lit(2).alias("max_attempts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "m"))
+    out = finish(live.job_states(spark.readStream.schema(df.schema).parquet(str(tmp_path / "m"))), "jobs", "update")
+    got = [(r.id, r.status, r.attempts) for r in out.orderBy("id", "at").collect()]
+    assert got == [(1, "pending", 0), (1, "running", 0), (1, "pending", 1), (1, "running", 1), (1, "failed", 2), (1, "pending", 0), (2, "pending", 0), (2, "running", 0), (2, "done", 0)]
+
+
+def test_freshest_state(spark, tmp_path, rocks):
     out = finish(live.freshest_state(observations(spark, tmp_path / "o")), "fresh", "update")
     assert {(r.product_id, r.price) for r in out.collect()} == {(1, 7.0), (2, 1.0)}
