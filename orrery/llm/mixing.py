@@ -56,16 +56,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return ranked.select("source", "source_size", F.when(level.isNull(), F.col("limit")).otherwise(F.least("limit", F.col("weight") * level)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tag: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken (= copies * size).
 
     Null text has size 0 and takes no words; a source without words has target 0; a null source is a source of
     its own. Repeated rows are documents of their own. Equal sizes are ordered by doc_id. An empty table gives no
-    rows. The same rows and seed give the same result, however they are partitioned.
+    rows. The same rows and seed give the same result, however they are partitioned. tag: a long of each row to return as well.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "mix")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
     n = partitions(spark)
     ranged = tmp.table(sized.repartitionByRange(n, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")).withColumn("block", F.spark_partition_id()))
     blocks = ranged.groupBy("source", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -76,27 +76,30 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     place = F.row_number().over(W.partitionBy("d.source", "d.block").orderBy("size", "doc_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # 0 <= offset < 1, one per source, from the seed
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).cast("binary")), 1, 10)
+    offset = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 40))
     placed = (
         ranged.alias("d")
         .join(at.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.block") == F.col("a.block")))
-        .select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", F.col("d.block").alias("block"), (F.col("earlier") + place).alias("rank"), rate.alias("rate"))
+        .select("doc_id", "tag", F.col("d.source").alias("source"), "size", "source_size", "target", F.col("d.block").alias("block"), (F.col("earlier") + place).alias("rank"), rate.alias("rate"))
     )
     crossed = F.floor(offset + F.col("rate") * F.col("rank")) - F.floor(offset + F.col("rate") * (F.col("rank") - 1))
     copies = F.least(crossed, F.ceil(F.col("rate"))).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([] if tag is None else ["tag"]))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: every row of docs, all columns, as often as mix() says.
 
-    The copies of rows that share an id are dealt evenly over these rows.
+    Rows are named by id and a hash of all their columns, so rows without an id are spread too. The copies of rows
+    that share both, which are equal, are dealt evenly over them.
     """
-    number = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    tag = F.xxhash64(*docs.columns)
+    number = mix(docs, id_col=id_col, tag=tag, **options).groupBy("doc_id", "tag").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
     row = F.struct(*[F.col(c) for c in docs.columns])
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"))
-    joined = held.alias("d").join(number.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))).select("d.doc_id", "row", "copies", "rows")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("row")))
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag.alias("tag"), row.alias("row"))
+    joined = held.alias("d").join(number.alias("n"), (F.col("d.tag") == F.col("n.tag")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))).select("d.doc_id", "d.tag", "row", "copies", "rows")
+    nth = F.row_number().over(W.partitionBy("doc_id", "tag").orderBy("doc_id"))
     own = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    dealt = joined.withColumn("own", own.cast("int")).filter("own > 0")
+    dealt = joined.withColumn("own", F.when(F.col("rows") == 1, F.col("copies")).otherwise(own).cast("int")).filter("own > 0")
     return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")

@@ -1,7 +1,4 @@
-"""DuckDB SQL of the opN_ queries that SQL can express over whole tables.
-
-op1 could be written in SQL too, but takes minutes and gigabytes on a thousand documents; tests have a brute force.
-"""
+"""DuckDB SQL of the opN_ queries that SQL can express over whole tables."""
 
 from __future__ import annotations
 
@@ -42,4 +39,31 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8}
+# bytes as hexadecimal digits, cut into blocks first, because a substring costs its distance from the start
+OP1 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, COALESCE(doc_id, 9223372036854775807) AS place, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+block AS (SELECT row, place, o, substr(h, 2 * o + 1, 2098) AS s FROM d, unnest(range(0, len(h) // 2, 1000)) AS t(o)),
+win AS (SELECT row, place, o + i AS p, substr(s, 2 * i + 1, 100) AS w FROM block, unnest(range(0, least(1000, len(s) // 2 - 49))) AS u(i)),
+first AS (SELECT w, min(place) AS m FROM win GROUP BY w HAVING min(place) < max(place)),
+hit AS (SELECT DISTINCT row, p FROM win JOIN first USING (w) WHERE m < place),
+run AS (SELECT row, p, sum(fresh) OVER (PARTITION BY row ORDER BY p) AS g FROM (SELECT row, p, CASE WHEN p > lag(p) OVER (PARTITION BY row ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM hit)),
+span AS (SELECT row, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY row, g),
+gap AS (SELECT row, a, b, COALESCE(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS since FROM span),
+cut AS (SELECT row, sum(b - a) AS n, count(*) AS spans, max(b) AS stop, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gap JOIN d USING (row) GROUP BY row)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, COALESCE(spans, 0) AS n_spans, sha256(unhex(concat(kept, substr(h, 2 * COALESCE(stop, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (row)
+"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS lim, sum(source_size) OVER () * 1.5::DOUBLE AS everything FROM s),
+f AS (SELECT *, everything - COALESCE(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER () - COALESCE(sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_left, row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS place FROM w),
+l AS (SELECT *, arg_min(rest / weight_left, place) FILTER (lim > rest * weight / weight_left) OVER () AS level FROM f),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN lim ELSE least(lim, weight * level) END AS target, CAST(concat('0x', substr(md5(concat('17|', COALESCE('=' || source, 'null'))), 1, 10)) AS BIGINT) / 1099511627776.0::DOUBLE AS shift FROM l),
+r AS (SELECT d.doc_id, d.size, t.*, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS k FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT *, CAST(least(floor(shift + rate * k) - floor(shift + rate * (k - 1)), ceil(rate)) AS BIGINT) AS copies FROM r)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, copies * size AS taken, copies FROM c
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8}

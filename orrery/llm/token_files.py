@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,22 +74,47 @@ def _open(path: str):
 
 
 class SequenceFile:
-    """Random access to one file: views of ids and masks, copied only where a span crosses batches."""
+    """Random access to one file: views of ids and masks, copied only where a span crosses batches.
+
+    A local file is memory-mapped, and all its batches are views of the map. Any other is read batch by batch, and the
+    last two are kept, so that spans in ascending order read the file once; a span further back opens it again.
+    """
 
     def __init__(self, path: str):
-        self.source = _open(path)
-        reader = pa.ipc.open_stream(self.source)
-        self.length = int(reader.schema.metadata[b"sequence_length"])
-        self.batches = list(reader)
-        self.rows = self.batches[0].num_rows if self.batches else 1
+        self.path, self.held = path, {}
+        self._open()
+        self.length = int(self.reader.schema.metadata[b"sequence_length"])
+        first = self._batch(0)
+        self.rows = first.num_rows if first is not None else 1
+
+    def _open(self) -> None:
+        self.source = _open(self.path)
+        self.mapped = isinstance(self.source, pa.MemoryMappedFile)
+        self.reader, self.next = pa.ipc.open_stream(self.source), 0
+
+    def _batch(self, number: int) -> pa.RecordBatch | None:
+        if number in self.held:
+            return self.held[number]
+        if number < self.next:
+            self._open()
+        while self.next <= number:
+            try:
+                batch = self.reader.read_next_batch()
+            except StopIteration:
+                return None
+            if not self.mapped:
+                self.held.pop(self.next - 2, None)
+            self.held[self.next] = batch
+            self.next += 1
+        return self.held[number]
 
     def _flat(self, batch: int) -> np.ndarray:
-        return self.batches[batch].column("ids").flatten().to_numpy(zero_copy_only=True)
+        return self._batch(batch).column("ids").flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of one sequence, neither copied."""
         b, r = divmod(number, self.rows)
-        return self._flat(b)[r * self.length : (r + 1) * self.length], self.batches[b].column("mask")[r].values
+        return self._flat(b)[r * self.length : (r + 1) * self.length], self._batch(b).column("mask")[r].values
 
     def span(self, start: int, n: int) -> np.ndarray:
         """n ids from a place in the file."""
@@ -103,13 +129,14 @@ class SequenceFile:
 def write(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, rows: int = 64, kind: str = "spaced", path: str | None = None) -> DataFrame:
     """Writes the files below path (default: the shared folder) and returns their list.
 
-    Columns: first_id, path (without .tokens.arrow), n_tokens, n_docs, and start, the ids in all files before.
+    Columns: part (files in order), first_id, path (without .tokens.arrow), n_tokens, n_docs, and start, the ids in all files before.
     Null text is empty and gives the end id alone; repeated ids keep their rows, ordered by text. No documents
     give no files.
     """
     spark = docs.sparkSession
     root = path or new_path(spark, "tokens")
-    ranged = id_text(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text parts rows that share an id, or have none
+    ranged = id_text(docs).repartitionByRange(partitions(spark), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
@@ -130,10 +157,10 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, row
             index.close()
             for s in sinks:
                 s.close()
-            yield pa.record_batch({"first_id": [first], "path": [f"{root}/{name}"], "n_tokens": [n], "n_docs": [n_docs]})
+            yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first_id": pa.array([first], pa.int64()), "path": [f"{root}/{name}"], "n_tokens": [n], "n_docs": [n_docs]})
 
-    files = Scratch(spark, "manifest").table(ranged.mapInArrow(put, "first_id long, path string, n_tokens long, n_docs long"))
-    before = W.orderBy("first_id").rowsBetween(W.unboundedPreceding, -1)
+    files = Scratch(spark, "manifest").table(ranged.mapInArrow(put, "part int, first_id long, path string, n_tokens long, n_docs long"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row per file
 
 
