@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Near-duplicate families, fitted models and token ids are beyond SQL; tests hold the stages against brute force.
+#: Fitted models and token ids are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
