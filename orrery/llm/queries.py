@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +25,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
-    crc = F.pandas_udf(lambda ids: pd.Series([token_files.crc32(x) for x in ids], dtype="int64"), "long")
-    return token_files.read_documents(files).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return token_files.read_checksums(files)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

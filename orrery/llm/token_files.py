@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,8 +164,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 2048, row
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # one row per file
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian uint32)."""
+def _each_document(files: DataFrame, column: str, kind: pa.DataType, of: Callable[[bytes], object]) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, and a column of its ids as little-endian uint32."""
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +174,18 @@ def read_documents(files: DataFrame) -> DataFrame:
                 for rows in pa.ipc.open_stream(_open(f"{name}.index.arrow")):
                     start, n = rows.column("start").to_numpy(), rows.column("n_tokens").to_numpy()
                     for i in range(0, len(start), 256):
-                        ids = [tokens.span(a, b).astype("<u4").tobytes() for a, b in zip(start[i : i + 256].tolist(), n[i : i + 256].tolist(), strict=True)]
-                        yield pa.record_batch({"doc_id": rows.column("doc_id")[i : i + 256], "start": pa.array(start[i : i + 256] + base), "n_tokens": pa.array(n[i : i + 256]), "ids": pa.array(ids, pa.binary())})
+                        values = [of(tokens.span(a, b).astype("<u4").tobytes()) for a, b in zip(start[i : i + 256].tolist(), n[i : i + 256].tolist(), strict=True)]
+                        yield pa.record_batch({"doc_id": rows.column("doc_id")[i : i + 256], "start": pa.array(start[i : i + 256] + base), "n_tokens": pa.array(n[i : i + 256]), column: pa.array(values, kind)})
+
+    schema = f"doc_id long, start long, n_tokens long, {column} {'binary' if kind == pa.binary() else 'long'}"
+    return files.repartition(partitions(files.sparkSession), "path").mapInArrow(get, schema)
 
-    return files.repartition(partitions(files.sparkSession), "path").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian uint32)."""
+    return _each_document(files, "ids", pa.binary(), bytes)
 
 
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+def read_checksums(files: DataFrame) -> DataFrame:
+    """As read_documents, with the unsigned crc32 of the ids as ids_crc32 (long) in their place, so that no ids leave the reader."""
+    return _each_document(files, "ids_crc32", pa.int64(), zlib.crc32)

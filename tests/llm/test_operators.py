@@ -171,6 +171,8 @@ def test_token_files(docs, rows, empty, tmp_path):
         want.append((start, i, len(ids), np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert got == want
+    sums = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_checksums(files).collect())
+    assert sums == [(s, i, n, zlib.crc32(ids)) for s, i, n, ids in want]
     f = token_files.SequenceFile(files.orderBy("start").first().path + ".tokens.arrow")
     ids, mask = f.sequence(0)
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata
