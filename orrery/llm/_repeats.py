@@ -113,23 +113,23 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def cells(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each value in a count-min sketch of 2^bits cells a row."""
+    h = T.mix(a * T.U(0xA24BAED4963EE407) + T.U(1))
+    return (h & T.U((1 << bits) - 1)).astype(np.int64), (h >> T.U(64 - bits)).astype(np.int64)
+
+
 class CountMin:
-    """Two rows of counts that saturate at 2; estimates are never too low."""
+    """Two rows of counts that saturate at 2, of values given by their cells; estimates are never too low."""
 
     def __init__(self, bits: int):
-        self.bits, self.rows = bits, np.zeros((2, 1 << bits), np.uint8)
-
-    def cells(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = T.mix(a * T.U(0xA24BAED4963EE407) + T.U(1))
-        low = T.U((1 << self.bits) - 1)
-        return (h & low).astype(np.int64), (h >> T.U(64 - self.bits)).astype(np.int64)
+        self.rows = np.zeros((2, 1 << bits), np.uint8)
 
-    def estimate(self, a: np.ndarray) -> np.ndarray:
-        x, y = self.cells(a)
+    def estimate(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(self.rows[0, x], self.rows[1, y])
 
-    def add(self, a: np.ndarray) -> None:
-        for row, c in zip(self.rows, self.cells(a), strict=True):
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        for row, c in zip(self.rows, (x, y), strict=True):
             row[c[row[c] == 1]] = 2
             c = np.sort(c)
             new = c[row[c] == 0]
@@ -156,8 +156,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return docs.select(number.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), *([F.struct(*carry).alias("carried")] if carry else []))
 
 
-#: A place on its way to its segment. size and anchor: elements of the stretch, and of it before the anchor.
-RECORD = np.dtype([("a", "<u8"), ("k", "<i8"), ("at", "<u4"), ("size", "u1"), ("anchor", "u1"), ("known", "?")])
+#: A place on its way to its segment. low and high: the anchor's two cells there, all that the segment needs of it, in
+#: 40 bits. size and anchor: elements of the stretch, and of it before the anchor (below 128, as sizes are below 256).
+#: KNOWN is added to anchor where the partition knows that the anchor is repeated.
+RECORD = np.dtype([("low", "<u4"), ("high", "u1"), ("k", "<i8"), ("at", "<u4"), ("size", "u1"), ("anchor", "u1")])
+KNOWN = 128
 
 
 def packed(at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -189,12 +192,15 @@ def places(rows: DataFrame, grams: Grams, length: int, k: int, number: int) -> D
             key = part.column("k").to_numpy()
             for g, off, base in grams(*T.flat(part.column("text")), length, k):
                 x = Stretches(g, off, length, k)
-                known = own.estimate(x.a) + nth(x.a) >= 2
-                own.add(x.a[~known])
+                c, d = cells(x.a, OWN_BITS)
+                known = own.estimate(c, d) + nth(x.a) >= 2
+                own.add(c[~known], d[~known])
                 to = np.where(known, T.mix(x.s + x.start.astype(T.U)), x.a)
                 records = np.empty(len(x.a), RECORD)
-                records["a"], records["k"], records["known"] = x.a, key[x.row], known
-                records["at"], records["size"], records["anchor"] = x.start - off[x.row] + base, x.size, x.anchor - x.start
+                c, d = cells(x.a, CELLS_BITS)
+                both = c | d << CELLS_BITS
+                records["low"], records["high"], records["k"] = both & 0xFFFFFFFF, both >> 32, key[x.row]
+                records["at"], records["size"], records["anchor"] = x.start - off[x.row] + base, x.size, x.anchor - x.start + KNOWN * known
                 held, n = [*held, (((to >> T.U(32)) * T.U(segments)) >> T.U(32), records)], n + len(records)
                 if n >= FLUSH:
                     yield sent(held)
@@ -204,10 +210,12 @@ def places(rows: DataFrame, grams: Grams, length: int, k: int, number: int) -> D
 
     def merged(table: pa.Table) -> pa.Table:
         x = T.flat(table.column("places").combine_chunks())[0].view(RECORD)
+        both, known = x["low"].astype(np.int64) | x["high"].astype(np.int64) << 32, x["anchor"] >= KNOWN
+        c, d = both & (1 << CELLS_BITS) - 1, both >> CELLS_BITS
         sketch = CountMin(CELLS_BITS)
-        sketch.add(x["a"][~x["known"]])
-        x = x[x["known"] | (sketch.estimate(x["a"]) >= 2)]
-        return pa.table({"k": pa.array(x["k"]), "w": pa.array(packed(x["at"], x["size"], x["anchor"]))})
+        sketch.add(c[~known], d[~known])
+        x = x[known | (sketch.estimate(c, d) >= 2)]
+        return pa.table({"k": pa.array(x["k"]), "w": pa.array(packed(x["at"], x["size"], x["anchor"] & KNOWN - 1))})
 
     found = rows.select(F.xxhash64("doc_id", "k1").alias("k"), "text").mapInArrow(sketched, "p int, places binary")
     return found.groupBy("p").applyInArrow(merged, "k long, w long")
