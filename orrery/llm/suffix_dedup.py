@@ -192,7 +192,10 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = G
     last = (F.shiftright("w", 8).bitwiseAND(F.lit(255)) - length).cast("int")
     single = anchors.filter("n = 1").select("a", "s", F.lit(0).alias("from"), last.alias("to"), F.col("low").alias("first"))
     several = anchors.filter("n > 1").select("a", (F.col("n") > most).alias("hot"))
-    stretches = found.texts(found.one.join(several, "a").select(*R.KEY, "a", "s", "w", "most", "hot"))
+    # few stretches need their bytes; the others go before the texts travel
+    chosen = tmp.table(found.one.join(several, "a").select(*R.KEY, "a", "s", "w", "most", "hot"))
+    tmp.drop(found.one)
+    stretches = found.texts(chosen)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches):
@@ -205,7 +208,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, k: int = 24, most: int = G
             yield pa.record_batch({"a": held.field("a"), "s": held.field("s"), "least": part.column("doc_id").take(pa.array(row)), "most": held.field("most"), "hot": held.field("hot"), "anchor": pa.array(anchor, pa.int32()), "bytes": pa.array(strings, pa.binary())})
 
     strings = tmp.table(stretches.mapInArrow(cut, "a long, s long, least long, most long, hot boolean, anchor int, bytes binary"))
-    tmp.drop(found.one)
+    tmp.drop(chosen)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches, "a", GROUP):
