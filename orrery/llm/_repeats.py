@@ -16,7 +16,8 @@ place form a stretch of at most 2 L - k elements, about one per (L - k) / 2 elem
 
 Nothing is broadcast. Texts are long or many; a text of over LONG elements is looked at in overlapping pieces.
 Steps 1 and 2 name a row by one 64-bit hash k; if two rows share it, places of one are looked up in the other too, and
-what really stands there counts, so that does no harm. Decisions find rows by id and two 64-bit hashes of the text.
+what really stands there counts. That changes no least id; where places are counted, such a row's windows may count
+twice, a chance of n^2 / 2^65 for n rows. Decisions find rows by id and two 64-bit hashes of the text.
 """
 
 from __future__ import annotations
@@ -171,6 +172,8 @@ def unpacked(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def places(rows: DataFrame, grams: Grams, length: int, k: int, number: int) -> DataFrame:
     """k, w: the stretches whose anchors are estimated at two places or more. number: elements in all, about."""
+    if 2 * length - k > 255:
+        raise ValueError(f"windows of {length} with anchors of {k} have stretches of more than 255 elements")
     segments = max(1, -(-2 * number // (length - k + 2) // SEGMENT))
 
     def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
