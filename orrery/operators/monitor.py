@@ -222,6 +222,14 @@ def ledger_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cost(relation(spark, sf_dir, "call")).groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("cost").cast("double").alias("cost"), F.round(good / F.nullif(judged, F.lit(0)), 6).alias("pass_rate"))
 
 
+@query(oracle("call", "SELECT count(*) AS calls, count(*) FILTER (status = 'enriched') AS passed, count(*) FILTER (status = 'verifier_failed') AS failed, round(count(*) FILTER (status = 'enriched') / nullif(count(*) FILTER (status IN ('enriched', 'verifier_failed')), 0), 6) AS pass_rate FROM call"))
+def ledger_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of judged calls that pass, over the whole ledger; null if none was judged."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    c = relation(spark, sf_dir, "call").agg(F.count("*").alias("calls"), n("enriched").alias("passed"), n("verifier_failed").alias("failed"))
+    return c.withColumn("pass_rate", F.round(F.col("passed") / F.nullif(F.col("passed") + F.col("failed"), F.lit(0)), 6))
+
+
 @query(oracle("call", f"WITH {COSTED} SELECT day, count(*) AS calls, CAST(sum(cost) AS DOUBLE) AS cost FROM costed GROUP BY day ORDER BY day DESC LIMIT 14"))
 def ledger_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cost(relation(spark, sf_dir, "call")).groupBy("day").agg(F.count("*").alias("calls"), F.sum("cost").cast("double").alias("cost")).orderBy(F.desc("day")).limit(14)

@@ -1,4 +1,4 @@
-"""Keyword search (BM25), vector search, reciprocal-rank fusion, similar items and drops of repeated vectors."""
+"""Keyword search (BM25), vector search, reciprocal-rank fusion and similar items."""
 
 from __future__ import annotations
 

@@ -114,3 +114,25 @@ def test_entry_without_the_llm_folders(tmp_path, kept):
         (tmp_path / "corpus_pipeline.py").write_bytes(b"from orrery.llm import language_id\n")
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and set(e.oracle_sql()) == set(q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_repairs(spark):
+    from orrery.operators.enrichment import repaired
+
+    def probe(domain):
+        if domain == "gone":
+            raise OSError("no route")
+        return {"status": "ambiguous"} if domain == "vague" else {"status": "classified", "tier": "shopify"}
+
+    jobs = spark.createDataFrame([(1, "moved", 0, 3), (2, "same", 0, 3), (3, "gone", 0, 3), (4, "vague", 2, 3), (5, "new", 0, 3), (6, "moved", 1, 3)], "id long, target string, attempts int, max_attempts int")
+    registry = spark.createDataFrame([("moved", "jsonld"), ("same", "shopify"), ("gone", "jsonld"), ("vague", None)], "domain string, scrape_tier string")
+    got = {r.id: (r.old_tier, r.new_tier, r.reclassified, r.status, r.attempts, r.error) for r in repaired(jobs, registry, probe).collect()}
+    assert got == {
+        1: ("jsonld", "shopify", True, "done", 0, None),
+        2: ("shopify", "shopify", False, "done", 0, None),
+        3: ("jsonld", None, False, "pending", 1, "no route"),
+        4: (None, None, False, "failed", 3, "no tier: ambiguous"),
+        5: (None, "shopify", False, "done", 0, None),
+        6: ("jsonld", "shopify", True, "done", 1, None),
+    }
+    assert repaired(jobs.limit(0), registry, probe).count() == 0
