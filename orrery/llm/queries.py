@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, substring_dedup, suffix_dedup, token_files, topk, weak_rules
+from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, periodic_runs, substring_dedup, suffix_dedup, token_files, topk, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +71,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id)}
+def planted(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Word order of the op12 query: a text whose id's crc32 ends in 0 repeats itself from some word on; null ids (-1) and others stay."""
+    out = periodic_runs.ragged(np.zeros(len(sizes), np.int64), sizes)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for k, (i, n) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
+        h = zlib.crc32(str(i).encode())
+        if h % 10 == 0 and n and i != -1:
+            g = h // 10
+            a = g % n
+            out[at[k] + a : at[k + 1]] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return out
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.reordered(_table(spark, sf_dir, "documents"), planted)
+    return periodic_runs.digest(periodic_runs.collapse(docs, words=24, times=3))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id, op12_periodic_runs)}

@@ -66,4 +66,23 @@ c AS (SELECT *, CAST(least(floor(shift + rate * k) - floor(shift + rate * (k - 1
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, copies * size AS taken, copies FROM c
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8}
+# 16 equal words in a row at one lag are in every run of 24 words or more: 24 - q of them for small q, 2 * q for large q
+OP12 = f"""
+WITH crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h >> 1, 3988292384::BIGINT) ELSE h >> 1 END), 4294967295::BIGINT) AS h FROM (SELECT DISTINCT doc_id FROM documents)),
+raw AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(COALESCE(text, ''), '{WORD}') AS w FROM documents),
+sized AS (SELECT row, doc_id, w, len(w) AS n, h, h // 10 AS g FROM raw LEFT JOIN crc USING (doc_id)),
+d AS (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END + 1] FOR i IN range(n)] ELSE w END AS w FROM sized),
+gram AS (SELECT row, n, i, hash(w[i + 1 : i + 16]) AS s FROM d, unnest(range(0, n - 15)) AS t(i)),
+pair AS (SELECT a.row, b.i - a.i AS q, a.i FROM gram a JOIN gram b ON a.row = b.row AND a.s = b.s AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+island AS (SELECT row, q, min(i) AS start, count(*) + 15 + q AS length FROM (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS k FROM pair) GROUP BY row, q, k),
+run AS (SELECT row, start, length, min(q) AS period FROM island WHERE length >= greatest(24, 3 * q) GROUP BY row, start, length),
+best AS (SELECT row, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM run GROUP BY row),
+top AS (SELECT row, start, length, period FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY length * 1.0 / period DESC, start, period) AS k FROM run) WHERE k = 1),
+gone AS (SELECT row, list_distinct(flatten(list(range(start + period, start + length)))) AS ps FROM run GROUP BY row)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(COALESCE(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[i + 1] FOR i IN range(n) IF NOT list_contains(ps, i)] END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (row) LEFT JOIN top USING (row) LEFT JOIN gone USING (row)
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8, "op12_periodic_runs": OP12}
