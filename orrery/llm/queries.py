@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, periodic_runs, substring_dedup, suffix_dedup, token_files, topk, weak_rules
+from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, periodic_runs, source_audit, substring_dedup, suffix_dedup, token_files, topk, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +89,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.collapse(docs, words=24, times=3))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id, op12_periodic_runs)}
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id, op12_periodic_runs, op13_source_audit)}

@@ -85,4 +85,19 @@ SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
 FROM d LEFT JOIN best USING (row) LEFT JOIN top USING (row) LEFT JOIN gone USING (row)
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8, "op12_periodic_runs": OP12}
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT lang, source, term, row, count(*) AS n FROM (SELECT lang, source, row, unnest(w) AS term FROM d) GROUP BY ALL),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n, count(*) AS docs FROM word GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+g AS (SELECT lang, source, COALESCE(v, 0) AS v, COALESCE(x.total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(c.n) AS total FROM c SEMI JOIN kept USING (lang, term) GROUP BY lang, source) x USING (lang, source)),
+p AS (SELECT g.lang, g.source, kept.term, COALESCE(c.n, 0) AS n, (1 + 1000000000 * (COALESCE(c.n, 0) + 2) // (g.total + 2 * g.v))::HUGEINT AS p FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (SELECT lang, term, (1 + 1000000000 * (n + 2) // (total + 2 * v))::HUGEINT AS q FROM kept JOIN v USING (lang)),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, COALESCE(s.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN (SELECT a.lang, a.source AS one, b.source AS two, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL) s ON s.lang = x.lang AND s.one = x.source AND s.two = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8, "op12_periodic_runs": OP12, "op13_source_audit": OP13}
