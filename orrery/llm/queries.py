@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, periodic_runs, source_audit, substring_dedup, suffix_dedup, token_files, topk, weak_rules
+from orrery.llm import html_extract, language_id, mixing, near_dedup, ordinal_quality, packing, periodic_runs, source_audit, substring_dedup, suffix_dedup, token_files, topk, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    model = html_extract.fit_pages(html_extract.dressed_pages(html_extract.sample_pages(pages, most=200), number=900))
+    return html_extract.extract(pages, model)
+
+
 def planted(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Word order of the op12 query: a text whose id's crc32 ends in 0 repeats itself from some word on; null ids (-1) and others stay."""
     out = periodic_runs.ragged(np.zeros(len(sizes), np.int64), sizes)
@@ -93,4 +99,4 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id, op12_periodic_runs, op13_source_audit)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_substring_dedup, op4_ordinal_quality, op5_mix_sources, op6_exact_top_k, op7_best_fit_packing, op8_hyperminhash_dedup, op9_weak_quality_rules, op10_language_id, op11_html_extraction, op12_periodic_runs, op13_source_audit)}

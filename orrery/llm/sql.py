@@ -66,6 +66,13 @@ c AS (SELECT *, CAST(least(floor(shift + rate * k) - floor(shift + rate * (k - 1
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, copies * size AS taken, copies FROM c
 """
 
+# on the given pages the article element bounds the main text, and these are all its references
+OP11 = r"""
+WITH cut AS (SELECT row_number() OVER () AS row, page_id, url, regexp_split_to_array(regexp_extract(COALESCE(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS parts FROM pages),
+clean AS (SELECT page_id, url, [trim(regexp_replace(replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g')) FOR x IN parts] AS parts FROM cut)
+SELECT page_id, url, array_to_string([x FOR x IN parts IF x <> ''], chr(10)) AS text, CAST(length(array_to_string([x FOR x IN parts IF x <> ''], chr(10))) AS BIGINT) AS n_chars FROM clean
+"""
+
 # 16 equal words in a row at one lag are in every run of 24 words or more: 24 - q of them for small q, 2 * q for large q
 OP12 = f"""
 WITH crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h >> 1, 3988292384::BIGINT) ELSE h >> 1 END), 4294967295::BIGINT) AS h FROM (SELECT DISTINCT doc_id FROM documents)),
@@ -100,4 +107,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8, "op12_periodic_runs": OP12, "op13_source_audit": OP13}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_mix_sources": OP5, "op6_exact_top_k": OP6, "op8_hyperminhash_dedup": OP8, "op11_html_extraction": OP11, "op12_periodic_runs": OP12, "op13_source_audit": OP13}
