@@ -36,8 +36,10 @@ def _id(text: str) -> int:
 def path_features(path: tuple[Element, ...]) -> list[int]:
     """Of the elements above a block; words of names count wherever they stand, tags also as the nearest one."""
     some = {"bias"}
-    for e in path:
+    for k, e in enumerate(path):
         some.add(f"tag {e.tag}")
+        if k:
+            some.add(f"under {path[k - 1].tag} {e.tag}")
         some.update(f"name {w.lower()}" for w in WORD.findall(e.names))
         if e.role:
             some.add(f"role {e.role.lower()}")
@@ -181,7 +183,7 @@ class Dresser:
     #: Words of class and id that pages use; the layouts draw from them.
     MAIN = "content main article post entry story body text page single".split()
     MENU = "menu nav navbar navigation topnav breadcrumb tabs links".split()
-    HEAD = "header masthead banner top branding logo".split()
+    HEAD = "header masthead banner top topbar branding logo".split()
     FOOT = "footer bottom copyright legal colophon".split()
     SIDE = "sidebar side aside widget related recommended popular trending rail".split()
     ADS = "ad ads advert advertisement sponsored promo promotion banner".split()
@@ -260,7 +262,7 @@ class Dresser:
             else:
                 out.append(f"<div>{text}</div>")
         for _ in self.some(0, 2):
-            out.insert(self.r.randint(1, len(out)), f'<div data-main="0">{self.beside(inside=True)}</div>' if self.r.random() < 0.5 else self.beside(inside=True).replace(">", ' data-main="0">', 1))
+            out.insert(self.r.randint(1, len(out)), self.beside(inside=True).replace(">", ' data-main="0">', 1))
         t = self.r.choice(("article", "article", "main", "div", "div", "section", "td"))
         name = self.names(self.MAIN) if t in ("div", "section") and self.r.random() < 0.9 or self.r.random() < 0.3 else ""
         inside = f'<{t}{name} data-main="1">{"".join(out)}</{t}>'
@@ -305,7 +307,7 @@ class Dresser:
         return f"<!DOCTYPE html><html><head><title>{self.line()}</title></head><body>{''.join(top)}{self.article()}{''.join(end)}{foot}" + self.r.choice(("</body></html>", ""))
 
 
-def dressed_pages(pages: list[str], number: int = 900, seed: int = 5) -> list[str]:
+def dressed_pages(pages: list[str], number: int = 1200, seed: int = 5) -> list[str]:
     """`number` annotated pages in drawn layouts, with paragraphs and short texts of the given pages; references in them are written anew."""
     escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
     texts = [escape(b.text) for p in pages for b in blocks(p)]

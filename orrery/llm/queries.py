@@ -73,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    model = html_extract.fit_pages(html_extract.dressed_pages(html_extract.sample_pages(pages, most=200), number=900))
+    model = html_extract.fit_pages(html_extract.dressed_pages(html_extract.sample_pages(pages, most=200), number=1200))
     return html_extract.extract(pages, model)
 
 

@@ -97,7 +97,7 @@ def kept_terms(docs: DataFrame, least_docs: int, lang_col: str = "lang", source_
     return rows.mapInArrow(_count, COUNTS).repartition(partitions(docs.sparkSession), "lang", "term").mapInArrow(lambda b: in_shard(b, load, select), KEPT)
 
 
-SHARE = "CAST(1 + 1000000000::HUGEINT * ({} + 2) // ({} + 2 * v) AS BIGINT)"
+SHARE = "CAST(1 + 1000000000::HUGEINT * ({} + 2) // greatest(1, {} + 2 * v) AS BIGINT)"  # a language without kept terms has no shares
 DIFFER = "(({0} - {1}) * ({0} - {1}) // ({0} + {1}))"
 LOAD = f"""
 CREATE TABLE a AS SELECT * FROM arrived;

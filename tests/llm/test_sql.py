@@ -17,7 +17,7 @@ SF = Path("/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, tmp_path, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     QUERIES[name](spark, str(SF)).write.parquet(str(tmp_path / "out"))
     con.execute(f"CREATE TABLE want AS {ORACLES[name]}")
