@@ -5,7 +5,7 @@ gap), weighed by inverse document frequency. Each language has several centroids
 its training texts; a text gets the language of the centroid with the largest cosine. A text whose cosine is below
 its language's limit, a part of the lowest training cosines, is rejected.
 
-The fit uses at most about `per_language` labelled texts of each language, chosen by a hash of the id.
+The fit uses at most `per_language` different labelled texts of each language: those of the least hashes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import _text as T
@@ -117,14 +117,21 @@ def _fit_parts(n: int, having: np.ndarray, parts_of: Iterable[tuple[str, np.ndar
     return Model(of, np.array(centroids, np.float32).reshape(-1, len(idf)), np.array(limits), idf)
 
 
-def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on rows that may_learn allows and that have a language and a text."""
-    rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    number = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fits on rows that may_learn allows and that have a language and a text, at most per_language different texts of each language.
+
+    Ids are not looked at, so rows without one, or under one id, count like others; equal texts of a language count once.
+    """
+    rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit("language"), "text"))
+    number = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # one row per language
     if not number:
         return Model([], np.zeros((0, DIM), np.float32), np.zeros(0), np.ones(DIM, np.float32))
-    rate = F.create_map(*[F.lit(x) for k, n in sorted(number.items()) for x in (k, min(1.0, per_language / n))])
-    chosen = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * F.lit(float(1 << 30))
+    # about twice as many as needed by a share of the hashes, then the least ones exactly
+    rate = F.create_map(*[F.lit(x) for k, n in sorted(number.items()) for x in (k, min(1.0, 2 * per_language / n))])
+    some = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * F.lit(float(1 << 30)))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    chosen = some.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, rows=ROWS):
@@ -132,9 +139,9 @@ def fit(docs: DataFrame, may_learn: Column, per_language: int = 1000, id_col: st
             some = [np.flatnonzero(x) for x in c]
             f = [k.astype("<u2").tobytes() for k in some]
             n = [x[k].astype("<u4").tobytes() for x, k in zip(c, some, strict=True)]
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "f": pa.array(f, pa.binary()), "n": pa.array(n, pa.binary())})
+            yield pa.record_batch({"lang": part.column("lang"), "f": pa.array(f, pa.binary()), "n": pa.array(n, pa.binary())})
 
-    got = rows.filter(chosen).mapInArrow(counted, "doc_id long, lang string, f binary, n binary").orderBy("doc_id", "lang", "f", "n").toArrow()
+    got = chosen.select("text", "lang").mapInArrow(counted, "lang string, f binary, n binary").orderBy("lang", "f", "n").toArrow()
     return fit_sparse(got.column("f"), got.column("n"), got.column("lang").to_pylist())
 
 

@@ -109,8 +109,12 @@ def fit_pairs(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, l2: float
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, sample: int = 20_000) -> Model:
-    """Fits on documents joined to at most `sample` rows of ratings (doc_id and what grade needs); null grades are left out."""
-    rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
+    """Fits on at most `sample` different pairs of a document and a grade from ratings (doc_id and what grade needs).
+
+    Null grades are left out. Ids may repeat in both tables: equal ratings of an id count once, equal texts under one
+    id count once, and the bound holds for what the join gives.
+    """
+    rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).dropna().distinct()
     chosen = rated.orderBy(F.xxhash64(F.lit("ordinal"), "doc_id"), "doc_id", "grade").limit(sample)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +124,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, sample: int = 20_000
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
             yield pa.record_batch({"doc_id": part.column("doc_id"), "grade": part.column("grade"), "features": lists})
 
-    texts = id_text(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    named = id_text(docs).withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` ratings
+    pairs_of = named.select("doc_id", "h", "grade").distinct().orderBy(F.xxhash64(F.lit("ordinal"), "doc_id"), "doc_id", "grade", "h").limit(sample)
+    again = id_text(docs).withColumn("h", F.xxhash64("text")).join(F.broadcast(pairs_of), ["doc_id", "h"])  # at most `sample` pairs
+    texts = again.groupBy("doc_id", "h", "grade").agg(F.min("text").alias("text"))
     rated = written(texts.select("doc_id", "text", "grade").mapInArrow(pairs, "doc_id long, grade int, features array<int>"), "ordinal")
     width = (1 << BITS) + len(SHAPES) * len(STEPS)
     rows = {r.grade: r.n for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}

@@ -65,7 +65,7 @@ def op9_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # no id: not held out
     model = language_id.fit(docs, ~held_out)
     found = language_id.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
