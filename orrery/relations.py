@@ -36,12 +36,12 @@ SELECT l_partkey AS product_id, l_extendedprice / l_quantity AS price_inr, l_shi
 FROM lineitem
 """
 SUPPLIER = """
-SELECT concat('supplier-', CAST(s_suppkey % 100 AS STRING), '.example.com') AS domain, s_name AS brand, n_name AS state,
+SELECT concat('supplier-', CAST(s_suppkey AS STRING), '.example.com') AS domain, s_name AS brand, n_name AS state,
   CASE CAST(s_suppkey % 5 AS INT) WHEN 0 THEN 'shopify' WHEN 1 THEN 'woocommerce' WHEN 2 THEN 'jsonld' WHEN 3 THEN 'jsonld' ELSE 'tier3' END AS scrape_tier,
   CASE WHEN s_suppkey % 2 = 0 THEN 'yes' ELSE 'no' END AS price_published,
   CASE WHEN s_suppkey % 7 = 0 THEN 'paused' ELSE 'active' END AS status,
   CAST(floor(s_acctbal) AS BIGINT) AS sku_estimate, s_suppkey AS supplier_id
-FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey < 100
+FROM supplier JOIN nation ON n_nationkey = s_nationkey
 """
 DEALER = """
 SELECT c_custkey AS id, concat('supplier-', CAST(c_custkey % 100 AS STRING), '.example.com') AS supplier_domain, c_name AS name,
@@ -75,15 +75,12 @@ SELECT conv_id * 1000 + turn AS id, conv_id AS product_id,
 FROM conversations
 """
 SOURCES = {"product": ("part", PRODUCT), "price": ("lineitem", PRICE), "supplier": ("supplier nation", SUPPLIER), "dealer": ("customer nation", DEALER), "harvest": ("orders", HARVEST), "job": ("orders", JOB), "event": ("events", EVENT), "call": ("conversations", CALL)}
-#: What Spark reads in place of a SOURCES text: every supplier, under a domain of its whole key, which is unique. For keys below 100 it equals SUPPLIER.
-WHOLE = {"supplier": SUPPLIER.replace("CAST(s_suppkey % 100 AS STRING)", "CAST(s_suppkey AS STRING)").replace(" WHERE s_suppkey < 100", "")}
 ALIAS = {"supplier": "supplier_rel", "product": "product", "price": "price"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One relation; its tables are named inside the SQL text, so nothing is registered in the session."""
     tables, text = SOURCES[name]
-    text = WHOLE.get(name, text)
     frames = {t: read_table(spark, sf_dir, t) for t in tables.split()}
     for t in frames:
         text = text.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
