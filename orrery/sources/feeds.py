@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions import web
+from orrery.functions import jsonld, web
 from orrery.functions.text import positive_price
 
 SHOPIFY = """products array<struct<id: bigint, title: string, handle: string, vendor: string, product_type: string,
@@ -35,17 +35,33 @@ def woo_products(pages: DataFrame) -> DataFrame:
     return p.select("domain", F.coalesce(F.nullif("p.sku", F.lit("")), F.concat(F.lit("woo-"), F.col("p.id").cast("string"))).alias("sku"), F.col("p.name").alias("title"), F.when(price > 0, price).alias("price_inr"), F.get("p.images", F.lit(0))["src"].alias("image_url"), F.col("p.permalink").alias("source_url"))
 
 
-PRODUCT_LD = "struct<`@type`: string, name: string, sku: string, brand: string, image: string, offers: struct<price: string, lowPrice: string>, `@graph`: array<struct<`@type`: string, name: string, sku: string, image: string, offers: struct<price: string, lowPrice: string>>>>"
-
-
 def json_ld_products(pages: DataFrame) -> DataFrame:
-    """Product nodes of pages (url, html), at the top or in @graph; pages without one fall back to their own title and image."""
-    body = pages.select("url", "html", F.explode_outer(web.json_ld(F.col("html"))).alias("ld")).select("url", "html", F.from_json("ld", PRODUCT_LD).alias("d"))
-    top = F.struct(F.col("d.@type").alias("@type"), F.col("d.name").alias("name"), F.col("d.sku").alias("sku"), F.col("d.image").alias("image"), F.col("d.offers").alias("offers"))
-    nodes = F.filter(F.concat(F.array(top), F.coalesce(F.col("d.@graph"), F.array())), lambda n: n["@type"] == "Product")
-    one = body.withColumn("n", F.get(nodes, F.lit(0))).groupBy("url").agg(F.first("n", ignorenulls=True).alias("n"), F.first("html").alias("html"))
-    price = F.coalesce(positive_price(F.col("n.offers.price")), positive_price(F.col("n.offers.lowPrice")))
-    return one.select("url", F.coalesce("n.name", web.meta(F.col("html"), "og:title"), web.tag_text(F.col("html"), "h1")).alias("title"), F.coalesce("n.sku", web.url_slug(F.col("url"))).alias("sku"), F.coalesce("n.image", web.meta(F.col("html"), "og:image")).alias("image_url"), price.alias("price_inr"), F.col("n").isNotNull().alias("structured"))
+    """One row per page (url, html): title, sku, brand, image_url, price_inr, structured.
+
+    The first Product node of the page's structured data counts, wherever it stands: alone, in a list, in @graph or
+    inside other nodes, with one type or several. A name that is a part number gives way to the page's own heading, a
+    missing price to one that the page states; a page without a Product falls back to heading and image.
+    """
+    n, html = F.col("_node"), F.col("html")
+    found = jsonld.with_nodes(pages.select("url", "html"), html).withColumn("_node", F.get(F.filter("nodes", lambda v: jsonld.has_type(v, "product")), F.lit(0)))
+    name, code = jsonld.field(n, "name"), jsonld.field(n, "sku", "productID", "mpn")
+    spoken = lambda x: F.when(~jsonld.code_like(x), x)
+    heading = F.coalesce(spoken(web.tag_text(html, "h1")), spoken(web.meta(html, "og:title")))
+    named = F.when(F.lower(name).eqNullSafe(F.lower(code)), F.lit(None).cast("string")).otherwise(spoken(name))
+    brand = jsonld.at(n, "brand")
+    return found.select(
+        "url", F.coalesce(named, heading, name).alias("title"), F.coalesce(code, web.url_slug(F.col("url"))).alias("sku"), F.coalesce(jsonld.text(brand), jsonld.field(brand, "name")).alias("brand"),
+        F.coalesce(jsonld.image(n), web.meta(html, "og:image")).alias("image_url"), F.coalesce(jsonld.offer_price(n), jsonld.page_price(html)).alias("price_inr"), n.isNotNull().alias("structured"),
+    )
+
+
+def item_list_urls(pages: DataFrame) -> DataFrame:
+    """url, item_url: what the ItemLists of listing pages (url, html) point to, each once."""
+    lists = F.filter("nodes", lambda v: jsonld.has_type(v, "itemlist"))
+    found = jsonld.with_nodes(pages.select("url", "html"), F.col("html")).select("url", F.explode(F.flatten(F.transform(lists, lambda v: jsonld.listed(jsonld.at(v, "itemListElement"))))).alias("e"))
+    item = jsonld.at(F.col("e"), "item")
+    target = F.coalesce(jsonld.field(F.col("e"), "url"), jsonld.text(item), jsonld.field(item, "url", "@id"))
+    return found.select("url", target.alias("item_url")).filter("item_url IS NOT NULL").distinct()
 
 
 def registry_csv(spark: SparkSession, path: str) -> DataFrame:

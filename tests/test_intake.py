@@ -2,22 +2,74 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 import sys
+from urllib.robotparser import RobotFileParser
 
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.functions import robots
 from orrery.operators import enrichment, intake, listing, monitor, prefix
+from orrery.sources import feeds, sitemaps
 
 
 def test_robots(spark):
     rows = [("a", "User-agent: *\nDisallow: /x\n", "/x/1"), ("b", "User-agent: *\nDisallow: /x\n", "/y"), ("c", None, "/x"), ("d", "  ", "/x"), ("e", "User-agent: other\nDisallow: /\n", "/x")]
     t = spark.createDataFrame(rows, "id string, text string, path string")
-    got = {r.id: r.ok for r in t.select("id", intake.robots(F.col("text"), F.col("path"))["allowed"].alias("ok")).collect()}
+    got = {r.id: r.ok for r in t.select("id", robots.allowed(robots.rules(F.col("text")), F.col("path")).alias("ok")).collect()}
     assert got == {"a": False, "b": True, "c": True, "d": True, "e": True}
 
 
+def test_robots_like_the_standard_parser(spark):
+    """The standard library's parser as the judge, on files without a blank line inside a group."""
+    rng, files = random.Random(2), ["# only a comment\nSitemap: https://a/1.xml\nsitemap : https://a/2.xml", "Disallow: /before\nUser-agent: bot\nuser-agent: *\nDisallow: # nothing\nDisallow: /a"]
+    for _ in range(40):
+        groups = ["\n".join([f"{rng.choice(('User-agent', 'user-AGENT'))}: {a}" for a in rng.sample(("*", "bot", "Other", "spider"), rng.randint(1, 2))] + [f"{rng.choice(('Allow', 'Disallow', 'disallow'))}: {rng.choice(('/', '/a', '/a/b', '/c', ''))}{rng.choice(('', ' # why'))}" for _ in range(rng.randint(1, 4))]) for _ in range(rng.randint(0, 3))]
+        files.append("\r\n\r\n".join(groups) if rng.random() < 0.3 else "\n\n".join(groups))
+    paths = ("/", "/a", "/a/b/c", "/c?x", "/d")
+    for agent in ("*", "bot/1.0", "spider"):
+        t = spark.createDataFrame(list(enumerate(files)), "id int, text string").select("id", robots.rules(F.col("text"), agent).alias("r"), robots.sitemaps(F.col("text")).alias("m"))
+        got = {r.id: r for r in t.select("id", "m", *[robots.allowed(F.col("r"), F.lit(p)).alias(p) for p in paths]).collect()}
+        for i, text in enumerate(files):
+            judge = RobotFileParser()
+            judge.parse(text.splitlines())
+            assert [got[i][p] for p in paths] == [judge.can_fetch(agent, p) for p in paths], (agent, text)
+        assert got[0].m == ["https://a/1.xml", "https://a/2.xml"]
+
+
+def test_first_json_object(spark):
+    cases = {'x {"a": "}{", "b": [1]} y': '{"a": "}{", "b": [1]}', '```json\n{"a": 1}\n```': '{"a": 1}', "{not} then {\"b\": 2} {\"c\": 3}": '{"b": 2}', "[{\"d\": 4}]": '{"d": 4}', "no {object": None, "": None, '{"open": {"e": 5}': '{"e": 5}'}
+    t = spark.createDataFrame([*[(k,) for k in cases], (None,)], "x string")
+    assert {r.x: r.y for r in t.select("x", enrichment.extract_json(F.col("x")).alias("y")).collect()} == {**cases, None: None}
+
+
+def test_sitemaps_end_at_cycles_and_limits(spark):
+    loc = lambda *urls: "".join(f"<url><loc>{u}</loc></url>" for u in urls)
+    files = [("d", "i", f"<sitemapindex>{loc('i', 'a', 'j')}</sitemapindex>"), ("d", "j", f"<sitemapindex>{loc('i', 'b', 'deep')}</sitemapindex>"), ("d", "a", f"<urlset>{loc('p1', 'p2', 'x.JPG?v')}</urlset>"), ("d", "b", f"<urlset>{loc('p2', 'p3&amp;q')}</urlset>"), ("d", "deep", f"<sitemapindex>{loc('c')}</sitemapindex>"), ("d", "c", f"<urlset>{loc('p4')}</urlset>"), ("e", "r", "<html>no map</html>"), ("f", "r", None), ("g", "r", f"<sitemapindex>{loc(*[f'm{k:03}' for k in range(80)])}</sitemapindex>")]
+    files += [("g", f"m{k:03}", f"<urlset>{loc(*[f'{k}/{j}' for j in range(30)])}</urlset>") for k in range(80)]
+    t = spark.createDataFrame(files, "domain string, url string, xml string")
+    roots = spark.createDataFrame([("d", "i"), ("e", "r"), ("f", "r"), ("g", "r"), ("h", "none")], "domain string, url string")
+    got = {(r.domain, r.url, r.depth) for r in sitemaps.page_urls(t, roots).filter("domain = 'd'").collect()}
+    assert got == {("d", "p1", 1), ("d", "p2", 1), ("d", "p3&q", 2), ("d", "p4", 3)}
+    assert {r.domain: r.sku_estimate for r in sitemaps.sku_estimates(t, roots).collect()} == {"d": 4, "e": None, "f": None, "g": 1000, "h": None}
+    assert {r.domain: r.sku_estimate for r in sitemaps.sku_estimates(t, roots, pages=5000).collect()}["g"] == 50 * 30
+
+
+def test_products_in_odd_structured_data(spark):
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    deep = '{"@type":"Product","name":"deep one"}'
+    for _ in range(5):
+        deep = f'{{"x":[{deep}]}}'
+    rows = [("https://a/1", ld(deep)), ("https://a/2", ld('{"@type":"Product","name":{"x":1},"sku":5,"offers":"none","image":"rel.png"}') + "<h1>RTM-06</h1>"), ("https://a/three", None), ("https://a/4", ld("") + ld('{"@type":"Product","name":"A\tb  c","brand":["x"]}')), ("https://a/5", "<h1>Free</h1><i itemprop='price' content='0'>₹ 1,20,000</i>")]
+    got = {r.url[-1]: r for r in feeds.json_ld_products(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert (got["1"].title, got["1"].structured) == ("deep one", True)
+    assert (got["2"].title, got["2"].sku, got["2"].price_inr, got["2"].image_url) == (None, "5", None, None)
+    assert (got["e"].title, got["e"].sku, got["e"].structured) == (None, "three", False)
+    assert (got["4"].title, got["4"].brand, got["5"].title, got["5"].price_inr) == ("A b  c", None, "Free", None)
+
+
 def test_sites_of_brands(spark):
     page = lambda *urls: "".join(f'<a href="{u}">' for u in urls)
     rows = [("Acme Stone", page("https://www.facebook.com/a", "http://other.in", "https://www.acme.co.in/x")), ("Zed", page("https://other.in/", "https://second.in/")), ("None", page("https://t.me/x")), ("Gone", None)]
