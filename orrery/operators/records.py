@@ -81,14 +81,6 @@ def orphan_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "job").filter("status = 'done'").select("target").distinct().join(known, "target", "left_anti")
 
 
-@query(oracle("product", "WITH x AS (SELECT category, CASE WHEN contains(title, 'White') THEN 'White' WHEN contains(title, 'Teak') THEN 'Brown' WHEN contains(title, 'Grey') THEN 'Grey' END AS said, CASE CAST(id % 3 AS INT) WHEN 0 THEN 'White' WHEN 1 THEN 'Brown' ELSE 'Grey' END AS seen FROM product) SELECT category, count(*) AS n, round(avg(CASE WHEN said = seen THEN 1.0 ELSE 0.0 END), 4) AS same FROM x WHERE said IS NOT NULL GROUP BY category"))
-def colour_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the colour family of the words and of the pixels agree."""
-    seen = F.when(F.col("id") % 3 == 0, "White").when(F.col("id") % 3 == 1, "Brown").otherwise("Grey")
-    said = relation(spark, sf_dir, "product").select("category", T.colour(F.regexp_extract("title", "(White|Teak|Grey)", 1))[1].alias("said"), seen.alias("seen")).filter("said IS NOT NULL")
-    return said.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("said") == F.col("seen"), 1.0).otherwise(0.0)), 4).alias("same"))
-
-
 @query(oracle("call", "SELECT model, count(*) AS n, round(count(*) FILTER (status = 'enriched') / count(*), 6) AS pass_rate, round(count(*) FILTER (status = 'api_error') / count(*), 6) AS malformed_rate FROM call GROUP BY model"))
 def ab_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda s: F.round(F.count_if(F.col("status") == s) / F.count("*"), 6)
