@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators.nearest import nearest_of_kind
 from orrery.operators.prices import LATEST, freshest
 from orrery.registry import query
 from orrery.relations import oracle, relation
@@ -147,18 +148,9 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VEC_SQL}, p AS (SELECT q.vec_id AS id, a.vec_id AS near_id, round({COS}, 4) AS score FROM u q JOIN u a ON a.label = q.label AND a.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT id, near_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, near_id) AS k FROM p) WHERE k <= 6""")
 def similar_items_by_hundred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six most similar items of the same kind for every id divisible by 100, a number that grows with the table.
-
-    Items of a kind are dealt over parts and each query goes to all parts of its kind; the rank's limit applies before
-    the shuffle, so that only six rows of a query leave a task.
-    """
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("v"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = e.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "label", F.col("v").alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    scored = dealt.join(asked, ["label", "part"]).filter("vec_id <> id").select("id", F.col("vec_id").alias("near_id"), F.round(dot(F.col("v"), F.col("q")), 4).alias("score"))
-    k = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "near_id"))
-    return scored.withColumn("k", k).filter("k <= 6").drop("k")
+    """Six most similar items of the same kind for every id divisible by 100, a number that grows with the table."""
+    e = read_table(spark, sf_dir, "embeddings")
+    return nearest_of_kind(e, e.filter("vec_id % 100 = 0"), k=6)
 
 
 @query("SELECT label, count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings GROUP BY label")
