@@ -7,6 +7,7 @@ import orrery.operators.dealers
 import orrery.operators.enrichment
 import orrery.operators.image_colour
 import orrery.operators.intake
+import orrery.operators.keyword_index
 import orrery.operators.listing
 import orrery.operators.monitor
 import orrery.operators.planner
