@@ -31,6 +31,10 @@ class Snapshots:
         self.key = tuple(key)
         self.block = by if by is not None else F.pmod(F.xxhash64(*self.key), F.lit(blocks)).cast("int")
 
+    def on(self, spark: SparkSession) -> Snapshots:
+        """The same table for another session."""
+        return Snapshots(spark, self.path, self.schema, self.key, self.blocks, self.block)
+
     def _fs(self):
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_log")

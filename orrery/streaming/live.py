@@ -21,6 +21,29 @@ def demand_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour")
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
+def demand_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Visits of a user: events no further apart than gap, with their number and end (the last event plus gap)."""
+    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("ts").alias("last")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "last")
+
+
+def sliding_demand(events: DataFrame, size: str = "1 day", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Events per kind in windows that overlap."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def clicks_after(searches: DataFrame, clicks: DataFrame, within: int = 3600, late: str = "1 hour") -> DataFrame:
+    """search_id, click_id, waited_us of a user's clicks up to `within` seconds after a search.
+
+    Both sides are (event_id, user_id, ts). They meet in slots of `within` seconds, a search in its own and the next,
+    so that a busy user's rows are not all paired. On streams, watermarks and the bound let either side's state end.
+    """
+    slot = lambda ts: F.floor(F.unix_micros(ts) / (within * 1_000_000))
+    s = searches.withWatermark("ts", late).select(F.col("event_id").alias("search_id"), F.col("user_id").alias("searcher"), F.col("ts").alias("searched"), F.explode(F.sequence(slot("ts"), slot("ts") + 1)).alias("at"))
+    c = clicks.withWatermark("ts", late).select(F.col("event_id").alias("click_id"), "user_id", "ts", slot("ts").alias("slot"))
+    soon = (F.col("ts") >= F.col("searched")) & (F.col("ts") <= F.col("searched") + F.expr(f"INTERVAL {int(within)} SECONDS"))
+    return s.join(c, (F.col("searcher") == F.col("user_id")) & (F.col("at") == F.col("slot")) & soon).select("search_id", "click_id", (F.unix_micros("ts") - F.unix_micros("searched")).alias("waited_us"))
+
+
 def first_seen(observations: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
     """Insert-or-ignore on a stream; state is kept for the watermark's span only."""
     return observations.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 from pathlib import Path
 
 import pytest
@@ -61,3 +63,43 @@ def test_job_states(spark, tmp_path, rocks):
 def test_freshest_state(spark, tmp_path, rocks):
     out = finish(live.freshest_state(observations(spark, tmp_path / "o")), "fresh", "update")
     assert {(r.product_id, r.price) for r in out.collect()} == {(1, 7.0), (2, 1.0)}
+
+
+def visits(spark, path, files):
+    """A stream with one file per micro-batch, in the given order."""
+    frames = [spark.createDataFrame(rows, "event_id long, user_id long, at string").select("event_id", "user_id", F.to_timestamp("at").alias("ts")) for rows in files]
+    seen, base = set(), time.time() - 1000
+    for k, f in enumerate(frames):  # the source takes files by their times
+        f.coalesce(1).write.mode("append").parquet(str(path))
+        for p in set(Path(path).glob("*.parquet")) - seen:
+            os.utime(p, (base + 10 * k, base + 10 * k))
+            seen.add(p)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(path)), frames
+
+
+DAY = "2024-01-01 {}:00"
+
+
+def test_sessions_and_late_rows(spark, tmp_path):
+    files = [[(1, 1, DAY.format("10:00")), (2, 1, DAY.format("10:20")), (3, 2, DAY.format("10:00"))], [(4, 1, DAY.format("10:45")), (5, 2, DAY.format("15:00"))], [(7, 1, DAY.format("14:30"))], [(6, 2, DAY.format("10:10")), (8, 3, DAY.format("23:00"))], [(9, 3, DAY.format("23:59"))]]
+    stream, frames = visits(spark, tmp_path / "v", files)
+    got = {(r.user_id, str(r.start)[11:16], r.n) for r in finish(live.demand_sessions(stream), "sessions", "append").collect()}
+    # row 6 came after a batch with a watermark of 14:00: it is dropped; row 7 is in time; visits that are still open are not there
+    assert got == {(1, "10:00", 3), (2, "10:00", 1), (2, "15:00", 1), (1, "14:30", 1)}
+    batch = live.demand_sessions(frames[0].unionByName(frames[1]).unionByName(frames[2]).filter("event_id <> 6"))
+    assert {(r.user_id, str(r.start)[11:16], r.n) for r in batch.collect()} == got
+
+
+def test_sliding_windows(spark, tmp_path):
+    stream, frames = visits(spark, tmp_path / "v", [[(1, 1, DAY.format("10:00")), (2, 1, DAY.format("13:00"))], [(3, 1, DAY.format("23:00"))]])
+    kind = lambda d: d.withColumn("event_type", F.lit("view"))
+    got = {(str(r.start), r.n) for r in finish(live.sliding_demand(kind(stream)), "sliding", "complete").collect()}
+    assert got == {(str(r.start), r.n) for r in live.sliding_demand(kind(frames[0].unionByName(frames[1]))).collect()} and len(got) == 6
+
+
+def test_stream_of_clicks_meets_stream_of_searches(spark, tmp_path):
+    searches, s = visits(spark, tmp_path / "s", [[(1, 1, DAY.format("10:00")), (2, 1, DAY.format("10:40"))], [(3, 2, DAY.format("12:00"))]])
+    clicks, c = visits(spark, tmp_path / "c", [[(11, 1, DAY.format("10:50")), (12, 1, DAY.format("09:59"))], [(13, 1, DAY.format("11:00")), (14, 2, DAY.format("13:00")), (15, 2, DAY.format("13:01"))]])
+    got = {tuple(r) for r in finish(live.clicks_after(searches, clicks), "clicks", "append").collect()}
+    want = {tuple(r) for r in live.clicks_after(s[0].unionByName(s[1]), c[0].unionByName(c[1])).collect()}
+    assert got == want == {(1, 11, 3_000_000_000), (1, 13, 3_600_000_000), (2, 11, 600_000_000), (2, 13, 1_200_000_000), (3, 14, 3_600_000_000)}
