@@ -5,6 +5,7 @@ from __future__ import annotations
 import orrery.operators.attributes
 import orrery.operators.batches
 import orrery.operators.dealers
+import orrery.operators.drains
 import orrery.operators.enrichment
 import orrery.operators.image_colour
 import orrery.operators.intake
