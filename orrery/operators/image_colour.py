@@ -178,6 +178,13 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "product").select("id", "title", "category", rgb.alias("rgb"), side.alias("width"), side.alias("height"))
 
 
+def colour_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, category, said, seen: colour families of products' words and of their images; rows whose words name none need no image."""
+    said = T.colour(F.regexp_extract("title", "(White|Teak|Grey)", 1))[1]
+    named = _images(spark, sf_dir).withColumn("said", said).filter("said IS NOT NULL")
+    return with_colours(named).select("id", "category", "said", F.col("pixels.colour_family").alias("seen"))
+
+
 _ROWS = ", ".join(f"({i}, '{name}', '{family}')" for i, (name, family, _) in enumerate(PALETTE))
 IMAGES_SQL = f"""palette(k, name, family) AS (VALUES {_ROWS}), picked AS (SELECT *, CASE WHEN id % 50 < 47 THEN CASE WHEN id % 3 = 0 THEN [{', '.join(map(str, STRONG))}][id % {len(STRONG)} + 1] ELSE id % {len(PALETTE)} END END AS one, CASE WHEN id % 50 < 47 AND id % 3 = 0 THEN [{', '.join(map(str, STRONG))}][(id * 7 + 3) % {len(STRONG)} + 1] END AS two FROM product),
 shown AS (SELECT picked.*, COALESCE(a.name, 'unknown') AS colour_primary, CASE WHEN one <> two THEN b.name END AS colour_secondary, a.family AS colour_family FROM picked LEFT JOIN palette a ON a.k = one LEFT JOIN palette b ON b.k = two)"""
@@ -191,6 +198,5 @@ def image_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("product", f"WITH {IMAGES_SQL}, x AS (SELECT category, CASE WHEN contains(title, 'White') THEN 'White' WHEN contains(title, 'Teak') THEN 'Brown' WHEN contains(title, 'Grey') THEN 'Grey' END AS said, colour_family AS seen FROM shown) SELECT category, count(*) AS n, count(seen) AS seen, round(avg(CASE WHEN seen IS NOT NULL THEN CASE WHEN said = seen THEN 1.0 ELSE 0.0 END END), 4) AS same FROM x WHERE said IS NOT NULL GROUP BY category"))
 def colour_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the colour family of the words and of the pixels agree, where the pixels tell one."""
-    said = T.colour(F.regexp_extract("title", "(White|Teak|Grey)", 1))[1]
-    both = with_colours(_images(spark, sf_dir).withColumn("said", said).filter("said IS NOT NULL")).withColumn("seen", F.col("pixels.colour_family"))
+    both = colour_families(spark, sf_dir).filter("said IS NOT NULL")
     return both.groupBy("category").agg(F.count("*").alias("n"), F.count("seen").alias("seen"), F.round(F.avg(F.when(F.col("seen").isNotNull(), F.when(F.col("said") == F.col("seen"), 1.0).otherwise(0.0))), 4).alias("same"))

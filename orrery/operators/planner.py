@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators.image_colour import colour_families
 from orrery.operators.quality import SCORED
 from orrery.operators.resolve import GROUP_SQL
-from orrery.plans.flywheel import run
-from orrery.registry import query
+from orrery.plans.flywheel import pass_over, run
+from orrery.registry import ORACLES, query
 from orrery.relations import NOW, oracle, relation
 from orrery.session import read_table
 from orrery.streaming import live
@@ -19,6 +20,18 @@ def planner_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(relation(spark, sf_dir, "product"), relation(spark, sf_dir, "price"), NOW).metrics.select("key", "value")
 
 
+def _one(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+@query(f"""WITH q AS (SELECT * FROM {_one('quality_report')}), g AS (SELECT count(*) AS n, count(DISTINCT variant_group_id) AS groups FROM {_one('variant_groups')} WHERE variant_group_id IS NOT NULL), s AS (SELECT count(*) AS n FROM {_one('variant_audit')}),
+c AS (SELECT round(sum(same) / sum(n), 4) AS accuracy FROM (SELECT seen AS n, round(same * seen) AS same FROM {_one('colour_eval')}))
+SELECT key, CAST(value AS DOUBLE) AS value FROM (VALUES ('total', (SELECT total FROM q)), ('ready', (SELECT ready FROM q)), ('unverified', (SELECT unverified FROM q)), ('median_completeness', (SELECT median FROM q)), ('groups', (SELECT groups FROM g)), ('grouped_products', (SELECT n FROM g)), ('suspect_variant_groups', (SELECT n FROM s)), ('colour_accuracy', (SELECT accuracy FROM c))) v(key, value)""")
+def planner_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pass with audit and colour evaluation; attributes are not filled, so that scores equal the other reports'."""
+    return pass_over(relation(spark, sf_dir, "product"), relation(spark, sf_dir, "price"), NOW, seen=colour_families(spark, sf_dir)).metrics
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def demand_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch twin of streaming.live.demand_windows."""

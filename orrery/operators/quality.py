@@ -129,16 +129,6 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("id", "surface", "completeness", "tier", "publish_ready")
 
 
-DEPTH = ("size_mm", "finish", "price_unit", "coverage_sqft_per_box", "image_url", "source_url", "title")
-
-
-@query(oracle("product", "WITH d AS (SELECT " + ", ".join(f"CAST(round_even(100.0 * count({c}) / count(*), 0) AS INTEGER) AS {c}" for c in DEPTH) + " FROM product) SELECT *, CAST(round_even((" + " + ".join(DEPTH) + f") / {len(DEPTH)}.0, 0) AS INTEGER) AS mean FROM d"))
-def attribute_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of filled values per attribute, and the rounded mean of the rounded shares."""
-    d = relation(spark, sf_dir, "product").agg(*[F.bround(F.lit(100.0) * F.count(c) / F.count("*")).cast("int").alias(c) for c in DEPTH])
-    return d.withColumn("mean", F.bround(sum((F.col(c) for c in DEPTH), F.lit(0)) / F.lit(float(len(DEPTH)))).cast("int"))
-
-
 @query(oracle("product", "WITH k AS (SELECT lower(brand) AS b, size_mm, count(DISTINCT supplier_domain) AS n FROM product WHERE size_mm IS NOT NULL GROUP BY 1, 2) SELECT count(*) AS keys, count(CASE WHEN n >= 2 THEN 1 END) AS shared, round(count(CASE WHEN n >= 2 THEN 1 END) / count(*), 6) AS rate FROM k"))
 def overlap_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = relation(spark, sf_dir, "product").filter("size_mm IS NOT NULL").groupBy(F.lower("brand").alias("b"), "size_mm").agg(F.countDistinct("supplier_domain").alias("n"))

@@ -1,18 +1,21 @@
-"""The planner pass over a catalogue snapshot: classify, score, group, audit, snapshot metrics and queue what is missing.
+"""The planner pass over a catalogue snapshot: fill, classify, score, group, audit, measure colours, snapshot metrics, queue what is missing.
 
-Every step is a transformation of the same snapshot, so one pass reads the tables once per output and there is no
-order of writes to get wrong.
+run() is the short form, plain transformations of one snapshot. pass_over() is the whole pass: it writes the scored
+products once, and every report is one aggregation of that table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.enrichment import text_pass
+from orrery.operators.prices import freshest
 from orrery.operators.quality import classified, scored
 from orrery.operators.resolve import with_group
+from orrery.session import shared_folder
 
 
 @dataclass
@@ -30,3 +33,50 @@ def run(products: DataFrame, prices: DataFrame, day: str) -> Plan:
     gaps = full.filter(~F.col("publish_ready") & F.col("source_url").isNotNull())
     jobs = gaps.groupBy(F.col("supplier_domain").alias("target")).agg(F.least(F.count("*"), F.lit(100)).cast("int").alias("priority")).withColumn("stage", F.lit("enrich"))
     return Plan(full, metrics, jobs)
+
+
+SUSPECT = "ncat > 1 OR (mn > 0 AND mx > 20 * mn)"
+
+
+@dataclass
+class Pass:
+    products: DataFrame  # the table that was written
+    groups: DataFrame  # suspect groups: gid, ncat, mn, mx, n
+    metrics: DataFrame  # key, value
+    jobs: DataFrame
+
+
+def pass_over(products: DataFrame, prices: DataFrame, day: str, seen: DataFrame | None = None, fill: bool = False) -> Pass:
+    """All steps. prices are (product_id, price_inr, observed_at, ...); seen are colour families of pixels (id, said, seen).
+
+    fill takes attributes out of titles first. Prices are brought to one row per product before anything else, and
+    group sizes, categories and price ranges come from one row per group and category.
+    """
+    spark = products.sparkSession
+    full = with_group(scored(classified(text_pass(products) if fill else products), prices, day))
+    last = freshest(prices).select(F.col("product_id").alias("id"), F.col("price_inr").alias("last_price"))
+    path = shared_folder(spark, "planned")
+    full.join(last, "id", "left").write.option("compression", "zstd").parquet(path)
+    planned = spark.read.parquet(path)
+    part = planned.groupBy("variant_group_id", "category").agg(F.count("*").alias("n"), F.min("last_price").alias("mn"), F.max("last_price").alias("mx"))
+    groups = part.filter("variant_group_id IS NOT NULL").groupBy(F.col("variant_group_id").alias("gid")).agg(F.count("category").alias("ncat"), F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("n").alias("n"))
+    suspect = groups.filter(SUSPECT)
+    by = planned.groupBy("completeness", "tier").agg(F.count("*").alias("n"), F.count_if("publish_ready").alias("ready"))  # at most 101 scores x tiers
+    upto = by.withColumn("upto", F.sum("n").over(Window.orderBy("completeness", "tier"))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    tell = {"total": F.sum("n"), "ready": F.sum("ready"), "unverified": F.sum(F.when(F.col("tier") == "unverified", F.col("n")).otherwise(0)), "median_completeness": F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("completeness")))}
+    counts = {"groups": F.count("*"), "grouped_products": F.coalesce(F.sum("n"), F.lit(0)), "suspect_variant_groups": F.count_if(F.expr(SUSPECT))}
+    told = [_rows(upto, tell), _rows(groups, counts)]
+    if seen is not None:
+        told.append(_rows(seen.filter("said IS NOT NULL AND seen IS NOT NULL"), {"colour_accuracy": F.round(F.avg((F.col("said") == F.col("seen")).cast("double")), 4)}))
+    metrics = told[0]
+    for t in told[1:]:
+        metrics = metrics.unionByName(t)
+    gaps = planned.filter(~F.col("publish_ready") & F.col("source_url").isNotNull())
+    jobs = gaps.groupBy(F.col("supplier_domain").alias("target")).agg(F.least(F.count("*"), F.lit(100)).cast("int").alias("priority")).withColumn("stage", F.lit("enrich"))
+    return Pass(planned, suspect, metrics, jobs)
+
+
+def _rows(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """key and value of measures over all rows."""
+    one = df.agg(*[m.cast("double").alias(k) for k, m in measures.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in measures])).alias("m")).select("m.*")
