@@ -17,5 +17,6 @@ import orrery.operators.prices
 import orrery.operators.quality
 import orrery.operators.records
 import orrery.operators.resolve
+import orrery.operators.sanitize
 import orrery.operators.search  # noqa: F401
 from orrery.registry import ORACLES, QUERIES  # noqa: F401

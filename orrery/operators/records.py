@@ -15,11 +15,22 @@ from orrery.session import read_table
 
 # Use-case tags in order, each with the words that are evidence for it
 USE_CASES = {
+    "bathroom": ("bathroom", "bath ", "sanitary", "washroom", "shower", "toilet", "vanity", "lavatory", "wc "),
+    "kitchen": ("kitchen", "backsplash", "splashback", "countertop", "worktop"),
     "living-room": ("living room", "living-room", "lounge", "drawing room"),
-    "outdoor": ("outdoor", "exterior", "garden", "terrace", "balcony"),
+    "bedroom": ("bedroom", "headboard"),
+    "outdoor": ("outdoor", "exterior", "facade", "garden", "terrace", "balcony", "frost", "weatherproof", "parking", "driveway", "alfresco", "landscape"),
+    "commercial": ("commercial", "office", "hospitality", "hotel", "retail", "showroom", "institutional", "corporate", "mall", "airport", "restaurant", "cafe", "lobby", "workspace"),
+    "residential": ("residential",),
+    "high-traffic": ("high traffic", "high-traffic", "heavy duty", "heavy-duty", "anti-skid", "anti skid", "antiskid", "anti-static", "anti static", "antistatic", "conductive", "industrial", "warehouse"),
+    "wet-area": ("wet area", "wet-area", "pool", "swimming", "spa", "wetroom"),
     "flooring": ("floor", "flooring", "vitrified", "underfoot"),
     "wall": ("wall", "cladding", "elevation", "wainscot"),
+    "facade": ("facade", "ventilated facade", "exterior elevation"),
+    "backsplash": ("backsplash", "splashback"),
+    "countertop": ("countertop", "worktop", "vanity top"),
     "office": ("office", "workstation", "cubicle", "boardroom", "desk"),
+    "hospitality": ("hospitality", "hotel", "resort", "restaurant", "banquet", "lounge"),
 }
 
 
@@ -120,9 +131,9 @@ def colour_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGS = ", ".join(f"CASE WHEN {' OR '.join(f'''contains(t, '{w}')''' for w in words)} THEN '{tag}' END" for tag, words in USE_CASES.items())
 
 
-@query(oracle("product", f"WITH x AS (SELECT id, lower(concat(' ', title, ' ', category, ' floor wall office')) AS t FROM product) SELECT id, array_to_string(list_filter([{_TAGS}], lambda x: x IS NOT NULL)[1:3], '|') AS tags FROM x"))
+@query(oracle("product", f"WITH x AS (SELECT id, lower(concat(' ', title, ' ', category, ' ')) AS t FROM product) SELECT id, array_to_string(list_filter([{_TAGS}], lambda x: x IS NOT NULL)[1:3], '|') AS tags FROM x"))
 def use_case_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("title", F.lit(" "), "category", F.lit(" floor wall office"))
+    text = F.concat("title", F.lit(" "), "category")
     return relation(spark, sf_dir, "product").select("id", F.array_join(T.tags(text, USE_CASES), "|").alias("tags"))
 
 
