@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.operators import search
 from orrery.registry import query
 from orrery.session import shared_folder
-from orrery.sources.snapshots import Snapshots, latest
+from orrery.sources.snapshots import Snapshots, latest, replaced
 
 WORD = "[a-z0-9]+"
 POSTINGS = "block int, term string, n long, words long, most int, shortest int, ids array<long>, tf array<int>, len array<int>"
@@ -27,13 +27,11 @@ def postings(docs: DataFrame) -> DataFrame:
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(WORD), F.lit(0))
     rows = docs.select("block", "id", words.alias("w")).withColumn("len", F.size("w"))
-    each = rows.select("block", "id", "len", F.explode("w").alias("term")).groupBy("block", "term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-    lists = each.groupBy("block", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("words"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("p"))
-    lists = lists.select("block", "term", "n", "words", "most", "shortest", F.col("p.id").alias("ids"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"))
-    none = lambda kind: F.array().cast(kind)
-    sums = rows.groupBy("block").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
-    heads = sums.select("block", F.lit("").alias("term"), "n", "words", F.lit(0).alias("most"), F.lit(0).alias("shortest"), none("array<long>").alias("ids"), none("array<int>").alias("tf"), none("array<int>").alias("len"))
-    return lists.unionByName(heads)
+    # each document also counts once under the empty term, which gives the block's documents and words
+    each = rows.select("block", "id", "len", F.explode(F.array_append("w", F.lit(""))).alias("term")).groupBy("block", "term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
+    head = F.col("term") == ""
+    lists = each.groupBy("block", "term").agg(F.count("*").alias("n"), F.sum(F.when(head, F.col("len")).otherwise(F.col("tf"))).alias("words"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(F.when(~head, F.struct("id", "tf", "len")))).alias("p"))
+    return lists.select("block", "term", "n", "words", "most", "shortest", F.col("p.id").alias("ids"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"))
 
 
 class KeywordIndex:
@@ -55,8 +53,8 @@ class KeywordIndex:
             return first
         touched = [r[0] for r in changes.select(self.docs.block.alias("b")).distinct().collect()]  # at most `blocks`
         rows = self.docs.read(blocks=touched).withColumn("block", self.docs.block)
-        fresh = postings(rows.repartition(max(1, len(touched)), "block"))
-        return self.lists.apply(batch, fresh, lambda _, new: new, order=["term"]) or first
+        fresh = postings(rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "block"))
+        return self.lists.apply(batch, fresh, replaced, order=["term"]) or first
 
     def matching(self, terms: list[str], blocks: list[int] | None = None) -> DataFrame:
         """Postings of the terms' ranges, with i, the number of the term; of some blocks only, if given."""
@@ -120,8 +118,10 @@ def keyword_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is built in two batches, all documents and then a tenth of them again, and asked what bm25_search asks."""
     docs = search._documents(spark, sf_dir)
     index = KeywordIndex(spark, shared_folder(spark, "keywords"), blocks=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index.upsert("all", docs)
-    index.upsert("again", docs.filter("id % 10 = 0"))
+    for batch, rows in (("all", docs), ("again", docs.filter("id % 10 = 0"))):
+        index.upsert(batch, rows)
+        index.docs.clean()
+        index.lists.clean()
     found = index.search("Wor, gen!").collect()  # k rows
     index.docs.drop()
     index.lists.drop()

@@ -66,7 +66,7 @@ def item_list_urls(pages: DataFrame) -> DataFrame:
 
 def registry_csv(spark: SparkSession, path: str) -> DataFrame:
     """Curated registry: price and tier columns are only hints and move into the notes."""
-    r = spark.read.csv(path, header=True, schema="brand string, domain string, categories string, price_published string, scrape_tier string, domain_confidence string, status string, notes string")
+    r = spark.read.csv(path, header=True, escape='"', schema="brand string, domain string, categories string, price_published string, scrape_tier string, domain_confidence string, status string, notes string")
     hint = F.concat(F.lit("[seed hint: "), F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.nullif(F.trim(c), F.lit(""))) for c in ("price_published", "scrape_tier")]), F.lit("]"))
     return r.filter(F.trim("domain") != "").select("brand", web.domain(F.col("domain")).alias("domain"), "categories", "domain_confidence", "status", F.concat_ws(" ", F.nullif(F.trim("notes"), F.lit("")), hint).alias("notes"))
 

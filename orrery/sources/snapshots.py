@@ -7,9 +7,10 @@ first. A writer that dies before leaves files that nobody reads; its batch is ap
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,8 @@ class Snapshots:
     def apply(self, batch: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], order: Iterable[str] = (), tries: int = 5) -> bool:
         """Puts merge(rows of the touched blocks, changes) in their place; False if the batch was applied before.
 
-        merge must keep rows in their blocks. A writer that lost a race for other blocks only takes the next version;
+        merge gets both with the column BLOCK and returns rows with it. One that has dealt its rows by BLOCK itself
+        says so by an attribute `dealt`, and they are not dealt again. A writer that lost a race for other blocks only takes the next version;
         for the same blocks it starts again from the new rows.
         """
         for _ in range(tries):
@@ -76,9 +78,12 @@ class Snapshots:
                 return False
             touched = sorted(r[0] for r in changes.select(self.block.alias("b")).distinct().collect())  # at most `blocks`
             token = uuid.uuid4().hex
-            merged = merge(self.read(blocks=touched, entry=now), changes.select(*self.schema.names)).select(*self.schema.names, self.block.alias(BLOCK))
-            put = merged.repartition(max(1, len(touched)), BLOCK).sortWithinPartitions(BLOCK, *order)
-            put.write.partitionBy(BLOCK).option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(f"{self.path}/data/{token}")
+            columns = [*self.schema.names, self.block.alias(BLOCK)]
+            put = merge(self.read(blocks=touched, entry=now).select(columns), changes.select(columns)).select(*self.schema.names, BLOCK)
+            if not getattr(merge, "dealt", False):
+                put = put.repartition(max(1, len(touched)), BLOCK)
+            with shuffle_files_go(self.spark):
+                put.sortWithinPartitions(BLOCK, *order).write.partitionBy(BLOCK).option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(f"{self.path}/data/{token}")
             try:
                 self._commit(batch, now, {str(b): f"data/{token}/{BLOCK}={b}" for b in touched})
                 return True
@@ -129,20 +134,45 @@ class Snapshots:
         fs.delete(jvm.org.apache.hadoop.fs.Path(self.path), True)
 
 
+@contextlib.contextmanager
+def shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes inside go when the write ends, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def latest(key: Iterable[str], *order: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A merge that keeps, of each key, the row of greatest order; a change wins over an equal one that was there."""
+    """A merge that keeps, of each key, the row of greatest order; a change wins over an equal one that was there.
+
+    Rows are dealt by block once; grouping by block and key keeps that.
+    """
     names = tuple(key)
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        rest = [c for c in old.columns if c not in names]
+        rest = [c for c in old.columns if c not in (*names, BLOCK)]
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rank = F.struct(*[F.col(c) for c in order], "_new", F.xxhash64(*rest) if rest else F.lit(0))
-        one = both.groupBy(*names).agg(F.max_by(F.struct(*rest), rank).alias("_row")) if rest else both.select(*names).distinct()
-        return one.select(*names, *[F.col(f"_row.{c}") for c in rest])
+        one = both.repartition(parts, BLOCK).groupBy(BLOCK, *names).agg(F.max_by(F.struct(*(rest or names)), rank).alias("_row"))
+        return one.select(BLOCK, *names, *[F.col(f"_row.{c}") for c in rest])
 
+    merge.dealt = True
     return merge
 
 
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:  # noqa: ARG001 - a merge takes both
+    """A merge that puts the changes in place of all rows of their blocks; they are dealt by block already."""
+    return new
+
+
+replaced.dealt = True
+
+
 def added(old: DataFrame, new: DataFrame) -> DataFrame:
     """A merge that keeps all rows."""
     return old.unionByName(new)
