@@ -35,10 +35,16 @@ def test_stages(spark, tmp_path):
 
 def test_stages_on_awkward_rows(spark):
     rows = [(1, None, None, None, None), (1, "", "en", "a", 0), (2, "some words in a row " * 20, "en", "a", 1), (2, "some words in a row " * 20, "en", "a", 1), (None, "text", None, "b", 2)]
-    for table in (rows, []):
-        docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
-        for _, stage in P.STAGES:
-            assert stage(spark, docs, "").count() >= 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {name: collections.Counter((r.doc_id, getattr(r, "text", None)) for r in stage(spark, docs, "").collect()) for name, stage in P.STAGES}
+    text = rows[2][1]
+    assert got["language_id"] == {(2, text): 2}  # texts without a letter, and one like nothing that was learned, go
+    assert got["near_dedup"] == {(1, None): 1, (1, ""): 1, (2, text): 2, (None, "text"): 1}  # rows of one id are one document
+    assert got["substring_dedup"] == {(1, None): 1, (1, ""): 1, (2, ""): 2, (None, "text"): 1}  # both copies are repeated
+    assert {k[0] for k in got["mixing"]} <= {1, 2, None} and got["mixing"][(2, text)] in (2, 3, 4)
+    assert {k[0]: n for k, n in got["packing"].items()} == {1: 2, 2: 2, None: 1}
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), "").collect() == []
 
 
 def test_documents_without_an_id_stay(spark):
