@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orrery.llm import _text as T
-from orrery.llm import language_id, ordinal_quality
-from orrery.llm.queries import QUERIES
+from orrery.llm import language_id, ordinal_quality, packing
+from orrery.llm.queries import QUERIES, vocabulary
 
 SF = Path("/root/testdata/sf0.01")
 needs = pytest.mark.skipif(not SF.exists(), reason="no test tables")
@@ -99,3 +99,14 @@ def test_rating_again_in_plain_python(spark):
     for i, text in rows:
         e, p, kept = want(text)
         assert abs(got[i][0] - e) < 1e-9 and abs(got[i][1] - p) < 1e-9 and got[i][2] == kept
+
+
+def test_equal_rows_without_an_id_are_dealt_over_all_groups(spark):
+    rows = [(None, "the same few words")] * 3000 + [(i, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json"), most=64, bins=8).toPandas()
+    assert len(got) == 3100
+    per = got[got.doc_id.isna()].groupby(got.sequence_id // (1 << 32)).size()
+    assert len(per) >= 20 and per.max() < 3 * per.mean()
+    ends = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert all((g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length.to_numpy())[:-1]])).all() and g.length.sum() <= 64 for _, g in ends)
