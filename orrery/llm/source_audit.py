@@ -142,6 +142,10 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, lang_col: str =
     none = F.lit(None).cast("long")
     body = terms.select(F.pmod(F.xxhash64("lang", "term"), F.lit(n)).cast("int").alias("shard"), "lang", "term", "sources", "counts", none.alias("total"), none.alias("kept"), none.alias("whole"))
     sums = body.unionByName(heads).repartition(partitions(spark), "shard").mapInArrow(lambda b: in_shard(b, LOAD, PAIRS, TERMS.replace("$TOP", str(int(top)))), PARTS)
-    merged = sums.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    found = tmp.table(sums)
+    tmp.keep(found)
+    pairs = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # a term is in one shard, so its value is whole; the rank's limit applies before terms travel
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    return merged.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    ranked = lambda d: d.withColumn("rank", F.row_number().over(order))
+    return ranked(pairs).unionByName(ranked(found.filter("part = 'term'")).filter(F.col("rank") <= top))
