@@ -2,12 +2,17 @@
 
 Documents are dealt into blocks by a hash of the id, so that a block's postings are bounded and an upsert rebuilds only
 the blocks it touches. Postings are sorted by term inside a block, so a prefix is a range of row groups. A search first
-reads the bounds of its terms (columns without postings), then postings of the blocks that could hold one of the best
-k: a block whose bound is below the k-th score found so far is not opened.
+reads the ids of its terms, for their document counts, and the bounds of each block, then whole postings of the blocks
+that could hold one of the best k: a block whose bound is below the k-th score found so far is not opened.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +21,64 @@ from orrery.registry import query
 from orrery.session import shared_folder
 from orrery.sources.snapshots import Snapshots, latest, replaced
 
-WORD = "[a-z0-9]+"
 POSTINGS = "block int, term string, n long, words long, most int, shortest int, ids array<long>, tf array<int>, len array<int>"
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """POSTINGS of (block, id, body): a row per block and term, and one for the empty term with the block's documents and words.
 
-    Rows are brought together by block once; both groupings below keep that partitioning.
+    docs are dealt by block, so that a block's documents pass one task together and its postings are put together there.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(WORD), F.lit(0))
-    rows = docs.select("block", "id", words.alias("w")).withColumn("len", F.size("w"))
-    # each document also counts once under the empty term, which gives the block's documents and words
-    each = rows.select("block", "id", "len", F.explode(F.array_append("w", F.lit(""))).alias("term")).groupBy("block", "term", "id", "len").agg(F.count("*").cast("int").alias("tf"))
-    head = F.col("term") == ""
-    lists = each.groupBy("block", "term").agg(F.count("*").alias("n"), F.sum(F.when(head, F.col("len")).otherwise(F.col("tf"))).alias("words"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(F.when(~head, F.struct("id", "tf", "len")))).alias("p"))
-    return lists.select("block", "term", "n", "words", "most", "shortest", F.col("p.id").alias("ids"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"))
+    body = F.lower(F.coalesce("body", F.lit("")))
+    return docs.select("block", "id", body.alias("body")).sortWithinPartitions("block", "id").mapInArrow(_by_block, POSTINGS)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if held and held[0].column("block")[0].as_py() != int(block[a]):
+                yield from _inverted(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from _inverted(pa.Table.from_batches(held).combine_chunks())
+
+
+def _inverted(docs: pa.Table, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """POSTINGS of one block's documents (block, id, body), which are in order of id."""
+    body = docs.column("body").combine_chunks().cast(pa.large_string())
+    off = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+    buf = np.frombuffer(body.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off, n = off - off[0], docs.num_rows
+    inside = ((buf >= 97) & (buf <= 122)) | ((buf >= 48) & (buf <= 57))
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    begins = inside & (edge[:-1] | np.r_[True, ~inside[:-1]][: len(buf)])
+    starts = np.flatnonzero(begins)
+    length = np.diff(np.r_[np.cumsum(inside)[starts] - 1, inside.sum()]) if len(starts) else np.zeros(0, np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int64)), pa.py_buffer(buf[inside])]).dictionary_encode()
+    row = np.searchsorted(off, starts, side="right") - 1
+    size = np.bincount(row, minlength=n)
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    each, tf = np.unique(code * n + row, return_counts=True)  # by term, then document
+    term, doc = each // max(n, 1), each % max(n, 1)
+    cut = np.searchsorted(term, np.arange(len(words.dictionary) + 1))
+    ids, block = docs.column("id").combine_chunks().take(pa.array(doc)), docs.column("block")[0].as_py()
+    sums = lambda x: np.add.reduceat(x, cut[:-1]) if len(cut) > 1 else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(tf, cut[:-1]) if len(cut) > 1 else sums(tf)
+    shortest = np.minimum.reduceat(size[doc], cut[:-1]) if len(cut) > 1 else sums(tf)
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = [c.split(" ")[0] for c in POSTINGS.split(", ")]
+    yield pa.record_batch([pa.array([v], k) for v, k in zip((block, "", n, int(size.sum()), 0, 0, [], [], []), kinds, strict=True)], names)
+    many, total = np.diff(cut), sums(tf)
+    for a in range(0, len(many), rows):
+        b = min(a + rows, len(many))
+        lists = lambda values, a=a, b=b: pa.ListArray.from_arrays(pa.array(cut[a : b + 1] - cut[a], pa.int32()), values[cut[a] : cut[b]])
+        columns = [pa.array(np.full(b - a, block), pa.int32()), words.dictionary[a:b].cast(pa.string()), pa.array(many[a:b]), pa.array(total[a:b]), pa.array(most[a:b], pa.int32()), pa.array(shortest[a:b], pa.int32()), lists(ids), lists(pa.array(tf, pa.int32())), lists(pa.array(size[doc], pa.int32()))]
+        yield pa.record_batch(columns, names)
 
 
 class KeywordIndex:
@@ -39,6 +86,7 @@ class KeywordIndex:
 
     def __init__(self, spark: SparkSession, path: str, blocks: int = 64):
         self.spark = spark
+        self.opened: list[int] = []  # blocks whose postings the last search read
         self.docs = Snapshots(spark, f"{path}/docs", "id long, body string", ["id"], blocks)
         self.lists = Snapshots(spark, f"{path}/postings", POSTINGS, ["block", "term"], blocks, by=F.col("block"))
 
@@ -103,8 +151,6 @@ class KeywordIndex:
 
 
 def idf(n: int, df: int) -> float:
-    import math
-
     return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
 
 
@@ -115,13 +161,10 @@ def gain(tf, length, mean: float):
 
 @query(f"WITH {search.BM25_SQL} SELECT id, score FROM kw")
 def keyword_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index is built in two batches, all documents and then a tenth of them again, and asked what bm25_search asks."""
+    """The index of all documents, asked what bm25_search asks."""
     docs = search._documents(spark, sf_dir)
     index = KeywordIndex(spark, shared_folder(spark, "keywords"), blocks=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for batch, rows in (("all", docs), ("again", docs.filter("id % 10 = 0"))):
-        index.upsert(batch, rows)
-        index.docs.clean()
-        index.lists.clean()
+    index.upsert("all", docs)
     found = index.search("Wor, gen!").collect()  # k rows
     index.docs.drop()
     index.lists.drop()
