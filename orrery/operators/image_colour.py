@@ -7,8 +7,6 @@ border are background, the brightest two percent are gloss. The largest of four
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.functions import web
-
 #: What a product's address holds, and endings of files that are no pages.
 HINTS = ("product", "/pdp")
 CHILDREN, PAGES = 50, 1000  # of a domain: sitemaps followed from its indexes, pages taken
