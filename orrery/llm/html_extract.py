@@ -171,10 +171,11 @@ def fit_pages(pages: Iterable[str], annotation: str = "data-main", **options: fl
 
 def sample_pages(pages: DataFrame, most: int = 200, longest: int = 1 << 16, html_col: str = "html") -> list[str]:
     """At most `most` different pages of at most `longest` characters, by a hash of the page: the bound of what the fit reads."""
-    text = F.col(html_col).cast("string")
-    rows = pages.select(text.alias("html")).filter(F.col("html").isNotNull() & (F.char_length("html") <= longest))
-    named = rows.select(F.xxhash64(F.lit("sample"), "html").alias("h"), "html").groupBy("h").agg(F.min("html").alias("html"))
-    return [r.html for r in named.orderBy("h").limit(most).collect()]
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.col("html").isNotNull() & (F.char_length("html") <= longest))
+    named = rows.select(F.xxhash64(F.lit("sample"), "html").alias("h"), "html")
+    least = [r.h for r in named.select("h").distinct().orderBy("h").limit(most).collect()]  # hashes alone, so that no pages travel
+    chosen = named.filter(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html"))  # at most `most` rows
+    return [r.html for r in sorted(chosen.collect(), key=lambda r: r.h)]
 
 
 class Dresser:
@@ -191,6 +192,7 @@ class Dresser:
     TALK = "comments comment reply replies discussion responses reviews disqus feedback".split()
     FORM = "search login signup newsletter subscribe form contact".split()
     SHARE = "share social tags byline meta author".split()
+    ROLES = {"navigation": MENU, "banner": HEAD, "contentinfo": FOOT, "complementary": SIDE}
     ANY = "wrapper container row col inner box block section outer grid left right clearfix".split()
 
     def __init__(self, prose: list[str], short: list[str], seed: int):
@@ -223,12 +225,14 @@ class Dresser:
     def box(self, tag: str, kind: list[str], inside: str, plain: float = 0.3) -> str:
         """inside, within the element that has a meaning of its own or a div with a telling name, both or a name less one."""
         own = tag != "div" and self.r.random() < 0.6
-        name = "" if own and self.r.random() < plain else self.names(kind)
+        role = next((r for r, k in self.ROLES.items() if k is kind), "")
+        name = f' role="{role}"' if role and self.r.random() < 0.15 else "" if own and self.r.random() < plain else self.names(kind)
         t = tag if own else self.r.choice(("div", "div", "section"))
         return f"<{t}{name}>{inside}</{t}>"
 
     def links(self) -> str:
-        items = [f'<a href="/{self.r.randrange(999)}">{self.line()}</a>' for _ in self.some(2, 9)]
+        plain = self.r.random() < 0.2
+        items = [self.line() if plain else f'<a href="/{self.r.randrange(999)}">{self.line()}</a>' for _ in self.some(2, 9)]
         kind = self.r.random()
         return f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>" if kind < 0.6 else " | ".join(items) if kind < 0.8 else "".join(f"<p>{x}</p>" for x in items)
 
@@ -263,8 +267,10 @@ class Dresser:
                 out.append(f"<div>{text}</div>")
         for _ in self.some(0, 2):
             out.insert(self.r.randint(1, len(out)), self.beside(inside=True).replace(">", ' data-main="0">', 1))
+        if self.r.random() < 0.08:  # no element of its own around it
+            return "".join(x if "data-main" in x[: x.index(">")] else x.replace(">", ' data-main="1">', 1) for x in out)
         t = self.r.choice(("article", "article", "main", "div", "div", "section", "td"))
-        name = self.names(self.MAIN) if t in ("div", "section") and self.r.random() < 0.9 or self.r.random() < 0.3 else ""
+        name = self.r.choice((' role="main"', ' role="article"')) if self.r.random() < 0.05 else self.names(self.MAIN) if t in ("div", "section") and self.r.random() < 0.9 or self.r.random() < 0.3 else ""
         inside = f'<{t}{name} data-main="1">{"".join(out)}</{t}>'
         if t == "td":
             inside = f"<table><tr><td>{self.links()}</td>{inside}</tr></table>"
@@ -293,13 +299,13 @@ class Dresser:
             return self.box("aside", self.SIDE, self.r.choice((self.heading() + text, self.heading() + self.links())))
         if kind < 0.62:
             return self.form()
-        if kind < 0.75:
-            return self.box("div", self.SHARE, self.r.choice((self.links(), self.line())))
+        if kind < 0.77:
+            return self.box("div", self.SHARE, self.r.choice((self.links(), self.line(), self.line())))
         return self.box("div", self.NOTE, self.heading() + text) if kind < 0.9 or inside else self.box("div", self.ADS, self.links())
 
     def page(self) -> str:
         top = [self.box("header", self.HEAD, self.r.choice((self.line(), f"<h1>{self.line()}</h1>", f"<p>{self.sentence()}</p>", self.links())))] if self.r.random() < 0.5 else []
-        top += [self.box("nav", self.MENU, self.links()) for _ in self.some(0, 2)]
+        top += [self.box("nav", self.MENU, self.links() if self.r.random() < 0.9 else self.line()) for _ in self.some(0, 2)]
         top += [self.beside() for _ in self.some(0, 2)]
         self.r.shuffle(top)
         end = [self.beside() for _ in self.some(0, 2)] + [self.talk() for _ in self.some(0, 1)]

@@ -97,6 +97,7 @@ def test_extract_on_awkward_rows(spark, model):
     assert got[4].text.count("\n") == 4999 and all(r.n_chars == len(r.text) for r in got)
     assert H.extract(df.limit(0), model).collect() == []
     assert H.sample_pages(df, most=2, longest=1000) == H.sample_pages(df.repartition(5), most=2, longest=1000) and len(H.sample_pages(df, most=2)) == 2
+    assert H.sample_pages(df.limit(0)) == [] and H.fit_pages(H.dressed_pages([], number=5), rounds=2).decode(blocks("<p>x</p>")) in ([True], [False])
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
