@@ -4,10 +4,11 @@ All windows would be too many to shuffle. Every window has an anchor, the k-gram
 ones the leftmost), so equal windows have equal anchors at equal places. Consecutive windows with the same anchor
 place form a stretch of at most 2 L - k elements, about one per (L - k) / 2 elements of text. So:
 
-1. sketch: each partition counts anchors in a count-min sketch of its own, of two rows that saturate at 2. The first
-   two places of an anchor, by that count, go to the segment that owns the anchor's hash; later ones are repeated for
-   sure and go to any segment, as they are. So a segment gets at most two places of an anchor from each partition,
-   however common it is.
+1. sent twice: each partition keeps a table of anchors that it has sent. The first two places of an anchor go to the
+   segment that owns the anchor's hash; later ones are repeated for sure and go to any segment, as they are. The table
+   holds whole anchors, so none is taken for another; one that another displaces is sent twice again. So a segment
+   gets few places of an anchor from each partition, however common it is, and two at least of each that passes as
+   repeated without its word.
 2. prefilter: a segment merges what partitions counted, in a count-min sketch of two rows, and passes the places on
    whose anchor it estimates at two or more. Sketches never underestimate, and a window occurs at most as often as
    its anchor, so no repeated window is lost. The number of segments grows with the corpus; their size does not.
@@ -35,7 +36,7 @@ from orrery.llm._spark import Scratch
 NO_ID = (1 << 63) - 1  # stands for a null id, which is smaller than none
 SLICE = 1 << 19  # bytes of text whose anchors are found at a time
 LONG = 1 << 19  # elements of one piece of a text
-OWN_BITS = 23  # cells of each row of a partition's sketch
+OWN_BITS = 21  # anchors that a partition's table holds
 SEGMENT = 1 << 17  # anchors of a segment, about
 FLUSH = 1 << 19  # places that a task holds before it sends them
 CELLS_BITS = 20  # cells of each row of a segment's sketch
@@ -138,6 +139,23 @@ class CountMin:
             row[new[1:][new[1:] == new[:-1]]] = 2
 
 
+class Sent:
+    """How often anchors were sent, 2 at most, in a table with one place for each hash; never more than they were."""
+
+    def __init__(self, bits: int):
+        self.shift, self.held, self.count = T.U(64 - bits), np.zeros(1 << bits, T.U), np.zeros(1 << bits, np.uint8)
+
+    def known(self, a: np.ndarray) -> np.ndarray:
+        """Which of these places come after two of the same anchor; the others count as sent."""
+        at = (T.mix(a) >> self.shift).astype(np.int64)
+        so_far = np.where(self.held[at] == a, self.count[at], 0) + nth(a)
+        self.held[at] = a
+        stays = self.held[at] == a  # of several anchors for one place, one
+        self.count[at[stays]] = 1
+        self.count[at[stays & (so_far >= 1)]] = 2
+        return so_far >= 2
+
+
 def nth(a: np.ndarray) -> np.ndarray:
     """How many equal values come before each one."""
     order = np.argsort(a, kind="stable")
@@ -187,13 +205,12 @@ def places(rows: DataFrame, grams: Grams, length: int, k: int, number: int) -> D
         return pa.record_batch({"p": pa.array(owner[first].astype(np.int32)), "places": blobs})
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, n = CountMin(OWN_BITS), [], 0
+        own, held, n = Sent(OWN_BITS), [], 0
         for part in T.slices(batches, limit=SLICE):
             key = part.column("k").to_numpy()
             for g, off, base in grams(*T.flat(part.column("text")), length, k):
                 x = Stretches(g, off, length, k)
-                known = own.estimate(x.a) + nth(x.a) >= 2
-                own.add(x.a[~known])
+                known = own.known(x.a)
                 to = np.where(known, T.mix(x.s + x.start.astype(T.U)), x.a)
                 records = np.empty(len(x.a), RECORD)
                 records["a"], records["k"], records["known"] = x.a, key[x.row], known

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import language_id, mixing, near_dedup, ordinal_quality, packing, substring_dedup, suffix_dedup, token_files, topk, weak_rules
+from orrery.llm import _repeats, language_id, mixing, near_dedup, ordinal_quality, packing, substring_dedup, suffix_dedup, token_files, topk, weak_rules
 from orrery.llm.queries import vocabulary
 
 # names that the operators use inside
@@ -96,6 +96,23 @@ def test_hot_anchors_give_the_same_spans(docs):
     assert collections.Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(docs, most=1).collect()) == want
 
 
+def test_full_tables_of_sent_anchors_lose_no_window(spark, monkeypatch):
+    """Passages of one window, many anchors for each place of a partition's table: no anchor is taken for another."""
+    monkeypatch.setattr(_repeats, "SLICE", 1000)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passages = [make(50) for _ in range(40)]
+    rows = [(i, make(rng.randint(60, 200)) + "#%"[i // 40] + passages[i % 40] + "#%"[i // 40] + make(90)) for i in range(80)]
+    for parts, bits in ((1, 10), (3, 4)):
+        monkeypatch.setattr(_repeats, "OWN_BITS", bits)
+        got = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {i: 50 if i >= 40 else 0 for i in range(80)}
+    passages = [" ".join(make(6).replace(" ", "x") for _ in range(35)) for _ in range(20)]
+    rows = [(i, f"{make(200)} {i}a {passages[i % 20]} {i}b {make(90)}") for i in range(40)]
+    got = substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=35).collect()
+    assert {r.n_removed for r in got} == {35} and len(got) == 40
+
+
 def test_substring_dedup(docs, rows, empty):
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove(docs, window=35).collect())
     count = collections.Counter(tuple(w[j : j + 35]) for _, t, *_ in rows for w in [words(t)] for j in range(len(w) - 34))
