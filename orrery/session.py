@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC makes day buckets and ages independent of the host; AQE splits skewed joins and sizes shuffle reads.
 DEFAULTS = {
@@ -34,6 +34,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly, three tasks to a core: small rows that each become much work, of which one file split holds many."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """An unused folder that driver and executors share, below spark.checkpoint.dir; only a local master may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
