@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTC makes day buckets and ages independent of the host; AQE splits skewed joins and sizes shuffle reads.
 DEFAULTS = {
@@ -39,6 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def made_here(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns by a generator of one row, so they are worked out once and here: filters on plain columns are carried back to the scan, before rows are dealt."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """An unused folder that driver and executors share, below spark.checkpoint.dir; only a local master may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
