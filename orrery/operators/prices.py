@@ -16,9 +16,14 @@ LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
   ORDER BY observed_at DESC, price_inr DESC, supplier DESC, order_key DESC, line DESC) AS rn FROM price) WHERE rn = 1)"""
 
 
-def freshest(prices: DataFrame) -> DataFrame:
-    """One row per product: its latest observation. max(struct) aggregates before the shuffle, a window would not."""
-    return prices.groupBy("product_id").agg(F.max(F.struct(*FRESHER, "basis", "source_url")).alias("x")).select("product_id", "x.*")
+def freshest(prices: DataFrame, columns: tuple[str, ...] = (*FRESHER, "basis", "source_url")) -> DataFrame:
+    """One row per product: its latest observation. max(struct) aggregates before the shuffle, a window would not.
+
+    columns may be the first of these, which the others do not change; the time alone needs no sort.
+    """
+    if len(columns) == 1:
+        return prices.groupBy("product_id").agg(F.max(columns[0]).alias(columns[0]))
+    return prices.groupBy("product_id").agg(F.max(F.struct(*columns)).alias("x")).select("product_id", "x.*")
 
 
 def age_days(observed, at) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators.prices import LATEST, age_days, freshest
+from orrery.operators.prices import FRESHER, LATEST, age_days, freshest
 from orrery.registry import query
 from orrery.relations import now, oracle, relation
 
@@ -94,9 +94,9 @@ def present(name: str) -> Column:
     return c.isNotNull() & (F.trim(c.cast("string")) != "")
 
 
-def scored(products: DataFrame, prices: DataFrame, day: str | None = None) -> DataFrame:
-    """Adds price_age, surface, completeness (0-100), verification tier and publish_ready."""
-    latest = freshest(prices).select(F.col("product_id").alias("id"), "observed_at")
+def scored(products: DataFrame, prices: DataFrame, day: str | None = None, price: str | None = None) -> DataFrame:
+    """Adds price_age, surface, completeness (0-100), verification tier and publish_ready; the latest price too if price names it."""
+    latest = freshest(prices, FRESHER[: 2 if price else 1]).withColumnsRenamed({"product_id": "id", "price_inr": price or "price_inr"})
     at = now(day) if day else now()
     p = products.join(latest, "id", "left").withColumn("price_age", age_days(F.col("observed_at"), at)).withColumn("surface", is_surface(F.col("category")))
     points = lambda table: sum((F.when(F.coalesce(F.col("price_age") <= STALE_DAYS, F.lit(False)) if f == "fresh_price" else present(f), w).otherwise(0) for f, w in table.items()), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.operators.prices import LATEST, freshest
 from orrery.registry import query
 from orrery.relations import oracle, relation
+from orrery.session import made_here, spread
 
 
 def tokens(text: Column) -> Column:
@@ -21,13 +22,22 @@ def group_key(domain: Column, brand: Column, title: Column) -> Column:
     return F.when(F.size(tokens(title)) >= 2, F.substring(F.sha1(raw), 1, 16))
 
 
-def with_group(products: DataFrame) -> DataFrame:
-    """Adds variant_group_id; a group of one product has none."""
-    keyed = products.withColumn("k", group_key(F.lit("catalogue"), F.col("brand"), F.regexp_replace("title", r" \d.*$", "")))
+def keyed(products: DataFrame) -> DataFrame:
+    """Adds k, the key of the variant group that a product may be in."""
+    return made_here(products, k=group_key(F.lit("catalogue"), F.col("brand"), F.regexp_replace("title", r" \d.*$", "")))
+
+
+def grouped(keyed: DataFrame) -> DataFrame:
+    """variant_group_id in place of k; a group of one product has none."""
     many = keyed.filter("k IS NOT NULL").groupBy("k").count().filter("count > 1").select("k", F.col("k").alias("variant_group_id"))
     return keyed.join(many, "k", "left").drop("k")
 
 
+def with_group(products: DataFrame) -> DataFrame:
+    """Adds variant_group_id. Keys take several patterns a row, and a small file is one split, so products are dealt first."""
+    return grouped(keyed(spread(products)))
+
+
 _NORM = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), ' ')"
 GROUP_SQL = f"""keyed AS (SELECT *, regexp_replace(title, ' \\d.*$', '') AS base FROM product),
 hashed AS (SELECT *, CASE WHEN len(regexp_extract_all(lower(base), '[a-z0-9]+')) >= 2 THEN substr(sha1(concat('catalogue|', {_NORM.format('brand')}, '|', {_NORM.format('base')})), 1, 16) END AS k FROM keyed),

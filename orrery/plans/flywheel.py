@@ -1,7 +1,7 @@
 """The planner pass over a catalogue snapshot: fill, classify, score, group, audit, measure colours, snapshot metrics, queue what is missing.
 
 run() is the short form, plain transformations of one snapshot. pass_over() is the whole pass: it writes the scored
-products once, and every report is one aggregation of that table.
+products with their keys once, and every report is one aggregation of that table.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.enrichment import text_pass
-from orrery.operators.prices import freshest
 from orrery.operators.quality import classified, scored
-from orrery.operators.resolve import with_group
-from orrery.session import shared_folder
+from orrery.operators.resolve import grouped, keyed, with_group
+from orrery.session import shared_folder, spread
 
 
 @dataclass
@@ -27,7 +26,7 @@ class Plan:
 
 def run(products: DataFrame, prices: DataFrame, day: str) -> Plan:
     """products with class, score, tier and group; metrics as rows; one enrichment job per supplier with gaps."""
-    full = with_group(scored(classified(products), prices, day))
+    full = with_group(classified(scored(products, prices, day)))
     totals = full.agg(F.count("*").alias("total"), F.count_if("publish_ready").alias("ready"), F.countDistinct("variant_group_id").alias("groups"))
     metrics = totals.selectExpr(f"'{day}' AS captured", "stack(3, 'total', total, 'ready', ready, 'groups', groups) AS (key, value)")
     gaps = full.filter(~F.col("publish_ready") & F.col("source_url").isNotNull())
@@ -40,26 +39,33 @@ SUSPECT = "ncat > 1 OR (mn > 0 AND mx > 20 * mn)"
 
 @dataclass
 class Pass:
-    products: DataFrame  # the table that was written
+    products: DataFrame  # the table that was written, with groups
     groups: DataFrame  # suspect groups: gid, ncat, mn, mx, n
     metrics: DataFrame  # key, value
     jobs: DataFrame
 
 
+def prepared(products: DataFrame, prices: DataFrame, day: str, fill: bool = False) -> DataFrame:
+    """What the pass writes: filled, scored, classified, with last_price and the key k of a group.
+
+    Prices are brought to one row per product once. What takes patterns on a product's words comes after rows are dealt, by
+    the join or before the filling, as a small file is one split.
+    """
+    full = scored(text_pass(spread(products)) if fill else products, prices, day, price="last_price")
+    return keyed(classified(full))
+
+
 def pass_over(products: DataFrame, prices: DataFrame, day: str, seen: DataFrame | None = None, fill: bool = False) -> Pass:
     """All steps. prices are (product_id, price_inr, observed_at, ...); seen are colour families of pixels (id, said, seen).
 
-    fill takes attributes out of titles first. Prices are brought to one row per product before anything else, and
-    group sizes, categories and price ranges come from one row per group and category.
+    fill takes attributes out of titles first. Group sizes, categories and price ranges come from one row per group and category.
     """
     spark = products.sparkSession
-    full = with_group(scored(classified(text_pass(products) if fill else products), prices, day))
-    last = freshest(prices).select(F.col("product_id").alias("id"), F.col("price_inr").alias("last_price"))
     path = shared_folder(spark, "planned")
-    full.join(last, "id", "left").write.option("compression", "zstd").parquet(path)
+    prepared(products, prices, day, fill).write.option("compression", "zstd").parquet(path)
     planned = spark.read.parquet(path)
-    part = planned.groupBy("variant_group_id", "category").agg(F.count("*").alias("n"), F.min("last_price").alias("mn"), F.max("last_price").alias("mx"))
-    groups = part.filter("variant_group_id IS NOT NULL").groupBy(F.col("variant_group_id").alias("gid")).agg(F.count("category").alias("ncat"), F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("n").alias("n"))
+    part = planned.groupBy("k", "category").agg(F.count("*").alias("n"), F.min("last_price").alias("mn"), F.max("last_price").alias("mx"))
+    groups = part.filter("k IS NOT NULL").groupBy(F.col("k").alias("gid")).agg(F.count("category").alias("ncat"), F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("n").alias("n")).filter("n > 1")
     suspect = groups.filter(SUSPECT)
     by = planned.groupBy("completeness", "tier").agg(F.count("*").alias("n"), F.count_if("publish_ready").alias("ready"))  # at most 101 scores x tiers
     upto = by.withColumn("upto", F.sum("n").over(Window.orderBy("completeness", "tier"))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
@@ -73,7 +79,7 @@ def pass_over(products: DataFrame, prices: DataFrame, day: str, seen: DataFrame
         metrics = metrics.unionByName(t)
     gaps = planned.filter(~F.col("publish_ready") & F.col("source_url").isNotNull())
     jobs = gaps.groupBy(F.col("supplier_domain").alias("target")).agg(F.least(F.count("*"), F.lit(100)).cast("int").alias("priority")).withColumn("stage", F.lit("enrich"))
-    return Pass(planned, suspect, metrics, jobs)
+    return Pass(grouped(planned), suspect, metrics, jobs)
 
 
 def _rows(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
